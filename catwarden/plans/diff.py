@@ -1,0 +1,5 @@
+"""diff queries."""
+
+from __future__ import annotations
+
+from .registry import register  # noqa: F401
