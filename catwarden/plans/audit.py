@@ -71,8 +71,8 @@ rb AS (
 """
 
 FIELD_SQL = r"""
-SELECT db_id, scope, code FROM (
-  SELECT c.db_id, c.table_name || '.' || c.column_name AS scope,
+SELECT db_id, scope, sql_type, code FROM (
+  SELECT c.db_id, c.table_name || '.' || c.column_name AS scope, c.sql_type,
     CASE
       WHEN c.sql_type IS NULL OR trim(c.sql_type) = '' THEN 'CAMPO_TIPO_VAZIO'
       WHEN regexp_matches(upper(trim(c.sql_type)), '^(CHAR|VARCHAR)\s*\(\s*\d+\s*\)') THEN
@@ -317,3 +317,217 @@ SELECT d.db_id,
 FROM fx_database d""")
 def q_object_counts(spark, sf_dir):
     return fnd.object_counts(fixture_catalog(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- fleet
+
+def _fleet_sql(select: str) -> str:
+    return f"""
+WITH {FINDINGS_CTE},
+tot AS (SELECT db_id, count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical,
+               count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+               count(*) FILTER (WHERE severity = 'low') AS low FROM findings GROUP BY db_id),
+per AS (SELECT db_id, min(code) AS code, count(*) AS n FROM findings GROUP BY db_id, upper(code)),
+top3 AS (SELECT db_id, string_agg(code || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY rn) AS top_codes
+         FROM (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY n DESC, upper(code)) AS rn FROM per) r
+         WHERE rn <= 3 GROUP BY db_id),
+tabs AS (SELECT db_id, count(*) AS tables FROM fx_table GROUP BY db_id),
+by_db AS (
+  SELECT d.db_id, coalesce(tabs.tables, 0) AS tables, coalesce(tot.total, 0) AS total,
+         coalesce(tot.critical, 0) AS critical, coalesce(tot.high, 0) AS high, coalesce(tot.medium, 0) AS medium,
+         coalesce(tot.low, 0) AS low,
+         CASE WHEN coalesce(tot.total, 0) = 0 THEN 'none' WHEN tot.critical > 0 THEN 'critical'
+              WHEN tot.high > 0 THEN 'high' WHEN tot.medium > 0 THEN 'medium' ELSE 'low' END AS highest_severity,
+         coalesce(top3.top_codes, '') AS top_codes
+  FROM fx_database d LEFT JOIN tabs USING (db_id) LEFT JOIN tot USING (db_id) LEFT JOIN top3 USING (db_id))
+{select}"""
+
+
+def _fleet(spark, sf_dir):
+    cat = fixture_catalog(spark, sf_dir)
+    return fleet_ops.fleet_by_database(cat, fnd.analyze(cat))
+
+
+register("fleet_by_database", _fleet_sql("SELECT * FROM by_db"))(_fleet)
+
+register("fleet_totals", _fleet_sql("""
+SELECT count(*) AS databases, count(*) FILTER (WHERE total > 0) AS with_findings,
+       count(*) FILTER (WHERE critical > 0) AS with_criticals, CAST(sum(tables) AS BIGINT) AS tables,
+       CAST(sum(total) AS BIGINT) AS total, CAST(sum(critical) AS BIGINT) AS critical, CAST(sum(high) AS BIGINT) AS high,
+       CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low FROM by_db"""))(
+    lambda spark, sf: fleet_ops.fleet_totals(_fleet(spark, sf)))
+
+register("top3_codes", _fleet_sql("SELECT db_id, top_codes FROM top3"))(
+    lambda spark, sf: fleet_ops.top_codes(all_findings(spark, sf)))
+
+register("fleet_by_code", f"""
+WITH {FINDINGS_CTE},
+per AS (SELECT min(code) AS code, count(*) AS n FROM findings GROUP BY upper(code)),
+tot AS (SELECT sum(n) AS t FROM per)
+SELECT code, n, CASE WHEN t = 0 THEN 0.0 ELSE CAST({PCT_SQL} AS DOUBLE) / 100 END AS percent FROM per, tot""")(
+    lambda spark, sf: fleet_ops.fleet_by_code(all_findings(spark, sf)))
+
+
+# ---------------------------------------------------------------- prefixes, overrides, filters
+
+DEMO_PREFIXES = ("T1", " t2 ", "t1")
+
+
+@register("ignore_prefixes", f"""
+WITH vis AS (SELECT db_id, table_name FROM fx_table
+             WHERE NOT (starts_with(upper(table_name), 'T1') OR starts_with(upper(table_name), 'T2'))),
+ign AS (SELECT db_id, upper(table_name) AS tkey FROM fx_table
+        WHERE starts_with(upper(table_name), 'T1') OR starts_with(upper(table_name), 'T2')),
+{FK_CTE}
+SELECT db_id, 'TABELA_SEM_PK' AS code, 'high' AS severity, table_name AS scope FROM vis t
+WHERE NOT EXISTS (SELECT 1 FROM fx_pk p WHERE p.db_id = t.db_id AND p.table_name = t.table_name)
+UNION ALL
+SELECT db_id, 'FK_TABELA_REFERENCIA_INEXISTENTE', 'critical', table_name || '.' || fk_name FROM fkx f
+WHERE valid AND EXISTS (SELECT 1 FROM vis v WHERE v.db_id = f.db_id AND v.table_name = f.table_name)
+  AND NOT EXISTS (SELECT 1 FROM ign i WHERE i.db_id = f.db_id AND i.tkey = upper(f.ref_table))
+  AND NOT EXISTS (SELECT 1 FROM vis t WHERE t.db_id = f.db_id AND upper(t.table_name) = upper(f.ref_table))
+UNION ALL
+SELECT db_id, 'INDICE_SEM_COLUNAS', 'high', table_name || '.' || index_name FROM fx_index i
+WHERE EXISTS (SELECT 1 FROM vis v WHERE v.db_id = i.db_id AND v.table_name = i.table_name)
+  AND NOT EXISTS (SELECT 1 FROM fx_index_col c WHERE c.db_id = i.db_id AND c.table_name = i.table_name
+                  AND c.index_name = i.index_name)""")
+def q_ignore_prefixes(spark, sf_dir):
+    """Tables named by ignored prefixes are skipped, and FKs pointing
+    at them skip the reference checks."""
+    cat = fixture_catalog(spark, sf_dir)
+    p = DEMO_PREFIXES
+    return (rules.rule_table_without_pk(cat, p)
+            .unionByName(rules.rule_fk_missing_referenced_table(cat, p))
+            .unionByName(rules.rule_index_without_columns(cat, p)))
+
+
+# override configuration (English aliases, as a user writes it)
+DEMO_OVERRIDES = [("TABLE_WITHOUT_PK", "Critical "), ("fk_without_covering_index", "high"),
+                  ("DUPLICATED_INDEX", "medium")]
+
+
+def demo_overrides(spark):
+    raw = spark.createDataFrame(DEMO_OVERRIDES, "code string, severity string")
+    norm = normalize_overrides(raw, spark)
+    return norm.where(F.col("error").isNull()).select("code", "severity")
+
+
+_OVERRIDE_FINDINGS = f"""SELECT db_id, code,
+  CASE code WHEN 'TABELA_SEM_PK' THEN 'critical' WHEN 'FK_SEM_INDICE_COBERTURA' THEN 'high'
+            WHEN 'INDICE_DUPLICADO' THEN 'medium' ELSE severity END AS severity, scope
+FROM ({ALL_FINDINGS_SQL}) a"""
+
+register("override_lookup", scored(_OVERRIDE_FINDINGS))(
+    lambda spark, sf: all_findings(spark, sf, overrides=demo_overrides(spark)))
+
+
+@register("filter_findings", f"""
+WITH {FINDINGS_CTE}
+SELECT * FROM findings WHERE severity = 'high' AND code = 'INDICE_COLUNA_INEXISTENTE'
+  AND contains(lower(concat_ws(' ', scope, code)), 'ix_1')""")
+def q_filter_findings(spark, sf_dir):
+    return fnd.filter_findings(all_findings(spark, sf_dir), severity="high",
+                               code="INDICE_COLUNA_INEXISTENTE", text="IX_1")
+
+
+@register("order_findings", f"WITH {FINDINGS_CTE} SELECT * FROM findings")
+def q_order_findings(spark, sf_dir):
+    return fnd.order_findings(all_findings(spark, sf_dir))
+
+
+@register("first_longer_index", f"""
+WITH {FK_CTE}
+SELECT s.db_id, s.table_name, s.index_name AS short_name, arg_min(l.index_name, upper(l.index_name)) AS long_name
+FROM ixs s JOIN ixs l ON l.db_id = s.db_id AND l.table_name = s.table_name AND l.index_name <> s.index_name
+WHERE NOT s.is_unique AND NOT l.is_unique AND l.is_desc = s.is_desc AND len(s.cols) > 0
+  AND len(l.cols) > len(s.cols) AND l.cols[1:len(s.cols)] = s.cols
+GROUP BY s.db_id, s.table_name, s.index_name""")
+def q_first_longer_index(spark, sf_dir):
+    return rules.redundant_prefix_pairs(fixture_catalog(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- signatures and duplicate groups
+
+@register("signatures", f"""
+WITH {FK_CTE},
+pk_l AS (SELECT db_id, table_name, pk_name, list(upper(column_name) ORDER BY ordinal) AS cols
+         FROM fx_pk_col WHERE column_name IS NOT NULL GROUP BY ALL)
+SELECT p.db_id, p.table_name, 'PK' AS kind, p.pk_name AS name,
+       array_to_string(coalesce(l.cols, CAST([] AS VARCHAR[])), '|') AS signature
+FROM fx_pk p LEFT JOIN pk_l l USING (db_id, table_name, pk_name)
+UNION ALL
+SELECT f.db_id, f.table_name, 'FK', f.fk_name,
+       array_to_string(coalesce(l.cols, CAST([] AS VARCHAR[])), '|') || '->' || upper(f.ref_table) || '('
+       || array_to_string(coalesce(r.cols, CAST([] AS VARCHAR[])), '|') || ')[' || upper(f.update_rule)
+       || '|' || upper(f.delete_rule) || ']'
+FROM fx_fk f LEFT JOIN fk_local l USING (db_id, table_name, fk_name) LEFT JOIN fk_ref r USING (db_id, table_name, fk_name)
+UNION ALL
+SELECT db_id, table_name, 'INDEX', index_name,
+       CASE WHEN is_unique THEN 'U' ELSE 'N' END || '|' || CASE WHEN is_desc THEN 'D' ELSE 'A' END || '|'
+       || array_to_string(cols, '|') FROM ixs""")
+def q_signatures(spark, sf_dir):
+    from ..operators.catalog import ordered_names
+    cat = fixture_catalog(spark, sf_dir)
+    keys = ["db_id", "table_name", "pk_name"]
+    pk_l = ordered_names(cat.pk_cols, keys, "column_name", "cols")
+    pk = (cat.pks.join(pk_l, keys, "left")
+                 .select("db_id", "table_name", F.lit("PK").alias("kind"), F.col("pk_name").alias("name"),
+                         F.array_join(F.coalesce("cols", F.array().cast("array<string>")), "|").alias("signature")))
+    fk = rules.fk_signatures(cat).select("db_id", "table_name", F.lit("FK").alias("kind"),
+                                         F.col("fk_name").alias("name"), "signature")
+    ix = rules.index_signatures(cat).select("db_id", "table_name", F.lit("INDEX").alias("kind"),
+                                            F.col("index_name").alias("name"), "signature")
+    return pk.unionByName(fk).unionByName(ix)
+
+
+@register("duplicate_groups", f"""
+WITH {FK_CTE}
+SELECT db_id, table_name, 'COLUMN' AS kind, upper(column_name) AS signature, count(*) AS n
+FROM fx_column GROUP BY db_id, table_name, upper(column_name) HAVING count(*) > 1
+UNION ALL
+SELECT db_id, table_name, 'FK', sig, count(*) FROM (
+  SELECT f.db_id, f.table_name,
+         array_to_string(coalesce(l.cols, CAST([] AS VARCHAR[])), '|') || '->' || upper(f.ref_table) || '('
+         || array_to_string(coalesce(r.cols, CAST([] AS VARCHAR[])), '|') || ')[' || upper(f.update_rule)
+         || '|' || upper(f.delete_rule) || ']' AS sig
+  FROM fx_fk f LEFT JOIN fk_local l USING (db_id, table_name, fk_name) LEFT JOIN fk_ref r USING (db_id, table_name, fk_name)
+) s GROUP BY db_id, table_name, sig HAVING count(*) > 1
+UNION ALL
+SELECT db_id, table_name, 'INDEX', sig, count(*) FROM (
+  SELECT db_id, table_name, CASE WHEN is_unique THEN 'U' ELSE 'N' END || '|' || CASE WHEN is_desc THEN 'D' ELSE 'A' END
+         || '|' || array_to_string(cols, '|') AS sig FROM ixs
+) s GROUP BY db_id, table_name, sig HAVING count(*) > 1""")
+def q_duplicate_groups(spark, sf_dir):
+    """Groups with more than one member, by name or signature."""
+    cat = fixture_catalog(spark, sf_dir)
+    keys = ["db_id", "table_name"]
+    cols = (cat.columns.groupBy(*keys, F.upper("column_name").alias("signature"))
+            .agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("kind", F.lit("COLUMN")))
+    fk = (rules.fk_signatures(cat).groupBy(*keys, "signature").agg(F.count(F.lit(1)).alias("n"))
+          .where("n > 1").withColumn("kind", F.lit("FK")))
+    ix = (rules.index_signatures(cat).groupBy(*keys, "signature").agg(F.count(F.lit(1)).alias("n"))
+          .where("n > 1").withColumn("kind", F.lit("INDEX")))
+    return cols.unionByName(fk).unionByName(ix).select(*keys, "kind", "signature", "n")
+
+
+# ---------------------------------------------------------------- field audit
+
+@register("field_audit", f"""
+SELECT db_id, 'column' AS object_type, scope, sql_type, code, 'critical' AS status
+FROM ({FIELD_SQL}) fa WHERE code IS NOT NULL""")
+def q_field_audit(spark, sf_dir):
+    """S13 input: problem items only (the default)."""
+    return rules.field_audit(fixture_catalog(spark, sf_dir)).select(
+        "db_id", "object_type", "scope", "sql_type", "code", "status")
+
+
+@register("field_audit_totals", f"""
+SELECT db_id, count(*) AS items, count(*) FILTER (WHERE code IS NULL) AS ok,
+       count(*) FILTER (WHERE code IS NOT NULL) AS problems
+FROM ({FIELD_SQL}) fa GROUP BY db_id""")
+def q_field_audit_totals(spark, sf_dir):
+    """A10: items, ok, problems per database."""
+    items = rules.field_audit(fixture_catalog(spark, sf_dir), include_ok=True)
+    return items.groupBy("db_id").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "ok").alias("ok"),
+        F.count_if(F.col("status") != "ok").alias("problems"))

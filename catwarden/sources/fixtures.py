@@ -8,10 +8,12 @@ engines start from identical rows and the check exercises the operators.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import SparkSession
 
+from ..session import ensure_checkpoint_dir
 from .tables import register_base_tables
 
 # Fixed view definitions (FIXTURES.md section 3, plus fx_database: a server
@@ -45,14 +47,33 @@ _BASE_SCANS = ("orders", "lineitem", "events", "documents", "customer")
 _registered: dict[int, str] = {}
 
 
-def register_fixtures(spark: SparkSession, sf_dir: str) -> None:
-    """Register base tables and all fx views for ``sf_dir`` (idempotent)."""
+def register_fixtures(spark: SparkSession, sf_dir: str, materialize: bool = True) -> None:
+    """Register base tables and all fx views for ``sf_dir`` (idempotent).
+
+    With ``materialize`` each view is written once as a parquet table under
+    the session's shared checkpoint folder and re-registered over that
+    table: the ~40 catalog queries then read a written table instead of
+    re-running the window and join lineage of every view, and a lost
+    executor re-reads files instead of recomputing the fleet.
+    """
     key = id(spark._jsparkSession)
     if _registered.get(key) == sf_dir:
         return
     register_base_tables(spark, sf_dir)
+    root = None
+    if materialize:
+        digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catwarden-fx/{digest}"
     for name, sql in FX_VIEWS:
-        spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {sql}")
+        df = spark.sql(sql)
+        if root is None:
+            df.createOrReplaceTempView(name)
+            continue
+        path = f"{root}/{name}"
+        # db_id-clustered files: rules join and aggregate on db_id first
+        cluster = "db_id" if "db_id" in df.columns else df.columns[0]
+        df.repartition(cluster).sortWithinPartitions(cluster).write.mode("overwrite").parquet(path)
+        spark.read.parquet(path).createOrReplaceTempView(name)
     _registered[key] = sf_dir
 
 
