@@ -67,11 +67,12 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, side: str = "fleet") -> Ca
         indexes = t("fx_t_index").select("db_id", "table_name", "index_name", "is_unique", "is_desc")
         routines = t("fx_t_routine").select("db_id", "kind", "name", F.lit(False).alias("ignore_body"),
                                             "source")
+    pk_view, pk_col_view = ("fx_t_pk", "fx_t_pk_col") if side == "target" else ("fx_pk", "fx_pk_col")
     return Catalog(
         tables=tables,
         columns=columns,
-        pks=t("fx_pk").select("db_id", "table_name", "pk_name"),
-        pk_cols=t("fx_pk_col").select("db_id", "table_name", "pk_name", "ordinal", "column_name"),
+        pks=t(pk_view).select("db_id", "table_name", "pk_name"),
+        pk_cols=t(pk_col_view).select("db_id", "table_name", "pk_name", "ordinal", "column_name"),
         fks=fks,
         fk_cols=t("fx_fk_col").select("db_id", "table_name", "fk_name", "ordinal", "column_name",
                                       "ref_column"),

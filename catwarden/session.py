@@ -18,6 +18,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # windows-1252 decoding of script bytes (F07) needs the JVM charsets
     "spark.sql.legacy.javaCharsets": "true",

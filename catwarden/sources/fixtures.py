@@ -38,6 +38,9 @@ FX_VIEWS = (
     ("fx_t_index", 'SELECT db_id, table_name, index_name, is_unique, CASE WHEN k % 13 = 0 THEN NOT is_desc ELSE is_desc END AS is_desc, k, ln FROM fx_index WHERE ln <> 6 AND k % 29 <> 0'),
     ("fx_t_routine", "SELECT db_id, kind, name, CASE WHEN name LIKE '%7' THEN concat(source, ' ') WHEN name LIKE '%3' THEN concat(source, '/*v2*/') ELSE source END AS source FROM fx_routine WHERE name NOT LIKE '%11'"),
     ("fx_database", "SELECT DISTINCT db_id, CAST(2 + db_id % 4 AS INT) AS major FROM fx_table"),
+    ("fx_t_pk", "SELECT db_id, table_name, pk_name, k FROM fx_pk WHERE k % 37 <> 0"),
+    ("fx_t_pk_col", "SELECT db_id, table_name, pk_name, ordinal, CASE WHEN c % 5 = 0 THEN 'C0' ELSE column_name END AS column_name, c FROM fx_pk_col p JOIN (SELECT db_id AS d, table_name AS tn, c FROM fx_pk) x ON x.d = p.db_id AND x.tn = p.table_name"),
+    ("fx_proc", "SELECT doc_id % 7 AS db_id, 'PROCEDURE' AS kind, concat('P', CAST(doc_id AS VARCHAR(20))) AS name, doc_id % 10 = 9 AS ignore_body, CASE doc_id % 4 WHEN 0 THEN concat('AS BEGIN EXECUTE PROCEDURE P', CAST(doc_id - 7 AS VARCHAR(20)), '(1); END') WHEN 1 THEN concat('AS BEGIN SELECT X FROM \"P', CAST(doc_id - 14 AS VARCHAR(20)), '\"(1) JOIN p', CAST(doc_id - 7 AS VARCHAR(20)), ' ON 1 = 1; END') WHEN 2 THEN concat('AS BEGIN EXECUTE PROCEDURE \"P', CAST(doc_id + 7 AS VARCHAR(20)), '\"; END') ELSE 'AS BEGIN SUSPEND; END' END AS source FROM documents"),
 )
 
 FX_NAMES = tuple(n for n, _ in FX_VIEWS)
@@ -100,6 +103,8 @@ def oracle_with(body_sql: str) -> str:
         return body_sql
     ctes = ",\n".join(f"{n} AS ({_FX_SQL[n]})" for n in needed)
     body = body_sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
