@@ -1,5 +1,159 @@
-"""transfer queries."""
+"""Transfer queries: scans, custom queries, literal rendering, batches, upsert."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import transfer as X
+from ..operators.catalog import fixture_catalog
+from ..sources.tables import read_table, register_base_tables
+from .registry import register
+
+
+def _t(spark, sf, name):
+    return read_table(spark, sf, name)
+
+
+# ---------------------------------------------------------------- S01 + P02
+
+register("scan_table", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment <> 'AUTOMOBILE'")(
+    lambda spark, sf: X.scan_table(_t(spark, sf, "customer"), ["c_custkey", " c_name", "c_acctbal"],
+                                   "WHERE  c_acctbal > 5000 AND c_mktsegment <> 'AUTOMOBILE'"))
+
+# ---------------------------------------------------------------- S02 custom queries (Spark SQL on views)
+
+Q_JOIN = """SELECT o.o_orderkey, c.c_name, n.n_name, o.o_totalprice
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+WHERE o.o_orderstatus = 'F';"""
+Q_EXPR = """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net,
+  CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END AS state, upper(l_linestatus) AS ls FROM lineitem"""
+Q_ORDER = "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey ;"
+Q_PROJECTION = "select c_name, c_custkey, c_nationkey FROM customer"
+
+
+def _sql_query(text):
+    def run(spark, sf):
+        register_base_tables(spark, sf)
+        return X.scan_query(spark, text)
+    return run
+
+
+for _name, _text in (("q_join", Q_JOIN), ("q_expr", Q_EXPR), ("q_order", Q_ORDER), ("q_projection", Q_PROJECTION)):
+    register(_name, X.normalize_select(_text))(_sql_query(_text))
+
+# ---------------------------------------------------------------- F01 / F02 rendering
+
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@register("render_insert", """
+SELECT o_orderkey, 'INSERT INTO ORDERS_COPY (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) VALUES ('
+  || coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || ', ' || coalesce(CAST(o_custkey AS VARCHAR), 'NULL') || ', '
+  || coalesce('''' || replace(o_orderstatus, '''', '''''') || '''', 'NULL') || ', '
+  || coalesce(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 'NULL') || ', '
+  || coalesce('''' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '''', 'NULL') || ', '
+  || coalesce('''' || replace(o_orderpriority, '''', '''''') || '''', 'NULL') || ');' AS sql
+FROM orders""")
+def q_render_insert(spark, sf):
+    o = _t(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)"))
+    return X.render_insert(o, "ORDERS_COPY", ORDER_COLS, keep=["o_orderkey"])
+
+
+@register("render_upsert", """
+SELECT c_custkey, 'UPDATE OR INSERT INTO CUSTOMER (c_custkey, c_name, c_acctbal, c_mktsegment) VALUES ('
+  || CAST(c_custkey AS VARCHAR) || ', ' || coalesce('''' || replace(c_name, '''', '''''') || '''', 'NULL') || ', '
+  || coalesce(CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR), 'NULL') || ', '
+  || coalesce('''' || replace(c_mktsegment, '''', '''''') || '''', 'NULL') || ') MATCHING (c_custkey);' AS sql
+FROM customer""")
+def q_render_upsert(spark, sf):
+    c = _t(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
+    cols = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    missing = X.upsert_missing_pk(["C_CUSTKEY"], cols)
+    if missing:
+        raise X.TransferError(f"Upsert mode requires all PK columns: {missing}")
+    return X.render_insert(c, "CUSTOMER", cols, mode="upsert", matching=["c_custkey"], keep=["c_custkey"])
+
+
+@register("blob_literal", """
+SELECT doc_id, 'x''' || upper(hex(encode(text))) || '''' AS hex_literal, '''' || to_base64(encode(text)) || '''' AS b64_literal
+FROM documents""")
+def q_blob_literal(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return d.select("doc_id", X.blob_literal(F.col("b"), "hex").alias("hex_literal"),
+                    X.blob_literal(F.col("b"), "base64").alias("b64_literal"))
+
+
+@register("quote_text", r"""
+SELECT doc_id, '''' || replace(replace(replace(regexp_replace(text, '[^\r\n\t\x20-\xFF]', '', 'g'),
+         chr(13), '\r'), chr(10), '\n'), '''', '''''') || '''' AS literal
+FROM documents""")
+def q_quote_text(spark, sf):
+    """F04-F06 in the reference's order: sanitise, escape, quote."""
+    d = _t(spark, sf, "documents")
+    return d.select("doc_id", X.literal(F.col("text"), d.schema["text"].dataType, sanitize=True, escape=True)
+                    .alias("literal"))
+
+
+# ---------------------------------------------------------------- P01 / P10 (catalog driven)
+
+register("writable_columns", """
+SELECT db_id, table_name, ordinal, column_name FROM fx_column
+WHERE computed_sql IS NULL OR regexp_replace(computed_sql, '\\s', '', 'g') = ''""")(
+    lambda spark, sf: X.writable_columns(fixture_catalog(spark, sf)))
+
+
+@register("writable_upsert_check", """
+SELECT p.db_id, p.table_name, p.column_name FROM fx_pk_col p
+WHERE NOT EXISTS (SELECT 1 FROM fx_column c WHERE c.db_id = p.db_id AND c.table_name = p.table_name
+                  AND upper(c.column_name) = upper(p.column_name)
+                  AND (c.computed_sql IS NULL OR regexp_replace(c.computed_sql, '\\s', '', 'g') = ''))""")
+def q_writable_upsert_check(spark, sf):
+    """P10 over the fleet: PK columns that the writable projection lacks."""
+    cat = fixture_catalog(spark, sf)
+    w = X.writable_columns(cat).select("db_id", "table_name", F.upper("column_name").alias("ckey"))
+    pk = cat.pk_cols.withColumn("ckey", F.upper("column_name"))
+    return pk.join(w, ["db_id", "table_name", "ckey"], "left_anti").select("db_id", "table_name", "column_name")
+
+
+# ---------------------------------------------------------------- S10 commit batches
+
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+COMMIT_EVERY = 500
+
+
+@register("commit_batches", f"""
+WITH n AS (SELECT *, row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) AS rn FROM lineitem)
+SELECT (rn - 1) // {COMMIT_EVERY} AS batch_id, count(*) AS n_rows, sum(l_quantity) AS sum_qty,
+       CAST(CASE WHEN count(*) = {COMMIT_EVERY} THEN 1 ELSE 0 END
+            + CASE WHEN max(rn) = (SELECT count(*) FROM lineitem) THEN 1 ELSE 0 END AS BIGINT) AS commits
+FROM n GROUP BY 1""")
+def q_commit_batches(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    numbered = X.commit_batches(X.global_row_number(li, LINE_ORDER), COMMIT_EVERY)
+    total = li.agg(F.count(F.lit(1)).alias("_total"))
+    per = numbered.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"),
+                                           F.max("row_no").alias("_last"))
+    # the total is a one-row aggregate: an equi-join on a constant key
+    return (per.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+               .select("batch_id", "n_rows", "sum_qty",
+                       ((F.col("n_rows") == COMMIT_EVERY).cast("bigint")
+                        + (F.col("_last") == F.col("_total")).cast("bigint")).alias("commits")))
+
+
+# ---------------------------------------------------------------- S14 upsert replay
+
+@register("apply_upsert", """
+WITH ch AS (SELECT o_custkey AS c_custkey, 'Customer#' || CAST(o_orderkey AS VARCHAR) AS c_name,
+                   o_totalprice AS c_acctbal, o_orderkey AS stmt_no FROM orders WHERE o_orderstatus = 'F'),
+latest AS (SELECT c_custkey, arg_max(c_name, stmt_no) AS c_name, arg_max(c_acctbal, stmt_no) AS c_acctbal
+           FROM ch GROUP BY c_custkey)
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM latest)
+UNION ALL SELECT * FROM latest""")
+def q_apply_upsert(spark, sf):
+    target = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    o = _t(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+    changes = o.select(F.col("o_custkey").alias("c_custkey"),
+                       F.concat(F.lit("Customer#"), F.col("o_orderkey").cast("string")).alias("c_name"),
+                       F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("stmt_no"))
+    return X.apply_upsert(target, changes, ["c_custkey"], "stmt_no")
