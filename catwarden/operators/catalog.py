@@ -40,10 +40,21 @@ class Catalog:
         return replace(self, **{n: getattr(self, n).persist(level) for n in names})
 
 
+_catalogs: dict = {}
+
+
 def fixture_catalog(spark: SparkSession, sf_dir: str, side: str = "fleet") -> Catalog:
     """Catalog over the fx views. ``side='target'`` gives the diff target
-    (fx_t_*), ``side='source'`` the diff source (unique column names)."""
+    (fx_t_*), ``side='source'`` the diff source (unique column names).
+    DataFrames are immutable plans, so one Catalog per session is reused."""
+    key = (id(spark._jsparkSession), sf_dir, side)
     register_fixtures(spark, sf_dir)
+    if key not in _catalogs:
+        _catalogs[key] = _build_catalog(spark, side)
+    return _catalogs[key]
+
+
+def _build_catalog(spark: SparkSession, side: str) -> Catalog:
     t = spark.table
     tables = t("fx_table").select("db_id", "table_name")
     columns = t("fx_column").select(

@@ -60,6 +60,15 @@ def _vis_keys(cat, prefixes):
     return visible_tables(cat, prefixes).select(*TABLE_KEYS)
 
 
+def _visible(df: DataFrame, cat: Catalog, prefixes) -> DataFrame:
+    """Rows of ``df`` that belong to a visible table. Catalog child rows
+    (columns, keys, indexes) always belong to a catalog table, so without
+    prefixes this is the identity and costs no join."""
+    if not normalize_prefixes(prefixes):
+        return df
+    return df.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+
+
 def _col_keys(cat: Catalog) -> DataFrame:
     return cat.columns.select(*TABLE_KEYS, F.upper("column_name").alias("ckey")).distinct()
 
@@ -73,7 +82,7 @@ def rule_table_without_columns(cat: Catalog, prefixes=()) -> DataFrame:
 
 
 def rule_duplicated_column(cat: Catalog, prefixes=()) -> DataFrame:
-    cols = cat.columns.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    cols = _visible(cat.columns, cat, prefixes)
     groups = (cols.groupBy(*TABLE_KEYS, F.upper("column_name").alias("ckey"))
                   .agg(F.count(F.lit(1)).alias("n"), F.min_by("column_name", "ordinal").alias("column_name"))
                   .where("n > 1"))
@@ -81,7 +90,7 @@ def rule_duplicated_column(cat: Catalog, prefixes=()) -> DataFrame:
 
 
 def rule_unknown_type(cat: Catalog, prefixes=()) -> DataFrame:
-    cols = cat.columns.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    cols = _visible(cat.columns, cat, prefixes)
     hit = cols.where(F.upper("sql_type").startswith("TYPE_"))
     return _finding(hit, "TIPO_DESCONHECIDO", "high", _dot("table_name", "column_name"))
 
@@ -92,15 +101,14 @@ def rule_table_without_pk(cat: Catalog, prefixes=()) -> DataFrame:
 
 
 def rule_pk_without_columns(cat: Catalog, prefixes=()) -> DataFrame:
-    pks = cat.pks.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    pks = _visible(cat.pks, cat, prefixes)
     hit = pks.join(cat.pk_cols.select(*TABLE_KEYS, "pk_name"), TABLE_KEYS + ["pk_name"], "left_anti")
     return _finding(hit, "PK_SEM_COLUNAS", "critical", F.col("table_name"))
 
 
 def rule_pk_missing_column(cat: Catalog, prefixes=()) -> DataFrame:
-    pkc = (cat.pk_cols.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
-                      .join(cat.pks.select(*TABLE_KEYS, "pk_name"), TABLE_KEYS + ["pk_name"], "left_semi")
-                      .withColumn("ckey", F.upper("column_name")))
+    # key columns always belong to a declared key of their table
+    pkc = _visible(cat.pk_cols, cat, prefixes).withColumn("ckey", F.upper("column_name"))
     hit = pkc.join(_col_keys(cat), TABLE_KEYS + ["ckey"], "left_anti")
     return _finding(hit, "PK_REFERENCIA_COLUNA_INEXISTENTE", "critical", F.col("table_name"))
 
@@ -114,15 +122,17 @@ def fk_frame(cat: Catalog, prefixes=()) -> DataFrame:
     """FKs of visible tables with local/ref column counts and state flags."""
     counts = cat.fk_cols.groupBy(*FK_KEYS).agg(
         F.count("column_name").alias("n_local"), F.count("ref_column").alias("n_ref"))
-    fks = (cat.fks.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    fks = (_visible(cat.fks, cat, prefixes)
                   .join(counts, FK_KEYS, "left")
                   .fillna(0, ["n_local", "n_ref"])
                   .withColumn("rkey", F.upper("ref_table")))
-    ign = ignored_tables(cat, prefixes).select("db_id", F.col("tkey").alias("rkey")).distinct()
-    ign = ign.withColumn("ref_ignored", F.lit(True))
-    return (fks.join(ign, ["db_id", "rkey"], "left")
-               .withColumn("ref_ignored", F.coalesce("ref_ignored", F.lit(False)))
-               .withColumn("valid", (F.col("n_local") > 0) & (F.col("n_ref") > 0)))
+    if normalize_prefixes(prefixes):
+        ign = ignored_tables(cat, prefixes).select("db_id", F.col("tkey").alias("rkey")).distinct()
+        fks = (fks.join(ign.withColumn("ref_ignored", F.lit(True)), ["db_id", "rkey"], "left")
+                  .withColumn("ref_ignored", F.coalesce("ref_ignored", F.lit(False))))
+    else:
+        fks = fks.withColumn("ref_ignored", F.lit(False))
+    return fks.withColumn("valid", (F.col("n_local") > 0) & (F.col("n_ref") > 0))
 
 
 def rule_fk_without_columns(cat: Catalog, prefixes=()) -> DataFrame:
@@ -195,7 +205,7 @@ def fk_signatures(cat: Catalog, prefixes=()) -> DataFrame:
     """``A|B->T(X|Y)[UPD|DEL]`` per FK, all upper."""
     local = ordered_names(cat.fk_cols, FK_KEYS, "column_name", "local_cols")
     ref = ordered_names(cat.fk_cols, FK_KEYS, "ref_column", "ref_cols")
-    fks = (cat.fks.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    fks = (_visible(cat.fks, cat, prefixes)
                   .join(local, FK_KEYS, "left").join(ref, FK_KEYS, "left"))
     empty = F.array().cast("array<string>")
     sig = F.concat(
@@ -218,14 +228,13 @@ IX_KEYS = TABLE_KEYS + ["index_name"]
 
 
 def rule_index_without_columns(cat: Catalog, prefixes=()) -> DataFrame:
-    idx = cat.indexes.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    idx = _visible(cat.indexes, cat, prefixes)
     hit = idx.join(cat.index_cols.select(*IX_KEYS), IX_KEYS, "left_anti")
     return _finding(hit, "INDICE_SEM_COLUNAS", "high", _dot("table_name", "index_name"))
 
 
 def rule_index_missing_column(cat: Catalog, prefixes=()) -> DataFrame:
-    idx = cat.indexes.join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi").select(*IX_KEYS)
-    items = cat.index_cols.join(idx, IX_KEYS, "left_semi").withColumn("ckey", F.upper("column_name"))
+    items = _visible(cat.index_cols, cat, prefixes).withColumn("ckey", F.upper("column_name"))
     hit = (items.join(_col_keys(cat), TABLE_KEYS + ["ckey"], "left_anti")
                 .where(~ddl.is_index_expression(F.col("column_name"))))
     return _finding(hit, "INDICE_COLUNA_INEXISTENTE", "high", _dot("table_name", "index_name"))
@@ -233,7 +242,7 @@ def rule_index_missing_column(cat: Catalog, prefixes=()) -> DataFrame:
 
 def index_signatures(cat: Catalog, prefixes=()) -> DataFrame:
     """``U|D|A|B`` per index (empty column lists included)."""
-    idx = index_column_lists(cat).join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    idx = _visible(index_column_lists(cat), cat, prefixes)
     sig = F.concat(F.when(F.col("is_unique"), "U").otherwise("N"), F.lit("|"),
                    F.when(F.col("is_desc"), "D").otherwise("A"), F.lit("|"),
                    F.array_join("cols", "|"))
@@ -251,7 +260,7 @@ def redundant_prefix_pairs(cat: Catalog, prefixes=()) -> DataFrame:
     of another non-unique index in the same direction, with the first such
     longer index by name. Equi-join on (table, direction, column list) against
     exploded strict prefixes: no pair enumeration inside a table."""
-    idx = (index_column_lists(cat).join(_vis_keys(cat, prefixes), TABLE_KEYS, "left_semi")
+    idx = (_visible(index_column_lists(cat), cat, prefixes)
                                   .where(~F.col("is_unique") & (F.size("cols") > 0)))
     longer = (index_prefixes(idx).where(F.col("k") < F.size("cols"))
               .select(*TABLE_KEYS, "is_desc", "prefix", F.col("index_name").alias("long_name")))

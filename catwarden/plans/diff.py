@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
@@ -17,8 +18,15 @@ def _sides(spark, sf_dir):
 
 
 def _full(spark, sf_dir):
-    s, t = _sides(spark, sf_dir)
-    return D.diff(s, t)
+    """The whole diff, persisted once per session: items, commands and the
+    summary all read it (lineage kept for recomputation)."""
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _cache:
+        s, t = _sides(spark, sf_dir)
+        r = D.diff(s, t)
+        _cache[key] = D.DiffResult(r.items.persist(StorageLevel.MEMORY_AND_DISK),
+                                   r.commands.persist(StorageLevel.MEMORY_AND_DISK))
+    return _cache[key]
 
 
 # ---------------------------------------------------------------- oracle SQL
