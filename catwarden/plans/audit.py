@@ -542,3 +542,29 @@ def q_field_audit_totals(spark, sf_dir):
     return items.groupBy("db_id").agg(
         F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "ok").alias("ok"),
         F.count_if(F.col("status") != "ok").alias("problems"))
+
+
+# ---------------------------------------------------------------- S04 snapshot documents
+
+@register("snapshot_roundtrip", """
+SELECT 'tables' AS kind, count(*) AS n FROM fx_table UNION ALL SELECT 'columns', count(*) FROM fx_column
+UNION ALL SELECT 'pks', count(*) FROM fx_pk UNION ALL SELECT 'pk_cols', count(*) FROM fx_pk_col
+UNION ALL SELECT 'fks', count(*) FROM fx_fk UNION ALL SELECT 'fk_cols', count(*) FROM fx_fk_col
+UNION ALL SELECT 'indexes', count(*) FROM fx_index UNION ALL SELECT 'index_cols', count(*) FROM fx_index_col
+UNION ALL SELECT 'routines', count(*) FROM fx_routine""")
+def q_snapshot_roundtrip(spark, sf_dir):
+    """Fleet catalog -> one JSON snapshot per database (shared checkpoint
+    folder) -> read back with the explicit schema -> catalog tables."""
+    import hashlib
+    from ..sources import snapshots as SN
+    path = SN.snapshot_dir(spark, "snapshots-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    SN.write_snapshots(fixture_catalog(spark, sf_dir), path)
+    back = SN.catalog_from_documents(SN.read_written_snapshots(spark, path))
+    parts = [("tables", back.tables), ("columns", back.columns), ("pks", back.pks), ("pk_cols", back.pk_cols),
+             ("fks", back.fks), ("fk_cols", back.fk_cols), ("indexes", back.indexes),
+             ("index_cols", back.index_cols), ("routines", back.routines)]
+    out = None
+    for kind, df in parts:
+        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out

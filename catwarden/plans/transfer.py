@@ -157,3 +157,45 @@ def q_apply_upsert(spark, sf):
                        F.concat(F.lit("Customer#"), F.col("o_orderkey").cast("string")).alias("c_name"),
                        F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("stmt_no"))
     return X.apply_upsert(target, changes, ["c_custkey"], "stmt_no")
+
+
+# ---------------------------------------------------------------- S08 / S09 / W07 script sink
+
+def _order_script(spark, sf):
+    from ..sources import sinks
+    o = _t(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)"))
+    rendered = X.render_insert(o, "ORDERS_COPY", ORDER_COLS, keep=["o_orderkey"])
+    numbered = X.global_row_number(rendered, ["o_orderkey"])
+    return sinks.script_lines(numbered, COMMIT_EVERY)
+
+
+_RENDER_SQL = """'INSERT INTO ORDERS_COPY (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) VALUES ('
+  || coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || ', ' || coalesce(CAST(o_custkey AS VARCHAR), 'NULL') || ', '
+  || coalesce('''' || replace(o_orderstatus, '''', '''''') || '''', 'NULL') || ', '
+  || coalesce(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), 'NULL') || ', '
+  || coalesce('''' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '''', 'NULL') || ', '
+  || coalesce('''' || replace(o_orderpriority, '''', '''''') || '''', 'NULL') || ');'"""
+
+
+@register("part_bytes", f"""
+WITH n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_no, {_RENDER_SQL} AS line FROM orders),
+lines AS (SELECT row_no, 0 AS sub, line FROM n
+          UNION ALL SELECT row_no, 1, 'COMMIT;' FROM n WHERE row_no % {COMMIT_EVERY} = 0
+          UNION ALL SELECT max(row_no), 2, 'COMMIT;' FROM n HAVING count(*) > 0)
+SELECT CAST(row_no AS BIGINT) AS row_no, sub, line,
+       CAST(sum(strlen(line) + 1) OVER (ORDER BY row_no, sub ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_bytes
+FROM lines""")
+def q_part_bytes(spark, sf):
+    """Running byte count of the rendered script (commit lines included)."""
+    from ..sources import sinks
+    return sinks.running_bytes(_order_script(spark, sf))
+
+
+@register("script_parts")
+def q_script_parts(spark, sf):
+    """Greedy 1 MB parts with the header repeated; per part lines and
+    bytes. The fill is per range partition, so no SQL oracle (rows-only)."""
+    from ..sources import sinks
+    header = sinks.header_lines("UTF8")
+    parted = sinks.assign_parts(_order_script(spark, sf), 1024 * 1024, header)
+    return sinks.part_summary(sinks.with_headers(parted, header))
