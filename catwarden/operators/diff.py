@@ -28,10 +28,19 @@ CMD_COLS = ["db_id", "class", "table_name", "seq", "sql"]
 NULL_S = F.lit(None).cast("string")
 
 
-@dataclass
 class DiffResult:
-    items: DataFrame
-    commands: DataFrame  # ordered by order_commands
+    """``items`` and the ordered ``commands``; command ordering needs the FK
+    depth loop, so it runs only when ``commands`` is first used."""
+
+    def __init__(self, items: DataFrame, commands=None):
+        self.items = items
+        self._commands = commands
+
+    @property
+    def commands(self) -> DataFrame:
+        if callable(self._commands):
+            self._commands = self._commands()
+        return self._commands
 
 
 def _item(df, bucket, object_type, table=None, name=None, attr=None):
@@ -331,7 +340,7 @@ def diff(src: Catalog, tgt: Catalog) -> DiffResult:
                                          R.strip_ws(F.col("select_sql")), F.lit(";")), 25))
     items = _union([p[0] for p in parts if p[0] is not None])
     cmds = _union([p[1] for p in parts if p[1] is not None])
-    return DiffResult(items, order_commands(cmds, src))
+    return DiffResult(items, lambda: order_commands(cmds, src))
 
 
 def with_depth(cmds: DataFrame, src: Catalog) -> DataFrame:
@@ -353,3 +362,76 @@ def diff_summary(result: DiffResult) -> DataFrame:
         *[F.count_if(F.col("bucket") == k).alias(k) for k in ("created", "changed", "target_only", "warning")])
     c = result.commands.groupBy("db_id").agg(F.count(F.lit(1)).alias("commands"))
     return b.join(c, "db_id", "full_outer").fillna(0)
+
+
+# ---- U04: apply and converge -----------------------------------------------------------
+
+def apply_diff(src: Catalog, tgt: Catalog) -> Catalog:
+    """The target after the change commands: missing tables (with keys,
+    FKs, indexes), missing columns and changed attributes come from the
+    source; signature-keyed objects are added; target-only objects stay
+    (they are reported, never dropped); computed columns that differ stay
+    as they are (warning only)."""
+    from dataclasses import replace as dc_replace
+    s_t, t_t = _keyed_tables(src), _keyed_tables(tgt)
+    missing = s_t.join(t_t.select("db_id", "tkey"), ["db_id", "tkey"], "left_anti")
+    tables = tgt.tables.unionByName(missing.select("db_id", "table_name"))
+
+    cols_s = _with_tkey(src.columns).withColumn("ckey", F.upper("column_name"))
+    cols_t = _with_tkey(tgt.columns).withColumn("ckey", F.upper("column_name"))
+    common = s_t.join(t_t.select("db_id", "tkey", F.col("table_name").alias("t_name")), ["db_id", "tkey"])
+    keys = ["db_id", "tkey", "ckey"]
+    # columns present on both sides with equal computed text, or missing in the target
+    present = cols_t.select(*keys, F.lit(1).alias("_p"), F.col("computed_sql").alias("_tc"))
+    s_common = cols_s.join(common.select("db_id", "tkey"), ["db_id", "tkey"], "left_semi").join(present, keys, "left")
+    adopt = s_common.where(F.col("_p").isNull() | F.upper("computed_sql").eqNullSafe(F.upper("_tc"))).drop("_p", "_tc")
+    keep_t = cols_t.join(adopt.select(*keys), keys, "left_anti")
+    new_tables_cols = cols_s.join(missing.select("db_id", "tkey"), ["db_id", "tkey"], "left_semi")
+    col_names = tgt.columns.columns
+    columns = (keep_t.select(*col_names)
+               .unionByName(adopt.drop("table_name").join(common.select("db_id", "tkey", F.col("t_name").alias("table_name")),
+                                                          ["db_id", "tkey"]).select(*col_names))
+               .unionByName(new_tables_cols.select(*col_names)))
+
+    # PKs: the source key for created tables and for tables whose key differs
+    sp, tp = _with_tkey(_pk_lists(src)), _with_tkey(_pk_lists(tgt))
+    diff_pk_tables = (common.select("db_id", "tkey")
+                      .join(sp.select("db_id", "tkey", F.col("signature").alias("s")), ["db_id", "tkey"], "left")
+                      .join(tp.select("db_id", "tkey", F.col("signature").alias("t")), ["db_id", "tkey"], "left")
+                      .where(F.coalesce("s", F.lit("")) != F.coalesce("t", F.lit("")))
+                      .select("db_id", "tkey"))
+    replace_pk = diff_pk_tables.unionByName(missing.select("db_id", "tkey"))
+    pks = (_with_tkey(tgt.pks).join(replace_pk, ["db_id", "tkey"], "left_anti").drop("tkey")
+           .unionByName(_with_tkey(src.pks).join(replace_pk, ["db_id", "tkey"], "left_semi").drop("tkey")))
+    pk_cols = (_with_tkey(tgt.pk_cols).join(replace_pk, ["db_id", "tkey"], "left_anti").drop("tkey")
+               .unionByName(_with_tkey(src.pk_cols).join(replace_pk, ["db_id", "tkey"], "left_semi").drop("tkey")))
+
+    # FKs and indexes: add source objects whose signature the target lacks
+    def add_by_sig(src_l, tgt_l, name_col, base_t, base_s, cols_t_df, cols_s_df):
+        miss = (_with_tkey(src_l).join(_with_tkey(tgt_l).select("db_id", "tkey", "signature"),
+                                       ["db_id", "tkey", "signature"], "left_anti")
+                .select("db_id", "table_name", name_col))
+        k = ["db_id", "table_name", name_col]
+        rows = base_t.unionByName(base_s.join(miss, k, "left_semi"))
+        # member rows of the target's own objects, plus those of the added
+        # ones; an added object may share its name with a target object
+        crows = (cols_t_df.join(base_t.select(*k), k, "left_semi")
+                 .unionByName(cols_s_df.join(miss, k, "left_semi")).dropDuplicates())
+        return rows, crows
+
+    fks, fk_cols = add_by_sig(_fk_lists(src), _fk_lists(tgt), "fk_name", tgt.fks, src.fks, tgt.fk_cols, src.fk_cols)
+    indexes, index_cols = add_by_sig(_ix_lists(src), _ix_lists(tgt), "index_name", tgt.indexes, src.indexes,
+                                     tgt.index_cols, src.index_cols)
+    # routines: created or replaced by the source definition
+    rk = ["db_id", "kind", "nkey"]
+    rs = src.routines.withColumn("nkey", F.upper("name"))
+    rt = tgt.routines.withColumn("nkey", F.upper("name"))
+    routines = rt.join(rs.select(*rk), rk, "left_anti").unionByName(rs.select(*rt.columns)).drop("nkey")
+    return dc_replace(tgt, tables=tables, columns=columns, pks=pks, pk_cols=pk_cols, fks=fks, fk_cols=fk_cols,
+                      indexes=indexes, index_cols=index_cols, routines=routines)
+
+
+def convergence(src: Catalog, tgt: Catalog) -> DataFrame:
+    """created/changed items left after applying the diff (expected empty)."""
+    after = diff(src, apply_diff(src, tgt)).items
+    return after.where(F.col("bucket").isin("created", "changed"))

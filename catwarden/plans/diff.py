@@ -25,7 +25,7 @@ def _full(spark, sf_dir):
         s, t = _sides(spark, sf_dir)
         r = D.diff(s, t)
         _cache[key] = D.DiffResult(r.items.persist(StorageLevel.MEMORY_AND_DISK),
-                                   r.commands.persist(StorageLevel.MEMORY_AND_DISK))
+                                   lambda: r.commands.persist(StorageLevel.MEMORY_AND_DISK))
     return _cache[key]
 
 
@@ -355,3 +355,7 @@ FROM procs p LEFT JOIN agg a ON a.db_id = p.db_id AND a.start = p.node"""
 register("routine_order", LEVEL_SQL)(lambda spark, sf: G.routine_order(_procs(spark, sf)))
 register("routine_cycles", f"SELECT db_id, name FROM ({LEVEL_SQL}) l WHERE cyclic")(
     lambda spark, sf: G.routine_levels(_procs(spark, sf)).where("cyclic").select("db_id", "name"))
+
+register("convergence", f"""WITH {DIFF_CTE}
+SELECT * FROM ({ITEMS_SQL['tables']}) t WHERE false""")(
+    lambda spark, sf: D.convergence(*_sides(spark, sf)))
