@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..session import ensure_checkpoint_dir
 from .catalog import Catalog
@@ -140,3 +143,61 @@ def routine_levels(routines: DataFrame) -> DataFrame:
 def routine_order(routines: DataFrame) -> DataFrame:
     lv = routine_levels(routines)
     return lv.orderBy("db_id", "cyclic", "level", F.upper("name"))
+
+
+# ---- A14: smallest argument count at any call site ----------------------------
+
+CALL_WITH_ARGS = r'(?i)\b(?:FROM|JOIN|EXECUTE\s+PROCEDURE)\s+("[^"]+"|[A-Z0-9_$]+)\s*\('
+
+
+def _call_sites(src):
+    """(callee upper, argument count) for each call with a parenthesised list."""
+    import re
+    from .scripts import split_items
+    out = []
+    if not src:
+        return out
+    for m in re.finditer(CALL_WITH_ARGS[4:], src, re.IGNORECASE):
+        name = m.group(1)
+        name = name[1:-1] if name.startswith('"') else name
+        depth, i, in_str = 1, m.end(), False
+        while i < len(src):
+            ch = src[i]
+            if in_str:
+                if ch == "'":
+                    if i + 1 < len(src) and src[i + 1] == "'":
+                        i += 2
+                        continue
+                    in_str = False
+            elif ch == "'":
+                in_str = True
+            elif ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            i += 1
+        if depth != 0:
+            continue
+        out.append((name.strip().upper(), len(split_items(src[m.end():i]))))
+    return out
+
+
+def min_call_arity(routines: DataFrame) -> DataFrame:
+    """Per called procedure (known in the same database, not the
+    caller itself) the smallest argument count at any call site."""
+    schema = T.ArrayType(T.StructType([T.StructField("callee", T.StringType()),
+                                       T.StructField("n_args", T.IntegerType())]))
+
+    @pandas_udf(schema)
+    def sites(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [{"callee": c, "n_args": n} for c, n in _call_sites(x)])
+
+    procs = routines.where(F.col("kind") == "PROCEDURE")
+    calls = procs.select("db_id", F.upper("name").alias("caller"), F.explode(sites(F.col("source"))).alias("c")) \
+                 .select("db_id", "caller", "c.callee", "c.n_args")
+    known = procs.select("db_id", F.upper("name").alias("callee")).distinct()
+    return (calls.where(F.col("callee") != F.col("caller"))
+                 .join(known, ["db_id", "callee"], "left_semi")
+                 .groupBy("db_id", "callee").agg(F.min("n_args").alias("min_args"), F.count(F.lit(1)).alias("call_sites")))

@@ -359,3 +359,18 @@ register("routine_cycles", f"SELECT db_id, name FROM ({LEVEL_SQL}) l WHERE cycli
 register("convergence", f"""WITH {DIFF_CTE}
 SELECT * FROM ({ITEMS_SQL['tables']}) t WHERE false""")(
     lambda spark, sf: D.convergence(*_sides(spark, sf)))
+
+register("min_call_arity", r"""
+WITH sites AS (
+  SELECT db_id, upper(name) AS caller, unnest(regexp_extract_all(source,
+           '(?i)\b(?:FROM|JOIN|EXECUTE\s+PROCEDURE)\s+("[^"]+"|[A-Z0-9_$]+)\s*\(([^)]*)\)', 0)) AS m
+  FROM fx_proc WHERE kind = 'PROCEDURE'),
+parsed AS (
+  SELECT db_id, caller,
+         upper(replace(regexp_extract(m, '(?i)\b(?:FROM|JOIN|EXECUTE\s+PROCEDURE)\s+("[^"]+"|[A-Z0-9_$]+)', 1), '"', '')) AS callee,
+         regexp_extract(m, '\(([^)]*)\)$', 1) AS args FROM sites)
+SELECT db_id, callee, CAST(min(CASE WHEN trim(args) = '' THEN 0 ELSE length(args) - length(replace(args, ',', '')) + 1 END) AS INT) AS min_args,
+       count(*) AS call_sites
+FROM parsed p WHERE callee <> caller
+  AND EXISTS (SELECT 1 FROM fx_proc k WHERE k.kind = 'PROCEDURE' AND k.db_id = p.db_id AND upper(k.name) = p.callee)
+GROUP BY db_id, callee""")(lambda spark, sf: G.min_call_arity(_procs(spark, sf)))

@@ -241,3 +241,40 @@ def q_roundtrip(spark, sf):
     sizes = cust.agg(F.count(F.lit(1)).alias("original_rows")).withColumn("_one", F.lit(1)).join(
         back.agg(F.count(F.lit(1)).alias("reimported_rows")).withColumn("_one", F.lit(1)), "_one")
     return sizes.join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+# ---------------------------------------------------------------- F20 / W04 over a DDL corpus
+
+DDL_KIND_SQL = r"""
+SELECT db_id, stmt_no, sql_text,
+  CASE WHEN regexp_matches(sql_text, '(?i)^\s*CREATE\s+DOMAIN\s') THEN 'DOMAIN'
+       WHEN regexp_matches(sql_text, '(?i)^\s*CREATE\s+(SEQUENCE|GENERATOR)\s') THEN 'SEQUENCE'
+       WHEN regexp_matches(sql_text, '(?i)^\s*CREATE\s+OR\s+ALTER\s+PROCEDURE\s') THEN 'PROCEDURE'
+       WHEN regexp_matches(sql_text, '(?i)^\s*CREATE\s+VIEW\s') THEN 'VIEW'
+       WHEN regexp_matches(sql_text, '(?i)^\s*CREATE\s+(UNIQUE\s+)?(DESCENDING\s+)?INDEX\s') THEN 'INDEX'
+       WHEN regexp_matches(sql_text, '(?i)^\s*ALTER\s+TABLE\s+\S+\s+ADD\s+CONSTRAINT\s') THEN 'CONSTRAINT' END AS kind,
+  upper(replace(CASE
+       WHEN regexp_matches(sql_text, '(?i)^\s*ALTER\s+TABLE') THEN regexp_extract(sql_text, '(?i)ADD\s+CONSTRAINT\s+("[^"]+"|[^\s(;]+)', 1)
+       WHEN regexp_matches(sql_text, '(?i)^\s*CREATE\s+OR\s+ALTER') THEN regexp_extract(sql_text, '(?i)^\s*CREATE\s+OR\s+ALTER\s+\S+\s+("[^"]+"|[^\s(;]+)', 1)
+       WHEN regexp_matches(sql_text, '(?i)INDEX\s') THEN regexp_extract(sql_text, '(?i)INDEX\s+("[^"]+"|[^\s(;]+)', 1)
+       ELSE regexp_extract(sql_text, '(?i)^\s*CREATE\s+\S+\s+("[^"]+"|[^\s(;]+)', 1) END, '"', '')) AS name
+FROM fx_ddl"""
+
+
+def _ddl_kinds(spark, sf):
+    register_fixtures(spark, sf)
+    d = spark.table("fx_ddl")
+    kind, name = S.statement_kind(F.col("sql_text"))
+    return d.select("db_id", "stmt_no", "sql_text", kind.alias("kind"), name.alias("name"))
+
+
+register("statement_kind", DDL_KIND_SQL)(_ddl_kinds)
+
+register("latest_definition", f"""
+WITH k AS ({DDL_KIND_SQL})
+SELECT db_id, kind, name,
+       CASE WHEN kind IN ('SEQUENCE', 'DOMAIN') THEN min(stmt_no) ELSE max(stmt_no) END AS stmt_no,
+       CASE WHEN kind IN ('SEQUENCE', 'DOMAIN') THEN arg_min(sql_text, stmt_no) ELSE arg_max(sql_text, stmt_no) END AS sql_text,
+       count(*) AS declarations
+FROM k GROUP BY db_id, kind, name""")(
+    lambda spark, sf: S.latest_definition(_ddl_kinds(spark, sf), ["db_id"]))

@@ -40,6 +40,7 @@ FX_VIEWS = (
     ("fx_database", "SELECT DISTINCT db_id, CAST(2 + db_id % 4 AS INT) AS major FROM fx_table"),
     ("fx_t_pk", "SELECT db_id, table_name, pk_name, k FROM fx_pk WHERE k % 37 <> 0"),
     ("fx_t_pk_col", "SELECT db_id, table_name, pk_name, ordinal, CASE WHEN c % 5 = 0 THEN 'C0' ELSE column_name END AS column_name, c FROM fx_pk_col p JOIN (SELECT db_id AS d, table_name AS tn, c FROM fx_pk) x ON x.d = p.db_id AND x.tn = p.table_name"),
+    ("fx_ddl", "SELECT doc_id % 5 AS db_id, doc_id AS stmt_no, CASE doc_id % 6 WHEN 0 THEN concat('CREATE OR ALTER PROCEDURE P', CAST(doc_id % 37 AS VARCHAR(20)), ' AS BEGIN SUSPEND; END') WHEN 1 THEN concat('CREATE SEQUENCE S', CAST(doc_id % 23 AS VARCHAR(20))) WHEN 2 THEN concat('CREATE DOMAIN \"D', CAST(doc_id % 19 AS VARCHAR(20)), '\" AS VARCHAR(', CAST(n_chars % 100 + 1 AS VARCHAR(20)), ')') WHEN 3 THEN concat('create view v', CAST(doc_id % 29 AS VARCHAR(20)), ' AS SELECT ', CAST(doc_id AS VARCHAR(20)), ' FROM RDB$DATABASE') WHEN 4 THEN concat('CREATE DESCENDING INDEX IX', CAST(doc_id % 31 AS VARCHAR(20)), ' ON T (C', CAST(doc_id % 7 AS VARCHAR(20)), ')') ELSE concat('ALTER TABLE T ADD CONSTRAINT FK', CAST(doc_id % 13 AS VARCHAR(20)), ' FOREIGN KEY (A) REFERENCES R (B)') END AS sql_text FROM documents"),
     ("fx_proc", "SELECT doc_id % 7 AS db_id, 'PROCEDURE' AS kind, concat('P', CAST(doc_id AS VARCHAR(20))) AS name, doc_id % 10 = 9 AS ignore_body, CASE doc_id % 4 WHEN 0 THEN concat('AS BEGIN EXECUTE PROCEDURE P', CAST(doc_id - 7 AS VARCHAR(20)), '(1); END') WHEN 1 THEN concat('AS BEGIN SELECT X FROM \"P', CAST(doc_id - 14 AS VARCHAR(20)), '\"(1) JOIN p', CAST(doc_id - 7 AS VARCHAR(20)), ' ON 1 = 1; END') WHEN 2 THEN concat('AS BEGIN EXECUTE PROCEDURE \"P', CAST(doc_id + 7 AS VARCHAR(20)), '\"; END') ELSE 'AS BEGIN SUSPEND; END' END AS source FROM documents"),
 )
 
