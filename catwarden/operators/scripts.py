@@ -51,8 +51,8 @@ def script_charset(content: Column) -> Column:
     lines = F.slice(F.split(text, r"\r\n|\n|\r"), 1, CHARSET_SCAN_LINES)
     hits = F.filter(lines, lambda l: F.upper(F.regexp_replace(l, r"^\s+", "")).startswith("SET NAMES")
                     & (F.size(F.split(F.trim(l), " +")) >= 3))
-    first = F.element_at(hits, 1)
-    name = F.upper(F.trim(F.replace(F.element_at(F.split(F.trim(first), " +"), 3), F.lit(";"), F.lit(""))))
+    first = F.try_element_at(hits, F.lit(1))
+    name = F.upper(F.trim(F.replace(F.try_element_at(F.split(F.trim(first), " +"), F.lit(3)), F.lit(";"), F.lit(""))))
     return F.coalesce(name, F.lit("UTF8"))
 
 

@@ -9,20 +9,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.monitor import gap_findings
 
+
+def _event_time(df: DataFrame, col: str = "ts"):
+    """Watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as UTC
+    wall time (the session time zone is UTC) and window bounds are cast
+    back so stream and batch twin keep the input's type."""
+    ntz = isinstance(df.schema[col].dataType, T.TimestampNTZType)
+    ev = df.withColumn("_event_ts", F.col(col).cast("timestamp") if ntz else F.col(col))
+    back = (lambda c: c.cast("timestamp_ntz")) if ntz else (lambda c: c)
+    return ev, back
+
+
 CHECKPOINT_SECONDS = 30  # Fixed value: checkpoint interval of the throughput report
 
 
 def operational_windows(samples: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Per database and tumbling window, the latest sample (``max_by``
     on ts, bounded state per (db, window)), then the O01-O05 thresholds."""
-    w = (samples.withWatermark("ts", watermark)
-                .groupBy("db_id", F.window("ts", window).alias("w"))
-                .agg(F.max_by(F.struct("sample_id", "ts", "oit", "oat", "ost"), "ts").alias("s"),
-                     F.count(F.lit(1)).alias("samples")))
-    latest = w.select("db_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+    ev, back = _event_time(samples)
+    w = (ev.withWatermark("_event_ts", watermark)
+           .groupBy("db_id", F.window("_event_ts", window).alias("w"))
+           .agg(F.max_by(F.struct("sample_id", "ts", "oit", "oat", "ost"), "_event_ts").alias("s"),
+                F.count(F.lit(1)).alias("samples")))
+    latest = w.select("db_id", back(F.col("w.start")).alias("window_start"), back(F.col("w.end")).alias("window_end"),
                       "samples", "s.sample_id", "s.ts", "s.oit", "s.oat", "s.ost")
     return latest
 
@@ -33,10 +46,11 @@ def operational_window_findings(latest: DataFrame) -> DataFrame:
 
 def throughput(events: DataFrame, seconds: int = CHECKPOINT_SECONDS, watermark: str = "1 minute") -> DataFrame:
     """Units per fixed window and the rate (units / window seconds)."""
-    w = (events.withWatermark("ts", watermark)
-               .groupBy(F.window("ts", f"{seconds} seconds").alias("w"))
-               .agg(F.count(F.lit(1)).alias("units")))
-    return w.select(F.col("w.start").alias("window_start"), "units",
+    ev, back = _event_time(events)
+    w = (ev.withWatermark("_event_ts", watermark)
+           .groupBy(F.window("_event_ts", f"{seconds} seconds").alias("w"))
+           .agg(F.count(F.lit(1)).alias("units")))
+    return w.select(back(F.col("w.start")).alias("window_start"), "units",
                     (F.col("units") / F.lit(float(seconds))).alias("rate"))
 
 
