@@ -25,7 +25,6 @@ from .graph import fk_depth
 
 ITEM_COLS = ["db_id", "bucket", "object_type", "table_name", "name", "attr"]
 CMD_COLS = ["db_id", "class", "table_name", "seq", "sql"]
-NULL_S = F.lit(None).cast("string")
 
 
 class DiffResult:
@@ -46,9 +45,9 @@ class DiffResult:
 def _item(df, bucket, object_type, table=None, name=None, attr=None):
     return df.select(
         "db_id", F.lit(bucket).alias("bucket"), F.lit(object_type).alias("object_type"),
-        (table if table is not None else NULL_S).alias("table_name"),
-        (name if name is not None else NULL_S).alias("name"),
-        (attr if attr is not None else NULL_S).alias("attr"))
+        (table if table is not None else F.lit(None).cast("string")).alias("table_name"),
+        (name if name is not None else F.lit(None).cast("string")).alias("name"),
+        (attr if attr is not None else F.lit(None).cast("string")).alias("attr"))
 
 
 def _cmd(df, cls, table, seq, sql):

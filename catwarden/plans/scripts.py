@@ -101,7 +101,7 @@ register("script_charset", f"""
 SELECT DISTINCT {PATH_SQL} AS path, CASE WHEN file_no % 2 = 1 THEN 'ISO8859_1' ELSE 'UTF8' END AS charset FROM fx_stmt""")(
     lambda spark, sf: corpus(spark, sf).select("path", S.script_charset(F.col("content")).alias("charset")))
 
-register("run_metrics", f"""
+@register("run_metrics", f"""
 WITH {EXPECTED_CTE},
 lines AS (SELECT file_no, sum(pre_len + body_len + post_len) AS body_lines,
                  count(*) FILTER (WHERE stmt_no % 25 = 0) AS blocks FROM blk GROUP BY file_no),
@@ -151,7 +151,7 @@ def dml_kind(sql):
              .otherwise(F.lit("OTHER")))
 
 
-register("statement_profile", f"""
+@register("statement_profile", f"""
 WITH {EXPECTED_CTE}
 SELECT path, CASE WHEN regexp_matches(sql_text, '(?is)^\\s*UPDATE\\s+OR\\s+INSERT\\b') THEN 'UPSERT'
                   WHEN regexp_matches(sql_text, '(?is)^\\s*INSERT\\b') THEN 'INSERT'
