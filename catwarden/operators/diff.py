@@ -301,7 +301,7 @@ def diff_routines(src: Catalog, tgt: Catalog):
 
 
 def diff_named(src_df: DataFrame | None, tgt_df: DataFrame | None, object_type: str, compare_cols: list[str],
-               create_sql=None, cls: int = 70, warn_on_differs: bool = True):
+               create_sql=None, cls: int = 70, warn_on_differs: bool = True, normalize=None):
     """Generic by-name diff for views, sequences and domains."""
     if src_df is None or tgt_df is None:
         return None, None
@@ -314,8 +314,8 @@ def diff_named(src_df: DataFrame | None, tgt_df: DataFrame | None, object_type:
     frames = [_item(missing, "created", object_type, None, F.col("name")),
               _item(target_only, "target_only", object_type, None, F.col("t_name"))]
     if compare_cols and warn_on_differs:
-        cond = reduce(lambda a, b: a | b, [~F.upper(F.col(c).cast("string")).eqNullSafe(F.upper(F.col("t_" + c).cast("string")))
-                                           for c in compare_cols])
+        norm = normalize or (lambda c: F.upper(c.cast("string")))
+        cond = reduce(lambda a, b: a | b, [~norm(F.col(c)).eqNullSafe(norm(F.col("t_" + c))) for c in compare_cols])
         frames.append(_item(j.where(F.col("name").isNotNull() & F.col("t_name").isNotNull() & cond),
                             "warning", object_type, None, F.col("name")))
     cmds = None
@@ -324,9 +324,88 @@ def diff_named(src_df: DataFrame | None, tgt_df: DataFrame | None, object_type:
     return _union(frames), cmds
 
 
+def _norm_check(c):
+    """CR/LF/TAB separated words joined by one space, trimmed, upper."""
+    return F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n\t]+", " ")))
+
+
+def _by_name_in_tables(src_df, tgt_df, common, name_col="name"):
+    s = _with_tkey(src_df).withColumn("nkey", F.upper(name_col)).join(common.select("db_id", "tkey"), ["db_id", "tkey"], "left_semi")
+    t = _with_tkey(tgt_df).withColumn("nkey", F.upper(name_col)).join(common.select("db_id", "tkey"), ["db_id", "tkey"], "left_semi")
+    return s, t
+
+
+def diff_uniques(src: Catalog, tgt: Catalog):
+    """Unique constraints by name on common tables; missing -> ADD UNIQUE;
+    a different column list is a warning only. Extras ``uniques``:
+    ``db_id, table_name, name, cols``."""
+    if "uniques" not in src.extras or "uniques" not in tgt.extras:
+        return None, None
+    s, t = _by_name_in_tables(src.extras["uniques"], tgt.extras["uniques"], _common_tables(src, tgt))
+    keys = ["db_id", "tkey", "nkey"]
+    tt = t.select(*keys, F.col("name").alias("t_name"), F.col("cols").alias("t_cols"), F.col("table_name").alias("t_table"))
+    j = s.join(tt, keys, "full_outer")
+    missing = j.where(F.col("t_name").isNull())
+    only_t = j.where(F.col("name").isNull())
+    differs = j.where(F.col("name").isNotNull() & F.col("t_name").isNotNull()
+                      & (F.upper(F.array_join("cols", "|")) != F.upper(F.array_join("t_cols", "|"))))
+    items = _union([_item(missing, "created", "UNIQUE", F.col("table_name"), F.col("name")),
+                    _item(only_t, "target_only", "UNIQUE", F.col("t_table"), F.col("t_name")),
+                    _item(differs, "warning", "UNIQUE", F.col("table_name"), F.col("name"))])
+    sql = F.concat(F.lit("ALTER TABLE "), R.quote_ident(F.col("table_name")),
+                   F.when(R.is_integ_name(F.col("name")), F.lit(" ADD UNIQUE ("))
+                    .otherwise(F.concat(F.lit(" ADD CONSTRAINT "), R.quote_ident(F.col("name")), F.lit(" UNIQUE ("))),
+                   R.ident_list(F.col("cols")), F.lit(");"))
+    return items, _cmd(missing, 42, F.col("table_name"), F.col("name"), sql)
+
+
+def diff_checks(src: Catalog, tgt: Catalog):
+    """Check constraints by name; normalised text differs -> warning.
+    Extras ``checks``: ``db_id, table_name, name, check_sql``."""
+    if "checks" not in src.extras or "checks" not in tgt.extras:
+        return None, None
+    s, t = _by_name_in_tables(src.extras["checks"], tgt.extras["checks"], _common_tables(src, tgt))
+    keys = ["db_id", "tkey", "nkey"]
+    tt = t.select(*keys, F.col("name").alias("t_name"), F.col("check_sql").alias("t_check"),
+                  F.col("table_name").alias("t_table"))
+    j = s.join(tt, keys, "full_outer")
+    missing = j.where(F.col("t_name").isNull())
+    only_t = j.where(F.col("name").isNull())
+    differs = j.where(F.col("name").isNotNull() & F.col("t_name").isNotNull()
+                      & (_norm_check(F.col("check_sql")) != _norm_check(F.col("t_check"))))
+    items = _union([_item(missing, "created", "CHECK", F.col("table_name"), F.col("name")),
+                    _item(only_t, "target_only", "CHECK", F.col("t_table"), F.col("t_name")),
+                    _item(differs, "warning", "CHECK", F.col("table_name"), F.col("name"))])
+    body = R.strip_ws(F.col("check_sql"))
+    body = F.when(F.upper(body).startswith("CHECK"), body).otherwise(F.concat(F.lit("CHECK ("), body, F.lit(")")))
+    sql = F.concat(F.lit("ALTER TABLE "), R.quote_ident(F.col("table_name")),
+                   F.when(R.is_integ_name(F.col("name")), F.lit(" ADD "))
+                    .otherwise(F.concat(F.lit(" ADD CONSTRAINT "), R.quote_ident(F.col("name")), F.lit(" "))),
+                   body, F.lit(";"))
+    return items, _cmd(missing, 43, F.col("table_name"), F.col("name"), sql)
+
+
+def diff_domains(src: Catalog, tgt: Catalog, db_charset=None):
+    """D10 (opt-in): missing -> CREATE DOMAIN; type, nullability, default,
+    check or charset differing -> warning. Implicit ``RDB$`` domains skipped."""
+    if src.domains is None or tgt.domains is None:
+        return None, None
+    def user(d):
+        d = d.where(~F.upper("name").startswith("RDB$"))
+        return d if "charset" in d.columns else d.withColumn("charset", F.lit(None).cast("string"))
+    sd, td = user(src.domains), user(tgt.domains)
+    create = F.concat(
+        F.lit("CREATE DOMAIN "), R.quote_ident(F.col("name")), F.lit(" AS "), F.col("sql_type"),
+        F.when(R.blank(F.col("charset")), F.lit("")).otherwise(F.concat(F.lit(" CHARACTER SET "), F.col("charset"))),
+        F.when(R.blank(F.col("default_sql")), F.lit("")).otherwise(F.concat(F.lit(" "), F.col("default_sql"))),
+        F.when(F.coalesce("nullable", F.lit(True)), F.lit("")).otherwise(F.lit(" NOT NULL")),
+        F.when(R.blank(F.col("check_sql")), F.lit("")).otherwise(F.concat(F.lit(" "), F.col("check_sql"))), F.lit(";"))
+    return diff_named(sd, td, "DOMAIN", ["sql_type", "nullable", "default_sql", "check_sql", "charset"], create, 15)
+
+
 # ---- whole diff, ordering (W06), summary (D14) -------------------------------------
 
-def diff(src: Catalog, tgt: Catalog) -> DiffResult:
+def diff(src: Catalog, tgt: Catalog, include_domains: bool = False) -> DiffResult:
     parts = [diff_tables(src, tgt), diff_columns(src, tgt), diff_pk(src, tgt), diff_fks(src, tgt),
              diff_indexes(src, tgt), diff_routines(src, tgt)]
     ex_s, ex_t = src.extras, tgt.extras
@@ -336,7 +415,10 @@ def diff(src: Catalog, tgt: Catalog) -> DiffResult:
     if "views" in ex_s and "views" in ex_t:
         parts.append(diff_named(ex_s["views"], ex_t["views"], "VIEW", ["select_sql"],
                                 F.concat(F.lit("CREATE VIEW "), R.quote_ident(F.col("name")), F.lit(" AS "),
-                                         R.strip_ws(F.col("select_sql")), F.lit(";")), 25))
+                                         R.strip_ws(F.col("select_sql")), F.lit(";")), 25, normalize=_source_norm))
+    parts += [diff_uniques(src, tgt), diff_checks(src, tgt)]
+    if include_domains:
+        parts.append(diff_domains(src, tgt))
     items = _union([p[0] for p in parts if p[0] is not None])
     cmds = _union([p[1] for p in parts if p[1] is not None])
     return DiffResult(items, lambda: order_commands(cmds, src))
