@@ -41,6 +41,14 @@ FX_VIEWS = (
     ("fx_t_pk", "SELECT db_id, table_name, pk_name, k FROM fx_pk WHERE k % 37 <> 0"),
     ("fx_t_pk_col", "SELECT db_id, table_name, pk_name, ordinal, CASE WHEN c % 5 = 0 THEN 'C0' ELSE column_name END AS column_name, c FROM fx_pk_col p JOIN (SELECT db_id AS d, table_name AS tn, c FROM fx_pk) x ON x.d = p.db_id AND x.tn = p.table_name"),
     ("fx_ddl", "SELECT doc_id % 5 AS db_id, doc_id AS stmt_no, CASE doc_id % 6 WHEN 0 THEN concat('CREATE OR ALTER PROCEDURE P', CAST(doc_id % 37 AS VARCHAR(20)), ' AS BEGIN SUSPEND; END') WHEN 1 THEN concat('CREATE SEQUENCE S', CAST(doc_id % 23 AS VARCHAR(20))) WHEN 2 THEN concat('CREATE DOMAIN \"D', CAST(doc_id % 19 AS VARCHAR(20)), '\" AS VARCHAR(', CAST(n_chars % 100 + 1 AS VARCHAR(20)), ')') WHEN 3 THEN concat('create view v', CAST(doc_id % 29 AS VARCHAR(20)), ' AS SELECT ', CAST(doc_id AS VARCHAR(20)), ' FROM RDB$DATABASE') WHEN 4 THEN concat('CREATE DESCENDING INDEX IX', CAST(doc_id % 31 AS VARCHAR(20)), ' ON T (C', CAST(doc_id % 7 AS VARCHAR(20)), ')') ELSE concat('ALTER TABLE T ADD CONSTRAINT FK', CAST(doc_id % 13 AS VARCHAR(20)), ' FOREIGN KEY (A) REFERENCES R (B)') END AS sql_text FROM documents"),
+    ("fx_rdb_character_sets", "SELECT db_id, 53 AS character_set_id, 'WIN1252' AS character_set_name, 1 AS bytes_per_character FROM fx_database UNION ALL SELECT db_id, 10, 'EUCJ_0208', 2 FROM fx_database UNION ALL SELECT db_id, 3, 'UNICODE_FSS', 3 FROM fx_database UNION ALL SELECT db_id, 4, 'UTF8', 4 FROM fx_database"),
+    ("fx_rdb_relations", "SELECT db_id, table_name AS relation_name, 0 AS system_flag, CAST(NULL AS VARCHAR(20)) AS view_blr FROM fx_table UNION ALL SELECT db_id, 'RDB$PAGES', 1, CAST(NULL AS VARCHAR(20)) FROM fx_database UNION ALL SELECT db_id, concat('V_', CAST(db_id AS VARCHAR(20))), 0, 'blr' FROM fx_database"),
+    ("fx_rdb_relation_fields", "SELECT db_id, table_name AS relation_name, column_name AS field_name, concat('RDB$F', CAST(p AS VARCHAR(20)), '_', CAST(s AS VARCHAR(20)), '_', table_name, '_', CAST(ordinal AS VARCHAR(20))) AS field_source, ordinal - 1 AS field_position, CASE WHEN nullable THEN NULL ELSE 1 END AS null_flag, CASE WHEN p % 5 = 0 THEN NULL ELSE default_sql END AS default_source FROM fx_column"),
+    ("fx_rdb_fields", "SELECT db_id, concat('RDB$F', CAST(p AS VARCHAR(20)), '_', CAST(s AS VARCHAR(20)), '_', table_name, '_', CAST(ordinal AS VARCHAR(20))) AS field_name, CASE sql_type WHEN 'INTEGER' THEN 8 WHEN 'VARCHAR(100)' THEN 37 WHEN 'VARCHAR(20000)' THEN 37 WHEN 'NUMERIC(15,2)' THEN 16 WHEN 'NUMERIC(20,2)' THEN 26 WHEN 'BOOLEAN' THEN 23 WHEN 'TYPE_999' THEN 999 WHEN 'NUMERIC(40,2)' THEN 26 ELSE 35 END AS field_type, CASE WHEN sql_type LIKE 'NUMERIC%' THEN 1 ELSE 0 END AS field_sub_type, CASE sql_type WHEN 'VARCHAR(100)' THEN 100 * bytes_per_char WHEN 'VARCHAR(20000)' THEN 20000 * bytes_per_char ELSE 8 END AS field_length, CASE sql_type WHEN 'NUMERIC(15,2)' THEN 15 WHEN 'NUMERIC(20,2)' THEN 20 WHEN 'NUMERIC(40,2)' THEN 40 WHEN 'INTEGER' THEN 0 END AS field_precision, CASE WHEN sql_type LIKE 'NUMERIC%' THEN -2 ELSE 0 END AS field_scale, CASE sql_type WHEN 'VARCHAR(100)' THEN 100 WHEN 'VARCHAR(20000)' THEN 20000 END AS character_length, CASE bytes_per_char WHEN 1 THEN 53 WHEN 2 THEN 10 WHEN 3 THEN 3 ELSE 4 END AS character_set_id, CASE WHEN p % 5 = 0 THEN '= 5' END AS default_source, CASE WHEN computed_sql IS NULL THEN NULL ELSE concat(' ', computed_sql, chr(10)) END AS computed_source, 0 AS system_flag FROM fx_column"),
+    ("fx_rdb_relation_constraints", "SELECT db_id, pk_name AS constraint_name, 'PRIMARY KEY' AS constraint_type, table_name AS relation_name, concat('RDB$PRIMARY', CAST(k AS VARCHAR(20))) AS index_name FROM fx_pk UNION ALL SELECT db_id, fk_name, 'FOREIGN KEY', table_name, concat('RDB$FOREIGN_', fk_name) FROM fx_fk"),
+    ("fx_rdb_ref_constraints", "SELECT db_id, fk_name AS constraint_name, concat('PK_', ref_table) AS const_name_uq, update_rule, delete_rule FROM fx_fk"),
+    ("fx_rdb_index_segments", "SELECT p.db_id, concat('RDB$PRIMARY', CAST(k.k AS VARCHAR(20))) AS index_name, p.column_name AS field_name, p.ordinal - 1 AS field_position FROM fx_pk_col p JOIN fx_pk k ON k.db_id = p.db_id AND k.table_name = p.table_name UNION ALL SELECT db_id, concat('RDB$FOREIGN_', fk_name), column_name, ordinal - 1 FROM fx_fk_col WHERE column_name IS NOT NULL UNION ALL SELECT db_id, index_name, column_name, ordinal - 1 FROM fx_index_col"),
+    ("fx_rdb_indices", "SELECT db_id, index_name, table_name AS relation_name, CASE WHEN is_unique THEN 1 ELSE 0 END AS unique_flag, CASE WHEN is_desc THEN 1 ELSE 0 END AS index_type, 0 AS system_flag FROM fx_index UNION ALL SELECT db_id, concat('RDB$PRIMARY', CAST(k AS VARCHAR(20))), table_name, 1, 0, 0 FROM fx_pk UNION ALL SELECT db_id, concat('RDB$FOREIGN_', fk_name), table_name, 0, 0, 0 FROM fx_fk"),
     ("fx_proc", "SELECT doc_id % 7 AS db_id, 'PROCEDURE' AS kind, concat('P', CAST(doc_id AS VARCHAR(20))) AS name, doc_id % 10 = 9 AS ignore_body, CASE doc_id % 4 WHEN 0 THEN concat('AS BEGIN EXECUTE PROCEDURE P', CAST(doc_id - 7 AS VARCHAR(20)), '(1); END') WHEN 1 THEN concat('AS BEGIN SELECT X FROM \"P', CAST(doc_id - 14 AS VARCHAR(20)), '\"(1) JOIN p', CAST(doc_id - 7 AS VARCHAR(20)), ' ON 1 = 1; END') WHEN 2 THEN concat('AS BEGIN EXECUTE PROCEDURE \"P', CAST(doc_id + 7 AS VARCHAR(20)), '\"; END') ELSE 'AS BEGIN SUSPEND; END' END AS source FROM documents"),
 )
 

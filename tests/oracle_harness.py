@@ -50,6 +50,21 @@ def _key(row):
     return tuple((x is None, str(type(x)), str(x)) for x in row)
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "StringType": "VARCHAR", "DoubleType": "DOUBLE",
+                 "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "ShortType": "SMALLINT",
+                 "DateType": "DATE", "BinaryType": "BLOB", "FloatType": "FLOAT"}
+
+
+def type_diffs(schema, d_types):
+    diffs = {}
+    for f in schema.fields:
+        s = SPARK_TO_DUCK.get(type(f.dataType).__name__, str(f.dataType))
+        d = d_types.get(f.name, "?")
+        if s != d and not (s.startswith("Decimal") and d.startswith("DECIMAL")):
+            diffs[f.name] = (s, d)
+    return diffs
+
+
 def compare(spark, con, name, q, sf_dir):
     t0 = time.time()
     sdf = q.spark(spark, sf_dir)
@@ -60,6 +75,7 @@ def compare(spark, con, name, q, sf_dir):
         return {"name": name, "status": "no-oracle", "rows": len(s_rows), "spark_s": round(t1 - t0, 2)}
     res = con.execute(q.sql)
     d_cols = [c[0] for c in res.description]
+    d_types = {c[0]: str(c[1]) for c in res.description}
     d_rows = res.fetchall()
     t2 = time.time()
     out = {"name": name, "rows": len(s_rows), "oracle_rows": len(d_rows),
@@ -67,6 +83,7 @@ def compare(spark, con, name, q, sf_dir):
     if sorted(s_cols) != sorted(d_cols):
         out.update(status="schema", spark_cols=s_cols, duck_cols=d_cols)
         return out
+    out["type_diffs"] = type_diffs(sdf.schema, d_types)
     order = sorted(s_cols)
     si = [s_cols.index(c) for c in order]
     di = [d_cols.index(c) for c in order]
