@@ -101,7 +101,7 @@ def top5_with_others(scored: DataFrame) -> DataFrame:
     bucket = F.when(F.col("rn") <= 5, F.col("code")).otherwise(F.lit("OTHERS"))
     return (ranked.groupBy("db_id", bucket.alias("code"))
                   .agg(F.sum("n").alias("n"), F.sum("_pct").cast("double").alias("percent"),
-                       F.min("rn").alias("rank")))
+                       F.min("rn").cast("bigint").alias("rank")))
 
 
 def object_counts(cat: Catalog, prefixes=()) -> DataFrame:

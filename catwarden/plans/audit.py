@@ -310,7 +310,7 @@ per AS (SELECT db_id, min(code) AS code, count(*) AS n FROM findings GROUP BY db
 tot AS (SELECT db_id, sum(n) AS t FROM per GROUP BY db_id),
 pc AS (SELECT db_id, code, n, {PCT_SQL} AS p100 FROM per JOIN tot USING (db_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY n DESC, upper(code)) AS rn FROM pc)
-SELECT db_id, CASE WHEN rn <= 5 THEN code ELSE 'OTHERS' END AS code, sum(n) AS n,
+SELECT db_id, CASE WHEN rn <= 5 THEN code ELSE 'OTHERS' END AS code, CAST(sum(n) AS BIGINT) AS n,
        CAST(sum(p100) AS DOUBLE) / 100 AS percent, min(rn) AS rank
 FROM rk GROUP BY db_id, CASE WHEN rn <= 5 THEN code ELSE 'OTHERS' END""")
 def q_top5(spark, sf_dir):

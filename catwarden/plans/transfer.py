@@ -99,7 +99,7 @@ def q_quote_text(spark, sf):
 register("writable_columns", """
 SELECT db_id, table_name, ordinal, column_name FROM fx_column
 WHERE computed_sql IS NULL OR regexp_replace(computed_sql, '\\s', '', 'g') = ''""")(
-    lambda spark, sf: X.writable_columns(fixture_catalog(spark, sf)))
+    lambda spark, sf: X.writable_columns(fixture_catalog(spark, sf)).withColumn("ordinal", F.col("ordinal").cast("bigint")))
 
 
 @register("writable_upsert_check", """
