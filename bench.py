@@ -30,6 +30,9 @@ def main() -> None:
     from catwarden.sources.fixtures import register_fixtures
 
     spark = local_session(cpus, app="catwarden-bench")
+    for kv in [x for x in os.environ.get("BENCH_CONF", "").split(",") if x]:
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     reg = load_all()
     times: dict[str, float] = {}
     t0 = time.time()

@@ -18,6 +18,17 @@ from .catalog import TABLE_KEYS, Catalog, ordered_names
 FINDING_COLS = ["db_id", "code", "severity", "scope"]
 
 
+def _shared(cat: Catalog, key, build):
+    """Intermediates used by several rules (index column lists, FK state,
+    column keys) are built once per catalog and persisted MEMORY_AND_DISK
+    (lineage kept), so the ~20 rules of one audit share one computation."""
+    from pyspark import StorageLevel
+    memo = cat.extras.setdefault("_shared", {})
+    if key not in memo:
+        memo[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return memo[key]
+
+
 def _finding(df: DataFrame, code: str, severity: str, scope) -> DataFrame:
     return df.select("db_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"),
                      scope.alias("scope"))
@@ -70,7 +81,7 @@ def _visible(df: DataFrame, cat: Catalog, prefixes) -> DataFrame:
 
 
 def _col_keys(cat: Catalog) -> DataFrame:
-    return cat.columns.select(*TABLE_KEYS, F.upper("column_name").alias("ckey")).distinct()
+    return _shared(cat, "col_keys", lambda: cat.columns.select(*TABLE_KEYS, F.upper("column_name").alias("ckey")).distinct())
 
 
 # ---- table structure -------------------------------------------------------
@@ -120,6 +131,12 @@ FK_KEYS = TABLE_KEYS + ["fk_name"]
 
 def fk_frame(cat: Catalog, prefixes=()) -> DataFrame:
     """FKs of visible tables with local/ref column counts and state flags."""
+    if not normalize_prefixes(prefixes):
+        return _shared(cat, "fk_frame", lambda: _fk_frame(cat, ()))
+    return _fk_frame(cat, prefixes)
+
+
+def _fk_frame(cat: Catalog, prefixes=()) -> DataFrame:
     counts = cat.fk_cols.groupBy(*FK_KEYS).agg(
         F.count("column_name").alias("n_local"), F.count("ref_column").alias("n_ref"))
     fks = (_visible(cat.fks, cat, prefixes)
@@ -179,9 +196,11 @@ def rule_fk_missing_referenced_column(cat: Catalog, prefixes=()) -> DataFrame:
 
 def index_column_lists(cat: Catalog) -> DataFrame:
     """db_id, table_name, index_name, cols (upper, by ordinal; [] when none)."""
-    lists = ordered_names(cat.index_cols, TABLE_KEYS + ["index_name"], "column_name", "cols")
-    return (cat.indexes.join(lists, TABLE_KEYS + ["index_name"], "left")
-                       .withColumn("cols", F.coalesce("cols", F.array().cast("array<string>"))))
+    def build():
+        lists = ordered_names(cat.index_cols, TABLE_KEYS + ["index_name"], "column_name", "cols")
+        return (cat.indexes.join(lists, TABLE_KEYS + ["index_name"], "left")
+                           .withColumn("cols", F.coalesce("cols", F.array().cast("array<string>"))))
+    return _shared(cat, "index_lists", build)
 
 
 def index_prefixes(idx: DataFrame) -> DataFrame:
