@@ -230,18 +230,18 @@ def diff_pk(src: Catalog, tgt: Catalog):
 # ---- signature-keyed objects: FKs (D07), indexes (D08), duplicates (D09) -----------
 
 def _dedupe_by_signature(df: DataFrame, name_col: str, side: str, object_type: str):
-    """Keep the first member of each signature per table; each later
-    member yields a ``first <-> later | signature`` warning. A group is
-    numbered with a window over (table, signature): members of one
-    signature inside one table, bounded by the table's constraint count."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("db_id", "tkey", "signature").orderBy(F.upper(name_col), name_col)
-    r = df.withColumn("_rn", F.row_number().over(w)).withColumn("_first", F.first(name_col).over(w))
-    warn = r.where(F.col("_rn") > 1)
+    """Keep the first member (by name) of each signature per table; each
+    later member yields a ``first <-> later | signature`` warning. The
+    first name is a per-group ``min_by`` aggregate joined back (no window
+    over a group, so one huge signature group is still split across tasks)."""
+    keys = ["db_id", "tkey", "signature"]
+    first = df.groupBy(*keys).agg(F.min_by(name_col, F.struct(F.upper(name_col), F.col(name_col))).alias("_first"))
+    r = df.join(first, keys)
+    warn = r.where(F.col(name_col) != F.col("_first"))
     warnings = _item(warn, "warning", object_type, F.col("table_name"), F.col(name_col),
                      F.concat(F.lit(f"DUPLICATE_{side}: "), F.col("_first"), F.lit(" <-> "), F.col(name_col),
                               F.lit(" | "), F.col("signature")))
-    return r.where(F.col("_rn") == 1).drop("_rn", "_first"), warnings
+    return r.where(F.col(name_col) == F.col("_first")).drop("_first"), warnings
 
 
 def _diff_by_signature(src_df, tgt_df, common, name_col, object_type, cls, sql_fn):

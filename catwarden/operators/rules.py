@@ -281,12 +281,13 @@ def redundant_prefix_pairs(cat: Catalog, prefixes=()) -> DataFrame:
     exploded strict prefixes: no pair enumeration inside a table."""
     idx = (_visible(index_column_lists(cat), cat, prefixes)
                                   .where(~F.col("is_unique") & (F.size("cols") > 0)))
+    # first longer index per (table, direction, strict prefix): aggregated
+    # before the join, so a prefix shared by many indexes stays one row
     longer = (index_prefixes(idx).where(F.col("k") < F.size("cols"))
-              .select(*TABLE_KEYS, "is_desc", "prefix", F.col("index_name").alias("long_name")))
+              .groupBy(*TABLE_KEYS, "is_desc", "prefix")
+              .agg(F.min_by("index_name", F.upper("index_name")).alias("long_name")))
     short = idx.select(*TABLE_KEYS, "is_desc", F.col("cols").alias("prefix"), F.col("index_name").alias("short_name"))
-    pairs = short.join(longer, TABLE_KEYS + ["is_desc", "prefix"])
-    return (pairs.groupBy(*TABLE_KEYS, "short_name")
-                 .agg(F.min_by("long_name", F.upper("long_name")).alias("long_name")))
+    return short.join(longer, TABLE_KEYS + ["is_desc", "prefix"]).select(*TABLE_KEYS, "short_name", "long_name")
 
 
 def rule_redundant_prefix_index(cat: Catalog, prefixes=()) -> DataFrame:

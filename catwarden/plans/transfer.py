@@ -199,3 +199,18 @@ def q_script_parts(spark, sf):
     header = sinks.header_lines("UTF8")
     parted = sinks.assign_parts(_order_script(spark, sf), 1024 * 1024, header)
     return sinks.part_summary(sinks.with_headers(parted, header))
+
+
+# ---------------------------------------------------------------- W08 checkpoint rows
+
+CHECKPOINT_EVERY = 50_000  # Fixed value: units between progress checkpoints
+
+
+@register("checkpoint_rows", f"""
+WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) AS row_no FROM lineitem)
+SELECT CAST(row_no AS BIGINT) AS row_no, l_orderkey, l_linenumber FROM n WHERE row_no % {CHECKPOINT_EVERY} = 0""")
+def q_checkpoint_rows(spark, sf):
+    """W08 (batch): the rows at which a progress checkpoint is taken (every
+    50,000 units); the 30-second variant is the throughput stream."""
+    numbered = X.global_row_number(_t(spark, sf, "lineitem"), LINE_ORDER)
+    return numbered.where(F.col("row_no") % CHECKPOINT_EVERY == 0).select("row_no", "l_orderkey", "l_linenumber")
