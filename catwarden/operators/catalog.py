@@ -103,6 +103,6 @@ def ordered_names(df: DataFrame, keys: list[str], name_col: str, out: str,
     val = F.upper(F.col(name_col)) if upper else F.col(name_col)
     return (df.where(F.col(name_col).isNotNull())
               .groupBy(*keys)
-              .agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("o"), val.alias("v"))))
+              .agg(F.sort_array(F.collect_list(F.struct(F.col("ordinal").alias("o"), val.alias("v"))))
                    .alias("_pairs"))
               .select(*keys, F.col("_pairs.v").alias(out)))

@@ -19,7 +19,7 @@ def top_codes(scored: DataFrame, k: int = 3) -> DataFrame:
     w = Window.partitionBy("db_id").orderBy(F.desc("n"), F.upper("code"))
     top = per.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     return (top.groupBy("db_id")
-               .agg(F.array_sort(F.collect_list(F.struct("rn", F.format_string("%s (%d)", "code", "n").alias("t"))))
+               .agg(F.sort_array(F.collect_list(F.struct("rn", F.format_string("%s (%d)", "code", "n").alias("t"))))
                     .alias("_l"))
                .select("db_id", F.array_join("_l.t", ", ").alias("top_codes")))
 

@@ -42,7 +42,7 @@ def build_corpus(stmts: DataFrame) -> DataFrame:
     """(path, content) per file; a file's statements are bounded (100) by
     construction, so assembling one file text in one group is bounded."""
     b = statement_blocks(stmts)
-    files = b.groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("stmt_no", "block"))).alias("_b"))
+    files = b.groupBy("file_no").agg(F.sort_array(F.collect_list(F.struct("stmt_no", "block"))).alias("_b"))
     charset = F.when(F.col("file_no") % 2 == 1, F.lit("ISO8859_1")).otherwise(F.lit("UTF8"))
     header = F.array(F.lit("SET SQL DIALECT 3;"), F.concat(F.lit("SET NAMES "), charset, F.lit(";")), F.lit(""))
     lines = F.concat(header, F.flatten(F.transform("_b", lambda x: x["block"])))

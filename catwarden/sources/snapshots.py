@@ -140,7 +140,7 @@ def catalog_from_documents(docs: DataFrame) -> Catalog:
 
 def _ordered(df, keys, name_col, out):
     return (df.where(F.col(name_col).isNotNull()).groupBy(*keys)
-              .agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col(name_col).alias("v")))).alias("_l"))
+              .agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col(name_col).alias("v")))).alias("_l"))
               .select(*keys, F.col("_l.v").alias(out)))
 
 
@@ -148,7 +148,7 @@ def documents_from_catalog(cat: Catalog) -> DataFrame:
     """Catalog tables -> one nested document per database (the inverse of
     ``catalog_from_documents`` for tables, keys, indexes and routines)."""
     tk = ["db_id", "table_name"]
-    cols = (cat.columns.groupBy(*tk).agg(F.array_sort(F.collect_list(F.struct(
+    cols = (cat.columns.groupBy(*tk).agg(F.sort_array(F.collect_list(F.struct(
         "ordinal", F.struct(F.col("column_name").alias("Nome"), F.col("sql_type").alias("TipoSql"),
                             F.lit(None).cast("string").alias("CharsetNome"),
                             F.col("bytes_per_char").cast("int").alias("BytesPorCaracter"),
