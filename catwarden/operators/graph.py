@@ -39,51 +39,44 @@ def fk_edges(cat: Catalog) -> DataFrame:
 
 
 def fk_depth(cat: Catalog) -> DataFrame:
-    """Per table the longest simple FK path to a root inside its
-    database (unknown references ignored; a self-reference gives 1) and
-    ``cyclic`` when the table lies on an FK cycle.
-
-    Simple paths grow one edge per round with a visited-set guard; the
-    frontier only holds paths that can still be extended."""
+    """FK depth per table by iterative peeling (state is one row per
+    table; rounds = the longest FK chain). A table whose referenced tables
+    were all peeled in earlier rounds is peeled now: depth = 1 + the largest
+    depth it references (0 for a root; unknown references are ignored).
+    Tables never peeled are on or behind an FK cycle (``cyclic``): their
+    depth is 1 + the largest depth among peeled tables they reference (cycle
+    edges count as 1). A self-reference gives at least 1."""
     edges = fk_edges(cat).persist()
-    tables = cat.tables.select("db_id", F.upper("table_name").alias("start"), "table_name")
     proper = edges.where(F.col("src") != F.col("dst"))
-    self_ref = edges.where(F.col("src") == F.col("dst")).select("db_id", F.col("src").alias("start"))
-
-    frontier = proper.select("db_id", F.col("src").alias("start"), F.col("dst").alias("node"),
-                             F.array("src", "dst").alias("path"))
-    reached, closes = [], []
-    rnd = 1
+    self_ref = edges.where(F.col("src") == F.col("dst")).select("db_id", F.col("src").alias("node")).distinct()
+    tables = cat.tables.select("db_id", F.upper("table_name").alias("node"), "table_name")
+    pending = tables.select("db_id", "node").distinct()
+    done = []
+    rnd = 0
     while rnd < SAFETY_ROUNDS:
-        frontier = _cut(frontier, rnd)
-        if frontier.isEmpty():
+        pending = _cut(pending, rnd + 1)
+        blocked = (proper.join(pending.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"], "left_semi")
+                         .select("db_id", F.col("src").alias("node")).distinct())
+        peel = pending.join(blocked, ["db_id", "node"], "left_anti").persist()
+        if peel.isEmpty():
             break
-        reached.append(frontier.select("db_id", "start").distinct().withColumn("len", F.lit(rnd)))
-        step = frontier.join(proper.withColumnRenamed("src", "node"), ["db_id", "node"])
-        closes.append(step.where(F.col("dst") == F.col("start")).select("db_id", "start").distinct())
-        frontier = (step.where(~F.array_contains("path", F.col("dst")))
-                        .select("db_id", "start", F.col("dst").alias("node"),
-                                F.concat("path", F.array("dst")).alias("path")))
+        done.append(peel.withColumn("depth", F.lit(rnd)))
+        pending = pending.join(peel, ["db_id", "node"], "left_anti")
         rnd += 1
-
-    depth = (reduce(DataFrame.unionByName, reached).groupBy("db_id", "start").agg(F.max("len").alias("depth"))
-             if reached else None)
-    out = tables
-    if depth is not None:
-        out = out.join(depth, ["db_id", "start"], "left")
-    else:
-        out = out.withColumn("depth", F.lit(None).cast("int"))
-    out = out.join(self_ref.withColumn("_self", F.lit(1)), ["db_id", "start"], "left")
-    cyc = (reduce(DataFrame.unionByName, closes).distinct().withColumn("cyclic", F.lit(True))
-           if closes else None)
-    if cyc is not None:
-        out = out.join(cyc, ["db_id", "start"], "left")
-    else:
-        out = out.withColumn("cyclic", F.lit(None).cast("boolean"))
-    return out.select(
-        "db_id", "table_name",
-        F.greatest(F.coalesce("depth", F.lit(0)), F.coalesce("_self", F.lit(0))).cast("int").alias("depth"),
-        F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    spark = cat.tables.sparkSession
+    peeled = (reduce(DataFrame.unionByName, done) if done
+              else spark.createDataFrame([], "db_id bigint, node string, depth int"))
+    succ = (proper.join(peeled.select("db_id", F.col("node").alias("dst"), F.col("depth").alias("d")), ["db_id", "dst"])
+                  .groupBy("db_id", F.col("src").alias("node")).agg(F.max("d").alias("succ_max")))
+    stuck = (pending.join(succ, ["db_id", "node"], "left")
+                    .select("db_id", "node", (F.coalesce("succ_max", F.lit(0)) + 1).alias("depth"),
+                            F.lit(True).alias("cyclic")))
+    all_nodes = peeled.select("db_id", "node", "depth", F.lit(False).alias("cyclic")).unionByName(stuck)
+    out = (tables.join(all_nodes, ["db_id", "node"], "left")
+                 .join(self_ref.withColumn("_self", F.lit(1)), ["db_id", "node"], "left"))
+    return out.select("db_id", "table_name",
+                      F.greatest(F.coalesce("depth", F.lit(0)), F.coalesce("_self", F.lit(0))).cast("int").alias("depth"),
+                      F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 # ---- routine call graph ------------------------------------------------------

@@ -245,20 +245,29 @@ edges AS (
   SELECT DISTINCT f.db_id, upper(f.table_name) AS src, upper(f.ref_table) AS dst FROM fx_fk f
   WHERE trim(coalesce(f.ref_table, '')) <> ''
     AND EXISTS (SELECT 1 FROM fx_table t WHERE t.db_id = f.db_id AND upper(t.table_name) = upper(f.ref_table))),
-paths AS (
-  SELECT db_id, src AS start, dst AS node, 1 AS len, [src, dst] AS path FROM edges WHERE src <> dst
+proper AS (SELECT * FROM edges WHERE src <> dst),
+walk AS (
+  SELECT db_id, src AS start, dst AS node, 1 AS len, [src, dst] AS path, false AS looped FROM proper
   UNION ALL
-  SELECT p.db_id, p.start, e.dst, p.len + 1, list_append(p.path, e.dst)
-  FROM paths p JOIN edges e ON e.db_id = p.db_id AND e.src = p.node
-  WHERE e.src <> e.dst AND NOT list_contains(p.path, e.dst)),
+  SELECT w.db_id, w.start, e.dst, w.len + 1, list_append(w.path, e.dst), list_contains(w.path, e.dst)
+  FROM walk w JOIN proper e ON e.db_id = w.db_id AND e.src = w.node
+  WHERE NOT w.looped),
+reach AS (SELECT db_id, start, bool_or(looped) AS cyc, max(len) AS longest FROM walk GROUP BY db_id, start),
+acyclic AS (SELECT db_id, start AS node, longest AS d FROM reach WHERE NOT cyc),
+stuck AS (
+  SELECT r.db_id, r.start AS node,
+         1 + coalesce((SELECT max(coalesce(a.d, 0)) FROM proper e LEFT JOIN reach r2 ON r2.db_id = e.db_id AND r2.start = e.dst
+                       LEFT JOIN acyclic a ON a.db_id = e.db_id AND a.node = e.dst
+                       WHERE e.db_id = r.db_id AND e.src = r.start AND NOT coalesce(r2.cyc, false)), 0) AS d
+  FROM reach r WHERE r.cyc),
 depth AS (
   SELECT t.db_id, t.table_name,
-    CAST(greatest(coalesce((SELECT max(len) FROM paths p WHERE p.db_id = t.db_id AND p.start = upper(t.table_name)), 0),
+    CAST(greatest(coalesce(a.d, s.d, 0),
                   CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.db_id = t.db_id AND e.src = upper(t.table_name)
                                     AND e.dst = e.src) THEN 1 ELSE 0 END) AS INT) AS depth,
-    EXISTS (SELECT 1 FROM paths p JOIN edges e ON e.db_id = p.db_id AND e.src = p.node
-            WHERE p.db_id = t.db_id AND p.start = upper(t.table_name) AND e.dst = p.start) AS cyclic
-  FROM fx_table t)
+    s.d IS NOT NULL AS cyclic
+  FROM fx_table t LEFT JOIN acyclic a ON a.db_id = t.db_id AND a.node = upper(t.table_name)
+  LEFT JOIN stuck s ON s.db_id = t.db_id AND s.node = upper(t.table_name))
 """
 
 
