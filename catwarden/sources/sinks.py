@@ -42,16 +42,34 @@ def script_lines(numbered: DataFrame, commit_every: int = 0) -> DataFrame:
     return out
 
 
+RUNNING_SCHEMA = T.StructType([
+    T.StructField("row_no", T.LongType()), T.StructField("sub", T.IntegerType()),
+    T.StructField("line", T.StringType()), T.StructField("_pid", T.IntegerType()),
+    T.StructField("_local", T.LongType()),
+])
+
+
+def _partition_cumsum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark import TaskContext
+    pid = TaskContext.get().partitionId()
+    carry = 0
+    for pdf in batches:
+        b = pdf["line"].map(lambda x: len(x.encode("utf-8")) + 1 if x is not None else 1)
+        cum = b.cumsum() + carry
+        if len(cum):
+            carry = int(cum.iloc[-1])
+        yield pd.DataFrame({"row_no": pdf["row_no"], "sub": pdf["sub"], "line": pdf["line"],
+                            "_pid": pid, "_local": cum.astype("int64")})
+
+
 def running_bytes(lines: DataFrame) -> DataFrame:
     """Cumulative UTF-8 bytes (line + newline) in (row_no, sub) order.
-    Per-partition running sums plus a tiny per-partition offset table
-    replace a single-partition window."""
-    s = (lines.repartitionByRange("row_no", "sub").sortWithinPartitions("row_no", "sub")
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_b", F.octet_length("line") + 1))
-    w = Window.partitionBy("_pid").orderBy("row_no", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    local = s.withColumn("_local", F.sum("_b").over(w))
-    totals = local.groupBy("_pid").agg(F.sum("_b").alias("_t"))
+    Range partitions are summed in place (no second shuffle); a tiny
+    per-partition total table (one row per partition, broadcast) turns the
+    local sums into global ones — no single-partition window over lines."""
+    local = (lines.repartitionByRange("row_no", "sub").sortWithinPartitions("row_no", "sub")
+                  .mapInPandas(_partition_cumsum, RUNNING_SCHEMA))
+    totals = local.groupBy("_pid").agg(F.max("_local").alias("_t"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")
