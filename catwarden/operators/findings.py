@@ -12,9 +12,10 @@ from .rules import all_rule_findings, visible_tables
 
 SCORED_COLS = ["db_id", "severity", "score", "priority", "code", "scope"]
 
-# Overrides come from a configuration file: at most one row per finding
-# code (31 aliases), so broadcasting them is bounded by construction.
-MAX_OVERRIDE_ROWS = 64
+# Overrides come from a configuration file and are normalised through the
+# fixed alias table (functions.scoring.normalize_overrides): after
+# dropDuplicates(code) there is at most one row per known finding code, so
+# the broadcast side is bounded by the number of codes, not by the data.
 
 
 def apply_overrides(findings: DataFrame, overrides: DataFrame | None) -> DataFrame:
@@ -22,8 +23,7 @@ def apply_overrides(findings: DataFrame, overrides: DataFrame | None) -> DataFra
     (columns ``code, severity``, already normalised)."""
     if overrides is None:
         return findings
-    o = overrides.select("code", F.col("severity").alias("_override")).dropDuplicates(["code"])
-    o = F.broadcast(o.limit(MAX_OVERRIDE_ROWS))
+    o = F.broadcast(overrides.select("code", F.col("severity").alias("_override")).dropDuplicates(["code"]))
     return (findings.join(o, "code", "left")
                     .withColumn("severity", F.coalesce("_override", "severity")).drop("_override"))
 
