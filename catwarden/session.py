@@ -39,22 +39,20 @@ def local_session(cpus: int | str = "*", app: str = "catwarden") -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) create a
-    scratch folder for it."""
+    """The shared checkpoint folder that the cluster names in
+    ``spark.checkpoint.dir``. Only a local session (tests, bench) gets a
+    scratch folder where it is unset; elsewhere that is an error, as executors
+    would not see each other's files."""
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    path = tempfile.mkdtemp(prefix="catwarden-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
-
-
-_shipped: set = set()
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="catwarden-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -64,8 +62,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _shipped:
+    if getattr(sc, "_catwarden_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="catwarden-pkg-", suffix=".zip")
@@ -77,4 +74,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
-    _shipped.add(key)
+    sc._catwarden_shipped = True
