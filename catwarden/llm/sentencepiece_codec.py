@@ -5,9 +5,9 @@ a single pass: at each end position the automaton (its state and, through the
 output links, every shorter piece that ends there) relaxes the best score
 ``best[end] = max(best[end - len(piece)] + score)``; walking the choices back
 gives the pieces. This is the unigram rule of SentencePiece: the segmentation
-with the highest sum of scores. It reads pieces and scores of any model file;
-for a file trained for BPE the ids are those of the library when its
-``model_type`` is set to unigram (tested), not those of BPE merges.
+with the highest sum of scores. It reads pieces and scores of any model file; for a
+file trained for BPE the result is the best path over these pieces (tested
+against every segmentation), not the result of BPE merges.
 
 Normalisation is the identity with a dummy prefix: a blank is put before a
 non-empty text and blanks become U+2581. Characters outside the pieces become
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BLANK = "▁"
-MEMO = 200_000  # distinct parts kept by a worker
+MEMO = 500_000  # distinct parts kept by a worker
 MEMO_CHARS = 64  # longer parts are rare and not kept
 UNK_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,7 +49,7 @@ class Codec:
         self.bytes: dict[int, int] = {}
         self.unk = proto.trainer_spec.unk_id
         automaton = ahocorasick.Automaton()
-        chars: set[str] = set()
+        chars: set[str] = set()  # of all pieces
         scores = []
         self.splits = True
         for i, p in enumerate(proto.pieces):
@@ -71,53 +71,55 @@ class Codec:
         if scores:
             automaton.make_automaton()
         self.loaded = bool(scores)
+        self.single = frozenset(x for x in self.surface if isinstance(x, str) and len(x) == 1)
+        self.packed = [np.int32(i).tobytes() for i in range(len(self.surface))]
+        # what each id stands for in UTF-8
+        self.raw = [bytes([x]) if isinstance(x, int) else x.replace(BLANK, " ").encode() if x else b"" for x in self.surface]
+        if 0 <= self.unk < len(self.raw):
+            self.raw[self.unk] = " \u2047 ".encode()
         self.fallback = len(self.bytes) == 256
         # line ends are parts of their own unless a piece holds one
         self.parts = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+" if "\n" not in chars else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def _unknown(self, ch: str) -> tuple[int, ...]:
-        if not self.fallback:
-            return (self.unk,)
-        return tuple(self.bytes[b] for b in ch.encode())
+    def _unknown(self, ch: str) -> bytes:
+        ids = [self.bytes[b] for b in ch.encode()] if self.fallback else [self.unk]
+        return np.array(ids, dtype=np.int32).tobytes()
 
-    def _viterbi(self, s: str) -> tuple[int, ...]:
+    def _viterbi(self, s: str) -> bytes:
+        """Ids (as bytes of int32) of the best segmentation of ``s``."""
         n = len(s)
         best = [0.0] + [-np.inf] * n
-        choice: list[tuple[int, int] | None] = [None] * (n + 1)
-        settled = 0  # best[0..settled] are final
-
-        def unknown_until(end: int) -> None:
-            nonlocal settled
-            while settled < end:
-                at = settled + 1
-                if singles[at - 1]:
-                    score = best[at - 1] + self.unk_score
-                    if score > best[at]:
-                        best[at], choice[at] = score, (-1, 1)
-                settled = at
-
-        # a character that is a piece itself needs no unknown path
-        found = list(self.automaton.iter(s)) if self.loaded else []
-        singles = [True] * n
-        for end, (_, _, size) in found:
-            if size == 1:
-                singles[end] = False
-        for end, (i, score, size) in found:
-            unknown_until(end)
-            total = best[end + 1 - size] + score
-            if total > best[end + 1]:
-                best[end + 1], choice[end + 1] = total, (i, size)
-        unknown_until(n)
-        out: list[tuple[int, ...]] = []
-        at = n
+        last: list = [None] * (n + 1)  # (id, score, length) of the piece that ends there; None: unknown
+        odd = [k + 1 for k, ch in enumerate(s) if ch not in self.single]  # ends of characters that are no pieces
+        todo = 0
+        for end, piece in (self.automaton.iter(s) if self.loaded else ()):
+            end += 1
+            while todo < len(odd) and odd[todo] < end:
+                self._relax_unknown(best, last, odd[todo])
+                todo += 1
+            score = best[end - piece[2]] + piece[1]
+            if score > best[end]:
+                best[end], last[end] = score, piece
+        for k in odd[todo:]:
+            self._relax_unknown(best, last, k)
+        out, at = [], n
         while at:
-            i, size = choice[at]
-            out.append((i,) if i >= 0 else self._unknown(s[at - 1]))
-            at -= size
-        return tuple(x for ids in reversed(out) for x in ids)
+            piece = last[at]
+            if piece is None:
+                out.append(self._unknown(s[at - 1]))
+                at -= 1
+            else:
+                out.append(self.packed[piece[0]])
+                at -= piece[2]
+        return b"".join(reversed(out))
+
+    def _relax_unknown(self, best: list, last: list, end: int) -> None:
+        score = best[end - 1] + self.unk_score
+        if score > best[end]:
+            best[end], last[end] = score, None
 
-    def _part(self, s: str) -> tuple[int, ...]:
+    def _part(self, s: str) -> bytes:
         got = self.memo.get(s)
         if got is None:
             got = self._viterbi(s)
@@ -127,43 +129,21 @@ class Codec:
                 self.memo[s] = got
         return got
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for k, run in enumerate(text.split(BLANK)):
+    def encode(self, text: str | None) -> np.ndarray:
+        out: list[bytes] = []
+        for k, run in enumerate(text.split(BLANK) if text else ()):
             if k:  # a literal U+2581 is kept apart from blanks by its bytes
-                out.extend(self._unknown(BLANK))
+                out.append(self._unknown(BLANK))
             s = run.replace(" ", BLANK) if k else BLANK + run.replace(" ", BLANK)
             if not s:
                 continue
-            if not self.splits:
-                out.extend(self._part(s))
-                continue
             memo, part = self.memo.get, self._part
-            for p in self.parts.findall(s):
-                out.extend(memo(p) or part(p))
-        return out
+            out.extend([memo(p) or part(p) for p in (self.parts.findall(s) if self.splits else (s,))])
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids) -> str:
         """The text of ``ids``; invalid byte runs become U+FFFD."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            piece = self.surface[i]
-            if isinstance(piece, int):
-                raw.append(piece)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw.clear()
-            if piece is not None:
-                out.append(piece.replace(BLANK, " "))
-            elif i == self.unk:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, np.asarray(ids).tolist())).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -195,7 +175,7 @@ def encode(df: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text", ou
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(shared.value, key)
         for texts in batches:
-            yield pd.Series([np.array(c.encode(t), dtype=np.int32) for t in texts], dtype=object)
+            yield pd.Series([c.encode(t) for t in texts], dtype=object)
 
     return df.withColumn(out_col, F.pandas_udf(run, T.ArrayType(T.IntegerType()))(F.col(text_col)))
 
