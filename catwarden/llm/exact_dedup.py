@@ -54,7 +54,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     head = F.substring(F.base64(F.col("digest")), 1, 16)
     states = (d.select(head.alias("head"), (F.spark_partition_id() % GROUPS).alias("part"))
               .groupBy("part").agg(F.expr(f"approx_top_k_accumulate(head, {counters})").alias("state")))
-    top = states.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {counters}), {heavy})").alias("top"))
+    # a grouping key, as tasks without rows have no sketch to give
+    top = states.groupBy(F.col("part") >= 0).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {counters}), {heavy})").alias("top"))
     floor = max(2, d.count() // heavy)
     frequent = top.select(F.explode("top").alias("t")).where(F.col("t.count") >= floor).select(F.col("t.item").alias("head"))
     candidates = F.broadcast(written(frequent, "exact-frequent"))  # at most `heavy` rows of 16 characters
