@@ -12,14 +12,13 @@ split at ASCII white space). Stages:
 2. *Buckets.* ``BANDS`` bands of ``ROWS`` bins; sets that agree in a band share
    a bucket. At similarity 0.8 a pair misses all bands with probability
    (1 - 0.8^5)^40 < 2e-7.
-3. *Star edges.* In a bucket a centre is compared with the members, not every
-   member with every other. Candidate pairs are confirmed on the full shingle
-   sets, and the confirmed ones are joined to components. A bucket whose members
-   are then in one component is done: more links in it could change nothing.
-   In the others a new round compares further centres (twice as many as in the
-   round before) with members of *other* components only, until every member
-   has been a centre. So no link between components is lost, and copies never
-   cost more than one pair each.
+3. *Star edges.* In a bucket one centre, the most typical member, is compared
+   with the members on the full shingle sets, not every member with every
+   other; the confirmed pairs are joined to components. Members of a star that
+   are then in one component are done: more links among them could change
+   nothing. The others are compared where their differences from the centre
+   leave a link possible (``_rest``), again on full sets. So no link between
+   components is lost, and copies cost one pair for each star they are in.
 
 Hot groups: rows of one set collapse in a partial aggregate; bucket centres and
 component labels are partial aggregates too; the joins back are skew joins that
@@ -33,13 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import forget, written
 
 SHINGLE = 4
 BINS, BANDS, ROWS = 200, 40, 5
 NUMERATOR, DENOMINATOR = 80, 100
+SMALL_STAR = 32  # stars of more open members look for pairs by their differences
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -179,13 +179,14 @@ def components(edges: DataFrame) -> DataFrame:
     that the join back has a shuffle of its own, which adaptive execution can
     split at a hub. The number of steps grows with the logarithm of the nodes."""
 
-    def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+    def settled(e: DataFrame) -> bool:
+        """Each node is either a root or the child of one root."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionAll(
+            e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+        return ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child + root > 1").isEmpty()
 
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = state(e)
-    while True:
+    while not settled(e):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
@@ -198,75 +199,122 @@ def components(edges: DataFrame) -> DataFrame:
                         .where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "small-star")
         for t in (e, least, large, low):
             forget(t)
-        e, after = small, state(small)
-        if after == before:
-            break
-        before = after
+        e = small
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)
 
 
-def _unit(*cols: str):
-    """A number in [0, 1) from a hash of the columns."""
-    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    return (pairs.join(whole.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(whole.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+            .where(similar("sa", "sb")).select("a", "b"))
+
+
+def _stars(crowd: DataFrame) -> DataFrame:
+    """(c, x): the members of each bucket with a centre of its own group.
+
+    The centre of a bucket is its most typical member, the one that shares most
+    buckets with others. A group of copies has many buckets, whose centres
+    differ a little; each therefore hands over to the most typical of the
+    centres of its own buckets, so that a group has few stars. (Any document
+    can be a centre: it is only what members are compared with first.)
+    """
+    weight = written(crowd.groupBy("rep").agg(F.sum("size").alias("weight")), "weights")
+    ranked = crowd.join(weight.select("rep", (F.col("weight") * 1024 + F.xxhash64("rep").bitwiseAND(F.lit(1023))).alias("w")), "rep")
+    centre = written(ranked.groupBy("bucket").agg(F.max_by("rep", "w").alias("c"), F.max("w").alias("w")), "centres")
+    seen = crowd.select("bucket", "rep").join(centre, "bucket")
+    leader = written(seen.groupBy("rep").agg(F.max_by("c", "w").alias("lead")), "leaders")
+    twice = leader.select(F.col("rep").alias("lead"), F.col("lead").alias("last"))
+    last = leader.join(twice, "lead").select(F.col("rep").alias("c"), "last")
+    chosen = written(centre.select("bucket", "c").join(last, "c").select("bucket", F.col("last").alias("c")), "chosen-centres")
+    return written(crowd.join(chosen, "bucket").where("rep <> c").select("c", F.col("rep").alias("x")).distinct(), "stars")
+
+
+def _rest(measured: DataFrame, label: DataFrame | None, whole: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members of one star that the links to the
+    centre left in different components.
+
+    With D(x) the shingles in which x and the centre differ, two members differ
+    in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, and they are linked exactly
+    if 18 |D(x) & D(y)| >= g(x) + g(y), where g(x) = 9 |D(x)| - |x|. If the
+    right side is not positive both are linked to the centre, so members of
+    different components must share shingles of D. In large stars these are
+    found by an equi-join on the rarest shingles of D (prefix filter: of d
+    shingles of which at least t must be shared, one is among the first d - t
+    + 1 in any fixed order); in small ones, pairs that fail the triangle
+    inequality are left out. Neither loses a link.
+    """
+    if label is None:
+        m = measured.withColumn("label", F.col("x"))
+    else:
+        m = measured.join(label, measured["x"] == label["node"], "left").withColumn("label", F.coalesce("label", "x")).drop("node")
+    m = written(m.select("c", "x", "label", "n", "d", (9 * F.col("d") - F.col("n")).alias("g")), "members")
+    best = written(m.groupBy("c").agg(F.min(F.struct("g", "label")).alias("one"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where("lo <> hi").select("c", F.col("one.g").alias("g1"), F.col("one.label").alias("l1")), "star-first")
+    second = written(m.join(best, "c").where("label <> l1").groupBy("c").agg(F.min("g").alias("g2")), "star-second")
+    # t: what a member must share at least with any member of another component
+    need = F.ceil((F.col("g") + F.when(F.col("label") == F.col("l1"), F.col("g2")).otherwise(F.col("g1"))) / 18).cast("bigint")
+    m = written(m.join(best, "c").join(second, "c").withColumn("t", F.greatest(need, F.lit(1))).where("t <= d")
+                .select("c", "x", "label", "n", "d", "g", "t"), "open-members")
+    count = written(m.groupBy("c").agg(F.count(F.lit(1)).alias("open")).where("open > 1"), "open-stars")
+    m = m.join(count, "c")
+
+    few = m.where(F.col("open") <= SMALL_STAR)
+    other = few.select("c", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("d").alias("dy"))
+    near = few.join(other, "c").where(
+        f"x < y and label <> ly and 9 * abs(d - dy) <= n + ny and {DENOMINATOR} * least(n, ny) >= {NUMERATOR} * greatest(n, ny)"
+    ).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    many = m.where(F.col("open") > SMALL_STAR)
+    differs = (many.join(whole.select(F.col("rep").alias("c"), F.col("shingles").alias("sc")), "c")
+               .join(whole.select(F.col("rep").alias("x"), F.col("shingles").alias("sx")), "x")
+               .select("c", "x", "label", "n", "d", "g", "t",
+                       F.explode(F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))).alias("e")))
+    differs = written(differs, "differences")
+    common = written(differs.groupBy("c", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "difference-counts")
+    # shingles that no other member differs by are the rarest and cannot be shared: they only count
+    # for the place of the others in the order
+    shared = differs.join(common, ["c", "e"])
+    member = Window.partitionBy("c", "x")
+    order = member.orderBy("df", "e")
+    first = (shared.withColumn("k", F.row_number().over(order) + F.col("d") - F.count(F.lit(1)).over(member))
+             .where("k <= d - t + 1").select("c", "e", "x", "label", "n", "d", "g", "k"))
+    first = written(first, "prefixes")
+    y = first.select("c", "e", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("g").alias("gy"), F.col("k").alias("ky"))
+    # after the first shared shingle, d - k and dy - ky are left that could be shared too
+    far = first.join(y, ["c", "e"]).where(
+        "x < y and label <> ly and 9 * abs(d - dy) <= n + ny and g + gy <= 18 * (1 + least(d - k, dy - ky))"
+    ).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return written(near.unionAll(far).distinct(), "rest-pairs")
 
 
 def _labels(sets: DataFrame, rows: DataFrame, size: int) -> DataFrame | None:
-    """(node, label) of the sets (rep, n, bands) that are linked with others; None if none are."""
-    member = sets.select("rep", "n", F.explode("bands").alias("bucket"))
+    """(node, label) of the sets (rep, bands) that are linked with others; None if none are."""
+    member = sets.select("rep", F.explode("bands").alias("bucket"))
     shared = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-buckets")
-    crowd = written(member.join(shared, "bucket").select("bucket", "size", "rep", "n"), "crowd")
-    largest = crowd.agg(F.max("size")).first()[0]
-    if not largest:
+    crowd = written(member.join(shared, "bucket").select("bucket", "size", "rep"), "crowd")
+    if crowd.isEmpty():
         return None
+    stars = _stars(crowd)
     # whole sets of the documents that share a bucket, made from their texts once
     wanted = crowd.select(F.col("rep").alias("doc_id")).distinct()
     whole = written(
         rows.join(wanted, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
         .select(F.col("doc_id").alias("rep"), _sets_udf(size)(F.col("text")).alias("shingles")), "shingles")
-
-    label = links = tested = None
-    turn = 0
-    while True:
-        # round 0 has one centre a bucket; the rounds after it cover places 0, 1-2, 3-6, ... of the members
-        lo, hi = ((1 << (turn - 1)) - 1, (1 << turn) - 1) if turn else (0, 0)
-        if largest <= max(lo, 2) and turn:
-            break
-        if label is None:
-            now = crowd.withColumn("label", F.col("rep"))
-        else:
-            now = crowd.join(label, crowd["rep"] == label["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-        if turn:
-            now = now.where(F.col("size") > max(lo, 2))
-            unfinished = written(now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                                 .where("x <> y").select("bucket"), "unfinished")
-            if unfinished.isEmpty():
-                break
-            now = now.join(unfinished, "bucket")
-            place = _unit("rep", "bucket") * F.col("size")
-            centre = now.where((place >= lo) & (place < hi)).select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        else:
-            # the same centre in most buckets of a group: the smallest by a hash of the document alone
-            centre = now.withColumn("place", _unit("rep")).groupBy("bucket").agg(
-                F.min_by("rep", "place").alias("c"), F.min_by("n", "place").alias("cn"), F.min_by("label", "place").alias("cl"))
-        centre = written(centre, "centres")
-        pairs = (now.join(centre, "bucket").where("label <> cl")
-                 # the smaller set must be able to reach the share
-                 .where(f"{DENOMINATOR} * least(n, cn) >= {NUMERATOR} * greatest(n, cn)")
-                 .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        confirmed = written(
-            pairs.join(whole.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(whole.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-            .where(similar("sa", "sb")).select("a", "b"), "links")
-        turn += 1
-        if not confirmed.isEmpty():
-            links = confirmed if links is None else links.unionAll(confirmed)
-            label = written(components(links), "labels")
-    return label
+    measured = written(
+        stars.join(whole.select(F.col("rep").alias("c"), F.col("shingles").alias("sc")), "c")
+        .join(whole.select(F.col("rep").alias("x"), F.col("shingles").alias("sx")), "x")
+        .select("c", "x", F.size("sc").alias("nc"), F.size("sx").alias("n"), F.size(F.array_intersect("sc", "sx")).alias("both"))
+        .withColumn("d", F.col("nc") + F.col("n") - 2 * F.col("both")), "measured")
+    links = measured.where(f"{DENOMINATOR} * both >= {NUMERATOR} * (nc + n - both)").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    label = None if links.isEmpty() else written(components(links), "labels")
+    more = written(_confirmed(_rest(measured, label, whole), whole), "more-links")
+    if more.isEmpty():
+        return label
+    if label is not None:  # the components found so far stand for their links
+        more = more.unionAll(label.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return written(components(more), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
