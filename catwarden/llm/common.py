@@ -57,3 +57,23 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, classes: dict[int, int], chars: int) -> DataFrame:
+    """(text, y): a bounded sample of the labelled documents, by hash order: at
+    most ``classes[y]`` ids of each class, of texts up to ``chars`` characters.
+
+    Ids are chosen on (id, length) alone, so no text is shuffled; the chosen
+    ids, whose number is bounded by ``classes``, are then broadcast.
+    ``known``: (_id, y), one row an id. An id given several times has its
+    smallest text taken.
+    """
+    sized = (docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+             .where(F.col("size") <= chars).select("_id").distinct().join(known, "_id"))
+    picked = None
+    for y, most in classes.items():
+        part = sized.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
+        picked = part if picked is None else picked.unionByName(part)
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    return (texts.join(F.broadcast(written(picked, "sample")), "_id")
+            .groupBy("_id", "y").agg(F.min("text").alias("text")).orderBy("_id").select("text", "y"))

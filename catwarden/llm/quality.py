@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import is_held_out
+from .common import is_held_out, labelled_sample
 
 BUCKETS = 1 << 17
 #: Bound of the training sample: rows of each grade, and characters of a text.
@@ -140,19 +140,13 @@ def training_rows(docs: DataFrame, ratings: DataFrame, n_grades: int,
     order, at most ``per_grade`` rows of each grade outside the held-out fold."""
     known = (ratings.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade"))
              .where(F.col("grade").between(0, n_grades - 1) & ~is_held_out(F.col("_id")))
-             .groupBy("_id").agg(F.max("grade").alias("grade")))
-    rows = (docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .where(F.length("text") <= chars).join(known, "_id"))
-    out = None
-    for g in range(n_grades):
-        part = rows.where(F.col("grade") == g).orderBy(F.xxhash64("_id", "text")).limit(per_grade).select("text", "grade")
-        out = part if out is None else out.unionByName(part)
-    return out
+             .groupBy("_id").agg(F.max("grade").alias("y")))
+    return labelled_sample(docs, known, dict.fromkeys(range(n_grades), per_grade), chars)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, **kw) -> Model:
     rows = training_rows(docs, ratings, n_grades, **kw).toPandas()  # bounded: rows and characters
-    return train(rows["text"].tolist(), rows["grade"].to_numpy(dtype=np.int64), n_grades)
+    return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64), n_grades)
 
 
 def grade(df: DataFrame, model: Model, min_grade: int, text_col: str = "text", out_col: str = "quality") -> DataFrame:

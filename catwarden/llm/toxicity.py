@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import is_held_out
+from .common import is_held_out, labelled_sample
 
 BUCKETS = 1 << 17
 DIM = 4
@@ -168,11 +168,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     known = (labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("y"))
              .where(F.col("y").isin(0, 1) & ~is_held_out(F.col("_id")))
              .groupBy("_id").agg(F.max("y").alias("y")))
-    rows = (docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .where(F.length("text") <= chars).join(known, "_id"))
-    order = F.xxhash64("_id", "text")
-    return rows.where("y = 0").orderBy(order).limit(per_class[0]).unionByName(
-        rows.where("y = 1").orderBy(order).limit(per_class[1])).select("text", "y")
+    return labelled_sample(docs, known, {0: per_class[0], 1: per_class[1]}, chars)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model:
