@@ -18,8 +18,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import written
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BUCKET = 4_096
+BUCKET = 256
 
 _encoders: dict = {}
 
@@ -75,7 +77,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     h = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = (h.groupBy("bucket").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
-                  # one row for each 4,096 lengths: the longest text's length / 4,096 rows
+                  # one row for each 256 lengths: the longest text's length / 256 rows
                   .select("bucket", F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("bd_over"),
                           F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("bt_over")))
     inside = Window.partitionBy("bucket").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,5 +105,6 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
 
 
 def token_report(counted: DataFrame, col: str = "n_tokens") -> DataFrame:
-    """One row for each distinct length, with its suffix sums."""
-    return suffix_sums(histogram(counted, col))
+    """One row for each distinct length, with its suffix sums. The histogram is
+    written, as the sums read it three times and texts should be encoded once."""
+    return suffix_sums(written(histogram(counted, col), "histogram"))
