@@ -20,7 +20,6 @@ from ..session import ensure_checkpoint_dir
 from .catalog import Catalog
 
 CHECKPOINT_EVERY = 8
-SAFETY_ROUNDS = 100_000  # only guards against a logic error; loops end on an empty frontier
 
 
 def _cut(df: DataFrame, rnd: int) -> DataFrame:
@@ -53,7 +52,7 @@ def fk_depth(cat: Catalog) -> DataFrame:
     pending = tables.select("db_id", "node").distinct()
     done = []
     rnd = 0
-    while rnd < SAFETY_ROUNDS:
+    while True:  # ends on an empty frontier
         pending = _cut(pending, rnd + 1)
         blocked = (proper.join(pending.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"], "left_semi")
                          .select("db_id", F.col("src").alias("node")).distinct())
@@ -117,7 +116,7 @@ def routine_levels(routines: DataFrame) -> DataFrame:
     pending = procs
     done = []
     rnd = 0
-    while rnd < SAFETY_ROUNDS:
+    while True:  # ends on an empty frontier
         pending = _cut(pending, rnd + 1)
         blocked = (edges.join(pending.select("db_id", F.col("node").alias("callee")), ["db_id", "callee"], "left_semi")
                         .select("db_id", F.col("caller").alias("node")).distinct())

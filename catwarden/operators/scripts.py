@@ -436,7 +436,7 @@ def sql_value(item: Column, dtype: T.DataType) -> tuple[Column, Column]:
     """SQL literal text -> (typed value, ok flag). Strings unquote '' -> '."""
     t = F.trim(item)
     is_null = F.upper(t) == "NULL"
-    quoted = t.rlike(r"^'.*'$")
+    quoted = t.rlike(r"(?s)^'.*'\z")  # a literal may hold line ends
     text = F.when(quoted, F.replace(F.regexp_extract(t, r"(?s)^'(.*)'$", 1), F.lit("''"), F.lit("'"))).otherwise(t)
     if isinstance(dtype, T.StringType):
         val = F.when(is_null, F.lit(None)).otherwise(text)
