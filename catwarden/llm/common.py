@@ -17,6 +17,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores in front if a column of ``taken`` is called so (case aside)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def hex_sha256(c: Column) -> Column:
     """Lower-case hex SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(c, 256)

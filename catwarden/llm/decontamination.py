@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .common import unused
+
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 
@@ -125,13 +127,13 @@ def _scanner(shared, key: str, window: int):
 
 
 def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a struct column ``hit``: n_words, n_hit, n_items, items
+         item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out_col: str = "hit") -> DataFrame:
+    """``docs`` with a struct column ``out_col``: n_words, n_hit, n_items, items
     (ids as strings, sorted), spans of the original text.
 
     Null and empty texts have no words and no hits; null items and items
     without words give no pattern; repeated items count once by id. Other
-    columns of ``docs`` pass through; a column ``hit`` of its own is replaced.
+    columns of ``docs`` pass through; a column ``out_col`` of its own is replaced.
     """
     spark = docs.sparkSession
     out = docs
@@ -142,15 +144,16 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
         parts.append(_scanner(shared, key, window))
     if len(parts) == 1:
-        return out.withColumn("hit", parts[0](F.col(text_col)))
-    for k, udf in enumerate(parts):
-        out = out.withColumn(f"_hit{k}", udf(F.col(text_col)))
-    return _united(out, len(parts), text_col)
+        return out.withColumn(out_col, parts[0](F.col(text_col)))
+    names = [unused(f"hit{k}", docs.columns) for k in range(len(parts))]
+    for name, udf in zip(names, parts):
+        out = out.withColumn(name, udf(F.col(text_col)))
+    return _united(out, names, text_col, out_col)
 
 
-def _united(out: DataFrame, n: int, text_col: str) -> DataFrame:
+def _united(out: DataFrame, names: list[str], text_col: str, out_col: str) -> DataFrame:
     """Hits of several blocks as one: items united, overlapping spans merged and their words counted."""
-    cols = [F.col(f"_hit{k}") for k in range(n)]
+    cols = [F.col(name) for name in names]
 
     @F.pandas_udf(HIT_SCHEMA)
     def unite(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -170,7 +173,7 @@ def _united(out: DataFrame, n: int, text_col: str) -> DataFrame:
 
     spans = F.concat(*[c["spans"] for c in cols])
     items = F.concat(*[c["items"] for c in cols])
-    return out.withColumn("hit", unite(F.col(text_col), spans, items)).drop(*[f"_hit{k}" for k in range(n)])
+    return out.withColumn(out_col, unite(F.col(text_col), spans, items)).drop(*[n for n in names if n != out_col])
 
 
 def contaminated(hit=None):
@@ -180,5 +183,6 @@ def contaminated(hit=None):
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, columns unchanged."""
-    return hits(docs, items, text_col).where(~contaminated()).select(*docs.columns)
+    """``docs`` without contaminated documents, columns unchanged, whatever they are called."""
+    name = unused("hit", docs.columns)
+    return hits(docs, items, text_col, out_col=name).where(~contaminated(F.col(name))).select(*docs.columns)

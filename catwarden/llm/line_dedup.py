@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import forget, written
+from .common import forget, written, unused
 
 MIN_WORDS = 50
 NO_ID = -(1 << 63)  # a null doc_id comes first
@@ -142,28 +142,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                count_col: str = "line_count", gone_col: str = "lines_deleted") -> DataFrame:
     """``docs`` with the later copies deleted from ``text_col``, and the added
-    columns ``line_count`` and ``lines_deleted``.
+    columns ``count_col`` (lines) and ``gone_col`` (lines deleted).
 
     Lines are what stands between line feeds. A null text stays null (0
     lines), an empty one empty. Copies are ordered by (doc_id, line): within a
     document, too, the first of equal runs stays. A row given twice under one
     doc_id is one document and both rows get the same result; rows that share
     a doc_id and differ in the text are versions of one document, and equal
-    lines at the same place of both are no copies. Other columns pass through.
+    lines at the same place of both are no copies. Other columns pass through,
+    but for two called as the added ones, which are replaced.
     """
+    names = docs.columns
+    key, ver, run_key, run_ver, run_list = [unused(n, names) for n in ("id", "ver", "run_id", "run_ver", "runs")]
     runs = repeated_lines(docs, id_col, text_col, min_words).select(
-        F.col("doc").alias("_run_id"), F.col("ver").alias("_run_ver"), F.col("runs").alias("_runs"))
+        F.col("doc").alias(run_key), F.col("ver").alias(run_ver), F.col("runs").alias(run_list))
     parts = F.split(F.col(text_col), "\n")
-    held = (docs.withColumn("_id", _key(id_col)).withColumn("_ver", F.xxhash64(text_col))
-            .join(runs, (F.col("_id") == F.col("_run_id")) & (F.col("_ver") == F.col("_run_ver")), "left"))
-    gone = F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"])))
+    held = (docs.withColumn(key, _key(id_col)).withColumn(ver, F.xxhash64(text_col))
+            .join(runs, (F.col(key) == F.col(run_key)) & (F.col(ver) == F.col(run_ver)), "left"))
+    gone = F.flatten(F.transform(run_list, lambda r: F.sequence(r["first"], r["last"])))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     rest = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    n_gone = F.coalesce(F.aggregate("_runs", F.lit(0).cast("bigint"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
-    names = docs.columns
-    return (held.withColumn("line_count", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("bigint"))
-            .withColumn("lines_deleted", n_gone.cast("bigint"))
-            .withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(rest))
-            .select(*[c for c in names if c not in ("line_count", "lines_deleted")], "line_count", "lines_deleted"))
+    n_gone = F.coalesce(F.aggregate(run_list, F.lit(0).cast("bigint"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
+    return (held.withColumn(count_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("bigint"))
+            .withColumn(gone_col, n_gone.cast("bigint"))
+            .withColumn(text_col, F.when(F.col(run_list).isNull(), F.col(text_col)).otherwise(rest))
+            .select(*[c for c in names if c.lower() not in (count_col, gone_col)], count_col, gone_col))

@@ -75,17 +75,18 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     docs_over(L0). An empty histogram gives no rows.
     """
     h = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
-    after = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    falling = Window.orderBy(F.col("bucket").desc())
+    after = falling.rowsBetween(Window.unboundedPreceding, -1)
+    everything = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_bucket = (h.groupBy("bucket").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
                   # one row for each 256 lengths: the longest text's length / 256 rows
-                  .select("bucket", F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("bd_over"),
+                  .select("bucket", F.sum("bd").over(everything).alias("all_docs"), F.sum("bt").over(everything).alias("all_tokens"),
+                          F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("bd_over"),
                           F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("bt_over")))
     inside = Window.partitionBy("bucket").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
     s = (h.join(per_bucket, "bucket")
          .withColumn("docs_over", F.col("bd_over") + F.coalesce(F.sum("n_docs").over(inside), F.lit(0)))
          .withColumn("tokens_over", F.col("bt_over") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))))
-    totals = hist.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("all_tokens"))
-    s = s.crossJoin(F.broadcast(totals))  # one row
     return s.select(
         "n_tokens", "n_docs", "docs_over", "tokens_over",
         (F.col("all_docs") - F.col("docs_over")).alias("docs_upto"),
@@ -106,5 +107,5 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
 
 def token_report(counted: DataFrame, col: str = "n_tokens") -> DataFrame:
     """One row for each distinct length, with its suffix sums. The histogram is
-    written, as the sums read it three times and texts should be encoded once."""
+    written, as the sums read it twice and texts should be encoded once."""
     return suffix_sums(written(histogram(counted, col), "histogram"))

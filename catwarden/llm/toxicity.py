@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import is_held_out, labelled_sample
+from .common import is_held_out, labelled_sample, unused
 
 BUCKETS = 1 << 17
 DIM = 4
@@ -91,9 +91,8 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     vocab: dict[str, int] = {}
     doc_w, doc_n, doc_ptr = [], [], [0]
     for t in texts:
-        ids, counts = np.unique([vocab.setdefault(w, len(vocab)) for w in words_of(t)] or [0], return_counts=True)
-        if not vocab:
-            ids, counts = ids[:0], counts[:0]
+        known = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], dtype=np.int64)  # none in a text without words
+        ids, counts = np.unique(known, return_counts=True)
         doc_w.append(ids)
         doc_n.append((counts / max(1, counts.sum())).astype(np.float32))
         doc_ptr.append(doc_ptr[-1] + len(ids))
@@ -209,6 +208,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents scored at ``threshold`` or more, columns unchanged."""
-    scored = score(docs, model, out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """``docs`` without the documents scored at ``threshold`` or more, columns unchanged, whatever they are called."""
+    name = unused("score", docs.columns)
+    return score(docs, model, out_col=name).where(F.col(name) < threshold).select(*docs.columns)

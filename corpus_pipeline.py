@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catwarden.llm import decontamination, line_dedup, minhash_dedup, sentencepiece_codec, toxicity
-from catwarden.llm.common import written
+from catwarden.llm.common import unused, written
 from catwarden.llm.queries import prepare, table
 
 
@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted from the texts; n_chars follows. No document is dropped."""
     prepare(spark)
-    left = line_dedup.dedup_lines(docs)
-    return left.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("bigint"))
+    lines, gone = unused("line_count", docs.columns), unused("lines_deleted", docs.columns)
+    left = line_dedup.dedup_lines(docs, count_col=lines, gone_col=gone)
+    return left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("bigint"))
                            .otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

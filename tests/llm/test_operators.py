@@ -192,6 +192,33 @@ def test_blocks_of_items_give_the_same_hits(spark):
     assert one == many and any(v[1] for v in one.values())
 
 
+def test_columns_of_any_name_pass_through(spark):
+    extra = {"score": 1.5, "hit": "h", "hit0": "a", "hit1": "b", "id": "i", "ver": "v", "runs": "r", "run_id": "q",
+             "line_count": "c", "Lines_Deleted": "d", "n_chars": 7, "lang": "xx", "source": "s"}
+    shared = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(3))
+    data = [(1, shared + "\nfirst", *extra.values()), (2, "second\n" + shared, *extra.values()), (3, None, *extra.values()),
+            (4, "to be asked in a test", *extra.values())]
+    docs = spark.createDataFrame(data, ["doc_id", "text", *extra])
+    model = toxicity.train([], np.zeros(0))
+    assert sorted(map(str, toxicity.remove_toxic(docs, model).collect())) == sorted(map(str, docs.collect()))
+    items = spark.createDataFrame([(1, "asked in a test"), (2, "nowhere at all")], "item_id long, text string")
+    clean = decontamination.remove_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(rows(clean)) == [1, 2, 3]
+    united = decontamination.hits(docs, items, block_bytes=8, out_col="hit")
+    assert rows(united)[4].hit["items"] == ["1"] and rows(united)[4].hit0 == "a"
+    left = corpus_pipeline.drop_repeated_lines(spark, docs, SMALL_SF)
+    got = rows(left)
+    assert left.columns == docs.columns and got[2].text == "second" and got[2].n_chars == 6 and got[1].n_chars == 7
+    assert all(r[k] == v for r in got.values() for k, v in extra.items() if k != "n_chars")
+
+
+def test_texts_without_words_teach_no_word():
+    y = np.array([1, 0] * 200)
+    texts = [None, "plain"] * 200  # the toxic ones have no words
+    model = toxicity.train(texts, y).scorer()
+    assert model.score("plain") < 0.5
+
+
 def test_models_learn():
     rng = random.Random(3)
     words = [f"{a}{b}{c}" for a in ("bal", "mor", "tin") for b in "aeiou" for c in ("ra", "lo", "net")]
