@@ -87,16 +87,28 @@ def alias_table(spark: SparkSession) -> DataFrame:
 
 
 def normalize_overrides(raw: DataFrame, spark: SparkSession) -> DataFrame:
-    """F11 over a DataFrame of ``(code, severity)`` overrides: alias -> code,
-    severity normalised; adds ``error`` for rejected rows (S11 style)."""
+    """F11 over a DataFrame of ``(code, severity[, position])`` overrides: alias
+    -> code, severity normalised; adds ``error`` for rejected rows and keeps
+    the position (that of the row where the input has none)."""
     aliases = F.broadcast(alias_table(spark))
+    if "position" not in raw.columns:
+        raw = raw.withColumn("position", F.monotonically_increasing_id())
     r = raw.withColumn("_alias", F.upper(F.trim(F.coalesce(F.col("code"), F.lit("")))))
     return (r.join(aliases, r["_alias"] == aliases["alias"], "left")
              .select(
                  r["code"].alias("input_code"),
                  aliases["code"].alias("code"),
-                 normalize_severity(F.coalesce(r["severity"], F.lit(""))).alias("severity"))
+                 normalize_severity(F.coalesce(r["severity"], F.lit(""))).alias("severity"),
+                 r["position"])
              .withColumn("error", F.when(F.col("input_code").isNull() | (F.trim(F.col("input_code")) == ""),
                                          F.lit("empty code"))
                                    .when(F.col("code").isNull(), F.lit("unknown code"))
                                    .when(F.col("severity").isNull(), F.lit("invalid severity"))))
+
+
+def valid_overrides(normalized: DataFrame) -> DataFrame:
+    """(code, severity, position) of normalised overrides; a rejected one
+    ends the job with its reason."""
+    stop = F.raise_error(F.concat(F.lit("Override "), F.coalesce("input_code", F.lit("")), F.lit(": "), F.col("error")))
+    return normalized.select("code", F.when(F.col("error").isNotNull(), stop.cast("string")).otherwise(F.col("severity"))
+                             .alias("severity"), "position")

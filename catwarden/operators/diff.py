@@ -127,11 +127,6 @@ def _ix_sql(df):
     return R.create_index(F.col("table_name"), F.col("index_name"), F.col("is_unique"), F.col("is_desc"), F.col("cols"))
 
 
-def _pk_class(name_col):
-    # unnamed (INTEG_n) constraints render without CONSTRAINT but keep class 40
-    return F.lit(40)
-
-
 def diff_tables(src: Catalog, tgt: Catalog):
     s = _keyed_tables(src)
     t = _keyed_tables(tgt)
@@ -295,7 +290,7 @@ def diff_routines(src: Catalog, tgt: Catalog):
         _item(target_only, "target_only", "ROUTINE", None, F.col("t_name"), F.col("kind")),
         _item(differs, "warning", "ROUTINE", None, F.col("name"), F.col("kind")),
     ])
-    cmds = _cmd(cmd_rows.withColumn("_sql", sql), R.command_class(F.col("_sql")), F.lit(""),
+    cmds = _cmd(cmd_rows.withColumn("_sql", sql), R.routine_class(F.col("kind"), F.col("source")), F.lit(""),
                 F.concat(F.col("kind"), F.lit(":"), F.col("name")), F.col("_sql"))
     return items, cmds
 

@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ddl import scope_table
-from ..functions.scoring import priority, risk_score, severity_weight
+from ..functions.scoring import CODE_ALIASES, priority, risk_score, severity_weight
 from .catalog import Catalog
 from .rules import all_rule_findings, visible_tables
 
 SCORED_COLS = ["db_id", "severity", "score", "priority", "code", "scope"]
 
-# Overrides come from a configuration file and are normalised through the
-# fixed alias table (functions.scoring.normalize_overrides): after
-# dropDuplicates(code) there is at most one row per known finding code, so
-# the broadcast side is bounded by the number of codes, not by the data.
+KNOWN_CODES = sorted(set(CODE_ALIASES.values()))
 
 
 def apply_overrides(findings: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """Replace the default severity for codes named in ``overrides``
-    (columns ``code, severity``, already normalised)."""
+    (columns ``code, severity``, already normalised, and ``position``: of
+    several for one code the last wins). At most one row for each of the
+    fixed codes is broadcast."""
     if overrides is None:
         return findings
-    o = F.broadcast(overrides.select("code", F.col("severity").alias("_override")).dropDuplicates(["code"]))
-    return (findings.join(o, "code", "left")
+    if "position" not in overrides.columns:
+        overrides = overrides.withColumn("position", F.monotonically_increasing_id())
+    last = overrides.groupBy("code").agg(F.max_by("severity", "position").alias("_override")).where(F.col("code").isin(KNOWN_CODES))
+    return (findings.join(F.broadcast(last), "code", "left")
                     .withColumn("severity", F.coalesce("_override", "severity")).drop("_override"))
 
 

@@ -8,6 +8,7 @@ checkpoint folder (never a machine-local folder).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -139,41 +140,34 @@ def routine_order(routines: DataFrame) -> DataFrame:
 
 # ---- A14: smallest argument count at any call site ----------------------------
 
-CALL_WITH_ARGS = r'(?i)\b(?:FROM|JOIN|EXECUTE\s+PROCEDURE)\s+("[^"]+"|[A-Z0-9_$]+)\s*\('
-
-
-def _call_sites(src):
-    """(callee upper, argument count) for each call with a parenthesised list."""
-    import re
-    from .scripts import split_items
-    out = []
-    if not src:
-        return out
-    for m in re.finditer(CALL_WITH_ARGS[4:], src, re.IGNORECASE):
-        name = m.group(1)
-        name = name[1:-1] if name.startswith('"') else name
-        depth, i, in_str = 1, m.end(), False
-        while i < len(src):
-            ch = src[i]
-            if in_str:
-                if ch == "'":
-                    if i + 1 < len(src) and src[i + 1] == "'":
-                        i += 2
-                        continue
-                    in_str = False
-            elif ch == "'":
-                in_str = True
-            elif ch == "(":
-                depth += 1
-            elif ch == ")":
-                depth -= 1
-                if depth == 0:
-                    break
-            i += 1
-        if depth != 0:
+_CALL_TOKEN = re.compile(
+    r"""(?P<remark>--[^\r\n]*|/\*(?s:.*?)(?:\*/|\Z))
+      | (?P<call>(?:FROM|JOIN|EXECUTE\s+PROCEDURE)\s+(?P<callee>"[^"]+"|[A-Z0-9_$]+)\s*\()
+      | (?P<open>\() | (?P<close>\)) | (?P<comma>,)
+      | (?P<text>'[^']*(?:'|\Z)|"[^"]*"|[\w$]+|\S)""", re.IGNORECASE | re.VERBOSE)
+
+
+def _call_sites(src: str | None) -> list[tuple[str, int]]:
+    """(callee in upper case, number of arguments) of each call with a closed
+    list of arguments, nested ones included; text in quotes and comments is none."""
+    sites: list[tuple[str, int]] = []
+    lists: list[list] = []  # of each open bracket: callee or None, commas, whether it holds anything
+    for m in _CALL_TOKEN.finditer(src or ""):
+        kind = m.lastgroup if m["callee"] is None else "call"
+        if kind == "remark":
             continue
-        out.append((name.strip().upper(), len(split_items(src[m.end():i]))))
-    return out
+        if kind == "close":
+            if lists:
+                callee, commas, filled = lists.pop()
+                if callee:
+                    sites.append((callee, commas + 1 if filled else 0))
+            continue
+        if lists:
+            lists[-1][1] += kind == "comma"
+            lists[-1][2] = True
+        if kind in ("call", "open"):
+            lists.append([m["callee"].strip('"').strip().upper() if kind == "call" else None, 0, False])
+    return sites
 
 
 def min_call_arity(routines: DataFrame) -> DataFrame:

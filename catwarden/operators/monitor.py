@@ -39,17 +39,16 @@ def gap_findings(samples: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "f.code", "f.severity", "scope", F.col("value").cast("bigint").alias("value"))
 
 
-def oldest_active(samples: DataFrame, own: DataFrame, as_of: DataFrame, window_minutes: int) -> DataFrame:
+def oldest_active(samples: DataFrame, own: DataFrame, as_of: DataFrame) -> DataFrame:
     """Per database the oldest timestamp of an active transaction
-    (state 1) not owned by the monitoring attachment, among transactions
-    seen within ``window_minutes`` before ``as_of``. ``own`` and ``as_of``
-    are one row per database (small, joined on db_id)."""
+    (state 1) not owned by the monitoring attachment, however long ago it
+    began, up to ``as_of``. ``samples`` has one row per transaction, in its
+    latest state; ``own`` and ``as_of`` one row per database."""
     s = (samples.where(F.col("tx_state") == 1)
                 .join(as_of, "db_id")
                 .join(own, "db_id", "left")
                 .where(F.col("own_attachment_id").isNull() | (F.col("attachment_id") != F.col("own_attachment_id")))
-                .where((F.col("ts") <= F.col("as_of"))
-                       & (F.col("ts") > F.col("as_of") - F.expr(f"INTERVAL {int(window_minutes)} MINUTES"))))
+                .where(F.col("ts") <= F.col("as_of")))
     return s.groupBy("db_id").agg(F.min("ts").alias("oldest_active"), F.max("as_of").alias("as_of"))
 
 

@@ -9,8 +9,10 @@ file is one row and ``mapInPandas`` splits it inside a task. Everything else
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,7 @@ STATEMENT_SCHEMA = T.StructType([
     T.StructField("stmt_no", T.LongType()),
     T.StructField("start_line", T.LongType()),
     T.StructField("sql_text", T.StringType()),
+    T.StructField("decode_error", T.StringType()),
     T.StructField("lines_read", T.LongType()),
     T.StructField("lines_processed", T.LongType()),
 ])
@@ -48,7 +51,7 @@ def script_charset(content: Column) -> Column:
     Bytes are viewed as ISO-8859-1 (one char per byte) for the sniff."""
     text = F.decode(content, "ISO-8859-1")
     text = F.regexp_replace(text, "^ï»¿", "")  # UTF-8 byte order mark
-    lines = F.slice(F.split(text, r"\r\n|\n|\r"), 1, CHARSET_SCAN_LINES)
+    lines = F.slice(F.split(text, r"\r\n|\n|\r", CHARSET_SCAN_LINES + 1), 1, CHARSET_SCAN_LINES)
     hits = F.filter(lines, lambda l: F.upper(F.regexp_replace(l, r"^\s+", "")).startswith("SET NAMES")
                     & (F.size(F.split(F.trim(l), " +")) >= 3))
     first = F.try_element_at(hits, F.lit(1))
@@ -70,142 +73,125 @@ def codec_for(charset: str | None) -> str:
 
 
 def decode_script(data: bytes, charset: str | None) -> str:
+    """The script's text. A byte that is not valid in the character set stands
+    in it as a lone surrogate, which marks the statement that holds it."""
     codec = codec_for(charset)
     if data.startswith(b"\xef\xbb\xbf"):
         data, codec = data[3:], "utf-8"
-    return data.decode(codec, errors="replace")
+    return data.decode(codec, errors="surrogateescape")
 
 
 # ---- S05: statements -----------------------------------------------------------------
 
-def _set_term(line: str):
-    """New delimiter from a ``SET TERM x ;`` line, or None when not one."""
-    if not line.upper().startswith("SET TERM"):
-        return None
-    parts = [p for p in line.split(" ") if p]
-    if len(parts) < 3:
-        return None
-    token = parts[2].strip()
-    if not token and len(parts) >= 4:
-        token = parts[3].strip()
-    if len(token) > 1 and token.endswith(";"):
-        token = token[:-1].strip()
-    return token[0] if token.strip() else ""
-
-
-def _lines(text: str) -> list[str]:
-    """Lines as a stream reader yields them: CRLF, LF or CR end a line."""
-    parts = re.split(r"\r\n|\n|\r", text)
-    if parts and parts[-1] == "":
-        parts.pop()
-    return parts
-
-
-def split_script(text: str) -> Iterator[tuple[int, int, str]]:
-    """Yield ``(stmt_no, start_line, sql_text)``; honours quoted strings,
-    ``--`` and ``/* */`` comments and ``SET TERM``; skips blank, ``SET SQL
-    DIALECT`` and ``SET NAMES`` lines between statements; flushes a trailing
-    unterminated statement. Also reports line counters via ``split_script.stats``."""
-    delim = ";"
-    cur: list[str] = []
-    cur_len = 0
-    in_str = in_block = False
-    start = 0
-    n_read = n_proc = 0
-    stmt_no = 0
-    for raw in _lines(text):
-        n_read += 1
-        in_line_comment = False
-        probe = raw.lstrip(LEAD_CHARS)
-        empty = cur_len == 0
-        if not probe.strip() and empty:
+_EOL = re.compile(r"\r\n|\n|\r")
+_BLANKS = LEAD_CHARS + "\f\v"
+_NOT_DECODED = re.compile("[\udc80-\udcff]")
+ROWS_PER_FRAME = 5_000
+
+
+class Script(NamedTuple):
+    statements: list[tuple[int, int, str]]  # number, line of its first character, text
+    lines_read: int
+    lines_processed: int  # lines that hold a part of a statement or a comment
+
+
+@functools.lru_cache(maxsize=64)
+def _grammar(terminator: str) -> tuple[re.Pattern, re.Pattern]:
+    """(directive that may stand between statements, token) under a terminator."""
+    end, first = re.escape(terminator), re.escape(terminator[0])
+    directive = re.compile(
+        rf"[{_BLANKS}]*SET[ \t]+(?:TERM[ \t]+(?P<terminator>\S+)(?:[ \t]*{end})?"
+        rf"|(?:SQL[ \t]+DIALECT|NAMES)\b(?:(?!{end})[^\r\n])*(?:{end})?)", re.IGNORECASE)
+    token = re.compile(
+        rf"(?P<quoted>'[^']*(?:'|\Z)|\"[^\"\r\n]*\")|(?P<remark>--[^\r\n]*|/\*(?s:.*?)(?:\*/|\Z))"
+        rf"|(?P<eol>\r\n|\n|\r)|(?P<end>{end})|(?P<plain>[^'\"/\-\r\n{first}]+|.)")
+    return directive, token
+
+
+def split_script(text: str) -> Script:
+    """The statements of a script, cut at its terminator (``;`` until ``SET
+    TERM`` names another, of any length).
+
+    Quoted text is kept as it is, line ends included; line ends elsewhere
+    become ``\\n``; a comment counts as a blank. ``SET TERM``, ``SET SQL
+    DIALECT`` and ``SET NAMES`` are directives where a statement could begin
+    and text elsewhere. What follows the last terminator is a statement too.
+    """
+    terminator, at, line, start = ";", 0, 1, 0
+    directive, token = _grammar(terminator)
+    found: list[tuple[int, int, str]] = []
+    parts: list[str] = []  # of the statement that is open
+    busy = seen = 0  # lines with work, the last of them
+
+    def finish() -> None:
+        sql = "".join(parts).strip()
+        if sql:
+            found.append((len(found) + 1, start, sql))
+        parts.clear()
+
+    while at < len(text):
+        if not parts and (m := directive.match(text, at)):
+            at = m.end()
+            if named := m["terminator"]:
+                terminator = named.removesuffix(terminator) or named
+                directive, token = _grammar(terminator)
             continue
-        up = probe.upper()
-        if empty and (up.startswith("SET SQL DIALECT") or up.startswith("SET NAMES")):
-            continue
-        term = _set_term(probe)
-        if term is not None:
-            if term:
-                delim = term
-            if empty:
-                continue
-        n_proc += 1
-        if cur_len == 0:
-            start = n_read
-        i, n = 0, len(raw)
-        while i < n:
-            c = raw[i]
-            if in_block:
-                if c == "*" and i + 1 < n and raw[i + 1] == "/":
-                    in_block = False
-                    i += 2
-                else:
-                    i += 1
-                continue
-            if in_str:
-                cur.append(c)
-                cur_len += 1
-                if c == "'":
-                    if i + 1 < n and raw[i + 1] == "'":
-                        cur.append("'")
-                        cur_len += 1
-                        i += 2
-                        continue
-                    in_str = False
-                i += 1
-                continue
-            if c == "-" and i + 1 < n and raw[i + 1] == "-":
-                in_line_comment = True
-                break
-            if c == "/" and i + 1 < n and raw[i + 1] == "*":
-                in_block = True
-                i += 2
+        m = token.match(text, at)
+        at, piece, kind = m.end(), m[0], m.lastgroup
+        if not parts and kind == "plain":
+            piece = piece.lstrip(_BLANKS)
+            if not piece:
                 continue
-            if c == "'":
-                in_str = True
-                cur.append(c)
-                cur_len += 1
-                i += 1
-                continue
-            if c == delim:
-                stmt = "".join(cur).strip()
-                if stmt:
-                    stmt_no += 1
-                    yield stmt_no, start, stmt
-                cur, cur_len = [], 0
-                start = n_read
-                i += 1
-                continue
-            cur.append(c)
-            cur_len += 1
-            i += 1
-        if not in_block and not in_line_comment and cur_len > 0:
-            cur.append("\n")
-            cur_len += 1
-    tail = "".join(cur).strip()
-    if tail:
-        stmt_no += 1
-        yield stmt_no, start, tail
-    split_script.stats = (n_read, n_proc)
+        if kind == "eol" and not parts:
+            line += 1
+            continue
+        last = line + (len(_EOL.findall(piece)) if kind in ("quoted", "remark") else 0)
+        busy += last - max(line - 1, seen)
+        seen = last
+        if kind == "end":
+            finish()
+        elif kind == "remark":
+            if parts and not parts[-1][-1].isspace():
+                parts.append(" ")
+        else:
+            if not parts:
+                start = line
+            parts.append("\n" if kind == "eol" else piece)
+        line = last + (kind == "eol")
+    finish()
+    n_lines = len(_EOL.findall(text)) + (text != "" and text[-1] not in "\r\n")
+    return Script(found, n_lines, busy)
+
+
+def _readable(sql: str) -> tuple[str, str | None]:
+    """(text, error): bytes that could not be decoded are spelled out, and the error says so."""
+    if not _NOT_DECODED.search(sql):
+        return sql, None
+    return (sql.encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace"),
+            "Bytes that are not valid in the character set of the script.")
 
 
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = STATEMENT_SCHEMA.names
+    rows: list[tuple] = []
     for pdf in batches:
-        out = []
         for path, content, charset in zip(pdf["path"], pdf["content"], pdf["charset"]):
-            text = decode_script(bytes(content), charset)
-            rows = list(split_script(text))
-            n_read, n_proc = split_script.stats
-            for stmt_no, start, sql in rows:
-                out.append((path, charset, stmt_no, start, sql, n_read, n_proc))
-            if not rows:  # keep the file visible in outcomes
-                out.append((path, charset, 0, 0, None, n_read, n_proc))
-        yield pd.DataFrame(out, columns=[f.name for f in STATEMENT_SCHEMA.fields])
+            script = split_script(decode_script(bytes(content), charset))
+            tail = (script.lines_read, script.lines_processed)
+            # a file without statements keeps one row, so that outcomes show it
+            for no, start, sql in script.statements or [(0, 0, None)]:
+                rows.append((path, charset, no, start, *(_readable(sql) if sql else (None, None)), *tail))
+                if len(rows) >= ROWS_PER_FRAME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def script_statements(files: DataFrame) -> DataFrame:
     """``(path, content)`` -> one row per statement. A file with no
-    statement keeps one row with ``stmt_no = 0`` and NULL text."""
+    statement keeps one row with ``stmt_no = 0`` and NULL text; a statement
+    with bytes that its character set lacks has a ``decode_error``."""
     f = files.select("path", "content", script_charset(F.col("content")).alias("charset"))
     return f.mapInPandas(_split_batches, STATEMENT_SCHEMA)
 
@@ -293,131 +279,80 @@ def latest_definition(ddl: DataFrame, keys: list[str]) -> DataFrame:
 
 PARSE_SCHEMA = T.StructType([
     T.StructField("table", T.StringType()),
-    T.StructField("columns", T.ArrayType(T.StringType())),
+    T.StructField("columns", T.ArrayType(T.StringType())),  # NULL without a column list
     T.StructField("values", T.ArrayType(T.StringType())),
     T.StructField("n_columns", T.IntegerType()),
     T.StructField("n_values", T.IntegerType()),
     T.StructField("error", T.StringType()),
+    T.StructField("verb", T.StringType()),  # INSERT, UPSERT, QUERY (an INSERT from a query) or the first word
+    T.StructField("matching", T.ArrayType(T.StringType())),
 ])
 
-
-def _matching_paren(s: str, open_at: int) -> int:
-    sq = dq = False
-    depth = 0
-    i = open_at
-    while i < len(s):
-        c = s[i]
-        if c == "'" and not dq:
-            if sq and i + 1 < len(s) and s[i + 1] == "'":
-                i += 2
-                continue
-            sq = not sq
-        elif c == '"' and not sq:
-            if dq and i + 1 < len(s) and s[i + 1] == '"':
-                i += 2
-                continue
-            dq = not dq
-        elif not (sq or dq):
-            if c == "(":
+_LEXEME = re.compile(
+    r"""(?P<quoted>"[^"]*(?:""[^"]*)*")|'[^']*(?:''[^']*)*'|(?P<mark>[(),])|(?P<word>[^\W\d][\w$]*)|(?P<loose>['"])""")
+_INTO = re.compile(r"(?P<verb>UPDATE OR INSERT|INSERT) INTO (?P<table>\S+)")
+_VALUES = re.compile(_INTO.pattern + r"(?P<columns> LIST)?(?: OVERRIDING \S+ VALUE)? VALUES LIST(?P<matching> MATCHING LIST)?(?: RETURNING\b.*)?")
+
+
+def _outline(sql: str) -> tuple[list[str], list[str], list[list[str]], str | None]:
+    """What stands outside every bracket: the outline (words in upper case,
+    NAME for a quoted name, LIST for a bracketed list), the words as written,
+    the items of each list, and what is wrong with quotes or brackets."""
+    outline, written, lists = [], [], []
+    depth, edges = 0, []
+    for m in _LEXEME.finditer(sql):
+        kind = m.lastgroup
+        if kind == "loose":
+            return outline, written, lists, "A quote is not closed."
+        if kind == "mark":
+            if m[0] == "(":
                 depth += 1
-            elif c == ")":
+                if depth == 1:
+                    edges = [m.start()]
+            elif m[0] == ")":
                 depth -= 1
+                if depth < 0:
+                    return outline, written, lists, "A bracket is closed that was not opened."
                 if depth == 0:
-                    return i
-        i += 1
-    return -1
-
-
-def _values_keyword(s: str) -> int:
-    sq = dq = False
-    i = 0
-    up = s.upper()
-    while i <= len(s) - 6:
-        c = s[i]
-        if c == "'" and not dq:
-            if sq and i + 1 < len(s) and s[i + 1] == "'":
-                i += 2
-                continue
-            sq = not sq
-        elif c == '"' and not sq:
-            if dq and i + 1 < len(s) and s[i + 1] == '"':
-                i += 2
-                continue
-            dq = not dq
-        elif not (sq or dq) and up.startswith("VALUES", i):
-            before = i == 0 or not (s[i - 1].isalnum() or s[i - 1] == "_")
-            after = i + 6 >= len(s) or not (s[i + 6].isalnum() or s[i + 6] == "_")
-            if before and after:
-                return i
-        i += 1
-    return -1
-
-
-def split_items(lst: str) -> list[str]:
-    """Top-level comma split aware of both quote styles and nesting."""
-    if not lst.strip():
-        return []
-    items, cur = [], []
-    sq = dq = False
-    depth = 0
-    i = 0
-    while i < len(lst):
-        c = lst[i]
-        if c == "'" and not dq:
-            if sq and i + 1 < len(lst) and lst[i + 1] == "'":
-                cur.append("''")
-                i += 2
-                continue
-            sq = not sq
-        elif c == '"' and not sq:
-            if dq and i + 1 < len(lst) and lst[i + 1] == '"':
-                cur.append('""')
-                i += 2
-                continue
-            dq = not dq
-        elif not (sq or dq):
-            if c == "(":
-                depth += 1
-            elif c == ")" and depth > 0:
-                depth -= 1
-            elif c == "," and depth == 0:
-                items.append("".join(cur).strip())
-                cur = []
-                i += 1
-                continue
-        cur.append(c)
-        i += 1
-    items.append("".join(cur).strip())
-    return items
+                    edges.append(m.start())
+                    items = [sql[a + 1:b].strip() for a, b in zip(edges, edges[1:])]
+                    lists.append([] if items == [""] else items)
+                    outline.append("LIST")
+                    written.append("")
+            elif depth == 1:
+                edges.append(m.start())
+        elif kind and depth == 0:
+            outline.append("NAME" if kind == "quoted" else m[0].upper())
+            written.append(m[0])
+    return outline, written, lists, "A bracket is not closed." if depth else None
 
 
 def parse_insert_text(sql: str | None) -> tuple:
-    """F17 for one statement: table, column and value items, counts, error."""
-    if sql is None or not sql.strip():
-        return (None, None, None, 0, 0, "Empty INSERT.")
-    open_cols = sql.find("(")
-    if open_cols < 0:
-        return (None, None, None, 0, 0, "Unable to locate the INSERT column list.")
-    close_cols = _matching_paren(sql, open_cols)
-    if close_cols < 0:
-        return (None, None, None, 0, 0, "Unable to locate the closing parenthesis of the INSERT column list.")
-    cols = split_items(sql[open_cols + 1:close_cols])
-    kw = _values_keyword(sql)
-    if kw < 0:
-        return (None, cols, None, len(cols), 0, "Unable to locate the VALUES clause of the INSERT.")
-    open_vals = sql.find("(", kw)
-    if open_vals < 0:
-        return (None, cols, None, len(cols), 0, "Unable to locate the INSERT value list.")
-    close_vals = _matching_paren(sql, open_vals)
-    if close_vals < 0:
-        return (None, cols, None, len(cols), 0,
-                "Unable to locate the closing parenthesis of the INSERT value list.")
-    vals = split_items(sql[open_vals + 1:close_vals])
-    head = sql[:open_cols].split()
-    table = head[-1].strip('"').upper() if head else None
-    err = None if len(cols) == len(vals) else \
-        f"Column count ({len(cols)}) differs from value count ({len(vals)})."
-    return (table, cols, vals, len(cols), len(vals), err)
+    """F17 for one statement, in the fields of PARSE_SCHEMA."""
+    outline, written, lists, fault = _outline(sql or "")
+    if not outline:
+        return None, None, None, 0, 0, fault or "The statement is empty.", None, None
+    shape = " ".join(outline)
+    into = _INTO.match(shape)
+    if not into:
+        if outline[0] in ("LIST", "NAME"):
+            return None, None, None, 0, 0, fault or "The statement does not begin with a word.", None, None
+        return None, None, None, 0, 0, fault, outline[0], None
+    verb = "UPSERT" if into["verb"] != "INSERT" else "INSERT"
+    name = written[len(into["verb"].split()) + 1]
+    table = (name[1:-1].replace('""', '"') if name.startswith('"') else name).upper()
+    whole = None if fault else _VALUES.fullmatch(shape)
+    if not whole:
+        if not fault and re.search(r"\b(?:SELECT|WITH)\b", shape):
+            return table, None, None, 0, 0, None, "QUERY", None
+        return table, None, None, 0, 0, fault or "No list of values was found.", verb, None
+    columns = lists[0] if whole["columns"] else None
+    values = lists[1 if whole["columns"] else 0]
+    matching = lists[-1] if whole["matching"] else None
+    n_columns = len(values) if columns is None else len(columns)
+    # fixed value: the text of this message
+    error = None if n_columns == len(values) else f"Column count ({n_columns}) differs from value count ({len(values)})."
+    return table, columns, values, n_columns, len(values), error, verb, matching
 
 
 def _parse_series(s: pd.Series) -> pd.DataFrame:
@@ -447,33 +382,113 @@ def sql_value(item: Column, dtype: T.DataType) -> tuple[Column, Column]:
     return val, ok
 
 
-def load_inserts(statements: DataFrame, target: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """S15 + S11: replay INSERT statements for ``target`` into typed rows.
-    Statements naming unknown columns, with an arity mismatch or with
-    values that do not convert are quarantined with a reason; the rest load.
-    Returns ``(rows, quarantine)``."""
-    p = statements.withColumn("_p", parse_insert(F.col("sql_text")))
-    p = p.where(F.col("_p.table") == target.upper())
+def _names(items: Column) -> Column:
+    return F.transform(items, lambda c: F.upper(F.trim(F.replace(c, F.lit('"'), F.lit("")))))
+
+
+def replay(statements: DataFrame, target: str, schema: T.StructType, key: list[str] | None = None,
+           fail_fast: bool = False) -> DataFrame:
+    """S15 + S11: every statement with its one ``fate`` and the ``reason``.
+
+    * ``loaded``: an INSERT into ``target``; its typed values are in the struct
+      ``row`` and the names of the columns it gives in ``given``.
+    * ``merged``: an UPDATE OR INSERT, likewise.
+    * ``quarantined``: a statement on ``target`` that is not well formed, or
+      one that names unknown or repeated columns, has another number of values
+      than columns, values that do not convert, or bytes that do not decode;
+      with ``key``, also one that gives no key or merges by other columns.
+    * ``not_applicable``: other statements, and those on other tables.
+
+    Without a column list the values are those of ``schema`` in order. With
+    ``fail_fast`` the job ends at a statement that would be quarantined.
+    """
     fields = {f.name.upper(): f for f in schema.fields}
     known = F.array(*[F.lit(n) for n in fields])
-    ucols = F.transform(F.col("_p.columns"), lambda c: F.upper(F.trim(F.regexp_replace(c, '"', ""))))
-    m = F.map_from_arrays(ucols, F.col("_p.values"))
-    unknown = F.array_except(ucols, known)
-    conv = []
-    oks = []
+    p = statements.withColumn("_p", parse_insert(F.col("sql_text")))
+    given = F.coalesce(_names(F.col("_p.columns")), known)
+    p = p.withColumn("given", given).withColumn("matching", _names(F.col("_p.matching")))
+    values, ok = [], F.lit(True)
     for name, f in fields.items():
-        v, ok = sql_value(F.element_at(m, F.lit(name)), f.dataType)
-        present = F.array_contains(ucols, F.lit(name))
-        conv.append(F.when(present, v).alias(f.name))
-        oks.append(~present | ok)
-    all_ok = oks[0]
-    for o in oks[1:]:
-        all_ok = all_ok & o
-    err = (F.when(F.col("_p.error").isNotNull(), F.col("_p.error"))
-            .when(F.size(unknown) > 0, F.concat(F.lit("Column unknown: "), F.array_join(unknown, ", ")))
-            .when(~all_ok, F.lit("Conversion error")))
-    staged = p.select("*", err.alias("error"), *conv)
+        at = F.array_position("given", F.lit(name)).cast("int")
+        v, good = sql_value(F.get(F.col("_p.values"), at - 1), f.dataType)
+        values.append(F.when(at > 0, v).alias(f.name))
+        ok = ok & ((at == 0) | F.coalesce(good, F.lit(False)))
+    unknown = F.array_except("given", known)
+    reason = (F.when(F.col("_p.error").isNotNull(), F.col("_p.error"))
+               .when(F.size(F.array_distinct("given")) < F.size("given"), F.lit("A column is given twice."))
+               .when(F.size(unknown) > 0, F.concat(F.lit("Column unknown: "), F.array_join(unknown, ", ")))
+               .when(F.size("given") != F.size("_p.values"),
+                     F.concat(F.lit("Column count ("), F.size("given").cast("string"), F.lit(") differs from value count ("),
+                              F.size("_p.values").cast("string"), F.lit(").")))
+               .when(~ok, F.lit("Conversion error")))
+    if key:
+        wanted = F.array_sort(F.array(*[F.lit(k.upper()) for k in key]))
+        empty = F.lit(False)
+        for k in key:
+            empty = empty | F.col("row")[fields[k.upper()].name].isNull()
+        by_key = F.col("matching").isNull() | (F.array_sort(F.array_distinct("matching")) == wanted)
+        reason = (reason.when(~by_key, F.lit("MATCHING names other columns than the key."))
+                        .when(empty, F.lit("The key has no value.")))
+    else:
+        reason = reason.when(F.size(F.array_except("matching", F.col("given"))) > 0, F.lit("MATCHING names a column without a value."))
+    if "decode_error" in statements.columns:
+        reason = F.coalesce("decode_error", reason)
+    insert = F.col("_p.verb").isin("INSERT", "UPSERT")
+    staged = p.withColumn("row", F.struct(*values)).withColumn("_why", reason)
+    fate = (F.when(F.col("sql_text").isNull(), "not_applicable")
+             .when(F.col("_p.verb").isNull(), "quarantined")
+             .when(~insert | (F.col("_p.table") != target.upper()), "not_applicable")
+             .when(F.col("_why").isNotNull(), "quarantined")
+             .when(F.col("_p.verb") == "UPSERT", "merged").otherwise("loaded"))
+    out = staged.withColumn("fate", fate)
+    if fail_fast:
+        stop = F.raise_error(F.concat(F.lit("Replay stopped: "), F.col("_why"), F.lit(" "), F.col("sql_text")))
+        out = out.withColumn("fate", F.when(F.col("fate") == "quarantined", stop.cast("string")).otherwise(F.col("fate")))
+    why = (F.when(F.col("fate") == "quarantined", F.col("_why"))
+            .when(F.col("sql_text").isNull(), F.lit("No statement."))
+            .when((F.col("fate") == "not_applicable") & insert, F.lit("Another table."))
+            .when(F.col("_p.verb") == "QUERY", F.lit("An INSERT from a query."))
+            .when(F.col("fate") == "not_applicable", F.concat(F.col("_p.verb"), F.lit(" is not replayed."))))
+    return out.select(*statements.columns, "fate", why.alias("reason"), "given", "row")
+
+
+def load_inserts(statements: DataFrame, target: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S15 + S11: ``(rows, quarantine)`` of the INSERT statements for
+    ``target``: typed rows, and the statements that were put aside with the
+    reason as ``error``."""
+    r = replay(statements, target, schema)
     keep = [c for c in statements.columns if c != "sql_text"]
-    good = staged.where(F.col("error").isNull()).select(*keep, *[f.name for f in schema.fields])
-    bad = staged.where(F.col("error").isNotNull()).select(*keep, "sql_text", "error")
+    good = r.where(F.col("fate") == "loaded").select(*keep, "row.*")
+    bad = r.where(F.col("fate") == "quarantined").select(*keep, "sql_text", F.col("reason").alias("error"))
     return good, bad
+
+
+def settle_keys(replayed: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``replayed`` with the INSERTs whose key was there before put aside.
+
+    The first statement on a key makes its row, whichever kind it is; a later
+    INSERT is a duplicate. First statements come from a partial aggregate, so
+    a key with very many statements is not gathered in one task.
+    """
+    at = F.struct(*order)
+    keys = [F.col("row")[k].alias(f"_k{i}") for i, k in enumerate(key)]
+    names = [f"_k{i}" for i in range(len(key))]
+    live = F.col("fate").isin("loaded", "merged")
+    first = replayed.where(live).select(*keys, at.alias("_at")).groupBy(*names).agg(F.min("_at").alias("_first"))
+    late = (F.col("fate") == "loaded") & (at > F.col("_first"))
+    marked = replayed.select("*", *[F.when(live, k).alias(n) for k, n in zip(keys, names)]).join(first, names, "left")
+    return marked.withColumn("_late", F.coalesce(late, F.lit(False))).select(
+        *[c for c in replayed.columns if c not in ("fate", "reason")],
+        F.when(F.col("_late"), "quarantined").otherwise(F.col("fate")).alias("fate"),
+        F.when(F.col("_late"), "The key is there already.").otherwise(F.col("reason")).alias("reason"))
+
+
+def replay_table(settled: DataFrame, schema: T.StructType, key: list[str], order: list[str]) -> DataFrame:
+    """The table after the replay of ``settled``. A column has the value
+    of the last statement on its key that gives it, else NULL (one partial
+    aggregate for all columns)."""
+    rows = settled.where(F.col("fate").isin("loaded", "merged")).select("row.*", "given", F.struct(*order).alias("_at"))
+    last = [F.max_by(F.struct(F.col(f.name).alias("v")), F.when(F.array_contains("given", f.name.upper()), F.col("_at"))).alias(f.name)
+            for f in schema.fields if f.name not in key]
+    table = rows.groupBy(*key).agg(*last) if last else rows.select(*key).distinct()
+    return table.select(*[F.col(f.name) if f.name in key else F.col(f.name)["v"].alias(f.name) for f in schema.fields])

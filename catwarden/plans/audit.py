@@ -10,7 +10,7 @@ from ..operators import fleet as fleet_ops
 from ..operators import findings as fnd
 from ..operators import rules
 from ..operators.catalog import fixture_catalog
-from ..functions.scoring import normalize_overrides
+from ..functions.scoring import normalize_overrides, valid_overrides
 from .registry import register
 
 # ---------------------------------------------------------------- SQL pieces
@@ -413,14 +413,13 @@ def q_ignore_prefixes(spark, sf_dir):
 
 
 # override configuration (English aliases, as a user writes it)
-DEMO_OVERRIDES = [("TABLE_WITHOUT_PK", "Critical "), ("fk_without_covering_index", "high"),
+DEMO_OVERRIDES = [("TABLE_WITHOUT_PK", "low"), ("TABLE_WITHOUT_PK", "Critical "), ("fk_without_covering_index", "high"),
                   ("DUPLICATED_INDEX", "medium")]
 
 
 def demo_overrides(spark):
-    raw = spark.createDataFrame(DEMO_OVERRIDES, "code string, severity string")
-    norm = normalize_overrides(raw, spark)
-    return norm.where(F.col("error").isNull()).select("code", "severity")
+    raw = spark.createDataFrame([(*o, k) for k, o in enumerate(DEMO_OVERRIDES)], "code string, severity string, position int")
+    return valid_overrides(normalize_overrides(raw, spark))
 
 
 _OVERRIDE_FINDINGS = f"""SELECT db_id, code,

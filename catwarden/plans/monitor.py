@@ -11,8 +11,6 @@ from ..sources.tables import read_table
 from ..streaming import monitor_stream as ST
 from .registry import register
 
-ACTIVE_WINDOW_MINUTES = 1440
-
 
 def _fx(spark, sf, name):
     register_fixtures(spark, sf)
@@ -39,12 +37,11 @@ SELECT db_id, sample_id, code, severity, scope, value FROM (
 register("rule_operational_gaps", GAP_SQL.format(src="fx_monitor"))(
     lambda spark, sf: M.gap_findings(_fx(spark, sf, "fx_monitor"), ["db_id", "sample_id"]))
 
-OLDEST_SQL = f"""
+OLDEST_SQL = """
 last_ts AS (SELECT db_id, max(ts) AS as_of FROM fx_monitor GROUP BY db_id),
 oldest AS (
   SELECT m.db_id, min(m.ts) AS oldest_active, max(a.as_of) AS as_of FROM fx_monitor m JOIN last_ts a USING (db_id)
   WHERE m.tx_state = 1 AND m.attachment_id <> m.db_id AND m.ts <= a.as_of
-    AND m.ts > a.as_of - INTERVAL {ACTIVE_WINDOW_MINUTES} MINUTE
   GROUP BY m.db_id)
 """
 
@@ -54,7 +51,7 @@ def _oldest(spark, sf):
     as_of = s.groupBy("db_id").agg(F.max("ts").alias("as_of"))
     # the monitoring connection of database d is attachment d in the fixture
     own = s.select("db_id").distinct().withColumn("own_attachment_id", F.col("db_id"))
-    return M.oldest_active(s, own, as_of, ACTIVE_WINDOW_MINUTES)
+    return M.oldest_active(s, own, as_of)
 
 
 register("oldest_active", f"WITH {OLDEST_SQL} SELECT db_id, oldest_active, as_of FROM oldest")(_oldest)
@@ -138,9 +135,7 @@ SELECT doc_id, CASE WHEN length(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', '
 FROM documents""")
 def q_command_preview(spark, sf):
     d = read_table(spark, sf, "documents")
-    c = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
-    return d.select("doc_id", F.when(F.length(c) <= 180, c).otherwise(F.concat(F.substring(c, 1, 180), F.lit("...")))
-                    .alias("preview"))
+    return d.select("doc_id", M.command_preview(F.col("text")).alias("preview"))
 
 
 # ---------------------------------------------------------------- stream twins

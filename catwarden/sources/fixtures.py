@@ -8,8 +8,9 @@ engines start from identical rows and the check exercises the operators.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +32,11 @@ FX_VIEWS = (
     ("fx_monitor", "SELECT user_id % 10 AS db_id, event_id AS sample_id, ts, event_id AS oit, event_id + CAST(floor(value * 3000) AS BIGINT) AS oat, event_id + CAST(floor(value * 3000) AS BIGINT) + CAST(floor(value * 1500) AS BIGINT) AS ost, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS tx_state, user_id AS attachment_id FROM events"),
     ("fx_log", "SELECT event_id, ts, user_id % 10 AS db_id, CASE event_id % 9 WHEN 0 THEN 'deadlock: update conflicts with concurrent update' WHEN 1 THEN 'unsupported on-disk structure for file a.fdb; found 13.0, support 12.0' WHEN 2 THEN 'no permission for read-write access to database' WHEN 3 THEN 'I/O error for file b.fdb' WHEN 4 THEN 'Dynamic SQL Error Token unknown' WHEN 5 THEN 'Unable to complete network request' WHEN 6 THEN 'operation timeout' WHEN 7 THEN 'MON$STATE column unknown' ELSE 'violation of PRIMARY KEY' END AS message FROM events"),
     ("fx_stmt", "SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS file_no, c_custkey AS stmt_no, CASE WHEN c_custkey % 50 = 0 THEN concat('INSERT INTO CUSTOMER (C_CUSTKEY, C_NAME, C_SEG) VALUES (', CAST(c_custkey AS VARCHAR(20)), ', ''', c_name, ''');') WHEN c_custkey % 7 = 0 THEN concat('UPDATE OR INSERT INTO CUSTOMER (C_CUSTKEY, C_NAME) VALUES (', CAST(c_custkey AS VARCHAR(20)), ', ''a, (b'') MATCHING (C_CUSTKEY);') ELSE concat('INSERT INTO CUSTOMER (C_CUSTKEY, C_NAME) VALUES (', CAST(c_custkey AS VARCHAR(20)), ', ''', c_name, ', it''''s'');') END AS sql_text FROM customer"),
+    ("fx_replay", "SELECT file_no, stmt_no * 10 AS seq, sql_text, CASE WHEN stmt_no % 50 = 0 THEN 'quarantined' WHEN stmt_no % 7 = 0 THEN 'merged' ELSE 'loaded' END AS fate FROM fx_stmt"
+     " UNION ALL SELECT file_no, stmt_no * 10 + 1, concat('UPDATE OR INSERT INTO customer (C_CUSTKEY, \"C_NAME\") VALUES (', CAST(stmt_no AS VARCHAR(20)), ', ''renamed', chr(10), CAST(stmt_no AS VARCHAR(20)), ''') MATCHING (C_CUSTKEY);'), 'merged' FROM fx_stmt WHERE stmt_no % 3 = 0"
+     " UNION ALL SELECT file_no, stmt_no * 10 + 2, concat('INSERT INTO CUSTOMER (C_NAME, C_CUSTKEY) VALUES (''again'', ', CAST(stmt_no AS VARCHAR(20)), ');'), CASE WHEN stmt_no % 3 = 0 OR stmt_no % 50 <> 0 THEN 'quarantined' ELSE 'loaded' END FROM fx_stmt WHERE stmt_no % 11 = 0"
+     " UNION ALL SELECT file_no, stmt_no * 10 + 3, CASE stmt_no % 6 WHEN 0 THEN 'INSERT INTO CUSTOMER (C_CUSTKEY, C_NAME VALUES (1, ''x'');' WHEN 1 THEN 'UPDATE CUSTOMER SET C_NAME = ''y'' WHERE C_CUSTKEY = 1;' WHEN 2 THEN 'DELETE FROM CUSTOMER;' WHEN 3 THEN 'INSERT INTO CUSTOMER (C_CUSTKEY, C_NAME) SELECT 1, ''x'' FROM RDB$DATABASE;' WHEN 4 THEN 'INSERT INTO CUSTOMER (C_CUSTKEY, C_CUSTKEY) VALUES (1, 2);' ELSE 'INSERT INTO \"MY TABLE\" (ID) VALUES (1);' END, CASE WHEN stmt_no % 6 IN (0, 4) THEN 'quarantined' ELSE 'not_applicable' END FROM fx_stmt WHERE stmt_no % 13 = 0"
+     " UNION ALL SELECT file_no, stmt_no * 10 + 4, concat('INSERT INTO CUSTOMER VALUES (-', CAST(stmt_no + 1 AS VARCHAR(20)), ', ''line', chr(10), 'two; ('');'), 'loaded' FROM fx_stmt WHERE stmt_no % 17 = 0"),
     ("fx_u_column", 'SELECT db_id, table_name, ordinal, column_name, sql_type, nullable, default_sql, computed_sql, p, s FROM (SELECT *, row_number() OVER (PARTITION BY db_id, table_name, column_name ORDER BY ordinal) AS rn FROM fx_column) x WHERE rn = 1'),
     ("fx_t_table", "SELECT db_id, table_name, k FROM fx_table WHERE k % 29 <> 0 UNION ALL SELECT db_id, concat('N', CAST(k AS VARCHAR(20))), k FROM fx_table WHERE k % 31 = 0"),
     ("fx_t_column", "SELECT u.db_id, u.table_name, u.ordinal, u.column_name, CASE WHEN p % 37 = 0 THEN 'BIGINT' ELSE sql_type END AS sql_type, CASE WHEN s % 19 = 0 THEN NOT nullable ELSE nullable END AS nullable, CASE WHEN p % 43 = 0 THEN 'DEFAULT 1' ELSE default_sql END AS default_sql, CASE WHEN p % 47 = 0 THEN '(Y + 1)' ELSE computed_sql END AS computed_sql FROM fx_u_column u JOIN fx_t_table t ON t.db_id = u.db_id AND t.table_name = u.table_name WHERE p % 41 <> 0 UNION ALL SELECT db_id, table_name, 99, 'X1', 'INTEGER', TRUE, CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)) FROM fx_t_table WHERE k % 23 = 0"),
@@ -62,7 +68,9 @@ MATERIALIZED = frozenset({"fx_column", "fx_index", "fx_index_col", "fx_u_column"
 _FX_SQL = dict(FX_VIEWS)
 _BASE_SCANS = ("orders", "lineitem", "events", "documents", "customer")
 
-_registered: dict[int, str] = {}
+# of each session: the folder its views are over, and where the written views of every folder are
+_current: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+_written: WeakKeyDictionary[SparkSession, dict[str, str]] = WeakKeyDictionary()
 
 
 def register_fixtures(spark: SparkSession, sf_dir: str, materialize: bool = True) -> None:
@@ -72,25 +80,29 @@ def register_fixtures(spark: SparkSession, sf_dir: str, materialize: bool = True
     the session's shared checkpoint folder and re-registered over that
     table: the ~40 catalog queries then read a written table instead of
     re-running the window and join lineage of every view, and a lost
-    executor re-reads files instead of recomputing the fleet.
+    executor re-reads files instead of recomputing the fleet. The tables of a
+    folder are never rewritten, so plans over them hold when another folder
+    is registered in between.
     """
-    key = id(spark._jsparkSession)
-    if _registered.get(key) == sf_dir:
+    if _current.get(spark) == sf_dir:
         return
     register_base_tables(spark, sf_dir)
-    root = None
-    if materialize:
-        digest = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catwarden-fx/{digest}"
+    roots = _written.setdefault(spark, {})
+    root, known = roots.get(sf_dir), sf_dir in roots
+    if materialize and not known:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/catwarden-fx/{uuid.uuid4().hex}"
     for name, sql in FX_VIEWS:
         df = spark.sql(sql)
         if root is None or name not in MATERIALIZED:
             df.createOrReplaceTempView(name)
             continue
         path = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if not known:
+            df.write.parquet(path)
         spark.read.parquet(path).createOrReplaceTempView(name)
-    _registered[key] = sf_dir
+    if root is not None:
+        roots[sf_dir] = root
+    _current[spark] = sf_dir
 
 
 def _deps(name: str) -> list[str]:

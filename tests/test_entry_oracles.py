@@ -35,3 +35,12 @@ def test_oracle_parity(spark, con, name):
     from catwarden.plans.registry import load_all
     r = compare(spark, con, name, load_all()[name], SMALL_SF)
     assert r["status"] in ("ok", "no-oracle"), r
+
+
+def test_two_folders_in_turn(spark):
+    from catwarden.plans.registry import load_all
+    from tests.conftest import CHECK_SF
+    run = load_all()["writable_columns"].spark
+    small = run(spark, SMALL_SF).count()
+    assert run(spark, CHECK_SF).count() > small
+    assert run(spark, SMALL_SF).count() == small

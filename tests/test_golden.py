@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from catwarden.operators import findings as fnd
@@ -70,14 +71,16 @@ def test_fleet_summary_three_databases(spark):
 
 
 def test_overrides_change_severity_and_score(spark):
-    from catwarden.functions.scoring import normalize_overrides
+    from catwarden.functions.scoring import normalize_overrides, valid_overrides
     cat = build(spark, rich_sample())
-    raw = spark.createDataFrame([("table_without_pk", " Critical"), ("DUPLICATED_INDEX", "medium"),
+    raw = spark.createDataFrame([("TABLE_WITHOUT_PK", "low"), ("table_without_pk", " Critical"), ("DUPLICATED_INDEX", "medium"),
                                  ("NOPE", "high"), ("UNKNOWN_TYPE", "urgent")], "code string, severity string")
     norm = normalize_overrides(raw, spark)
     errors = {r.input_code: r.error for r in norm.collect()}
     assert errors["NOPE"] == "unknown code" and errors["UNKNOWN_TYPE"] == "invalid severity"
-    good = norm.where(F.col("error").isNull()).select("code", "severity")
+    with pytest.raises(Exception, match="unknown code|invalid severity"):
+        valid_overrides(norm).collect()
+    good = valid_overrides(norm.where(F.col("error").isNull()))
     rows = fnd.analyze(cat, overrides=good).collect()
     nopk = [r for r in rows if r.code == "TABELA_SEM_PK"]
     assert all(r.severity == "critical" and r.score == 90 and r.priority == "P0" for r in nopk)

@@ -25,12 +25,13 @@ def test_active_transaction_age(spark):
     samples = spark.createDataFrame([
         (1, t0 - dt.timedelta(minutes=720), 1, 7), (1, t0 - dt.timedelta(minutes=900), 1, 99),  # 99 = own
         (2, t0 - dt.timedelta(minutes=119), 1, 5), (3, t0 - dt.timedelta(minutes=29), 1, 5),
-        (4, t0 - dt.timedelta(minutes=500), 0, 5)],
+        (4, t0 - dt.timedelta(minutes=500), 0, 5), (5, t0 - dt.timedelta(days=3), 1, 5)],
         "db_id long, ts timestamp_ntz, tx_state int, attachment_id long")
     own = spark.createDataFrame([(1, 99)], "db_id long, own_attachment_id long")
-    as_of = spark.createDataFrame([(d, t0) for d in (1, 2, 3, 4)], "db_id long, as_of timestamp_ntz")
-    got = {r.db_id: r.code for r in M.age_findings(M.oldest_active(samples, own, as_of, 1440)).collect()}
-    assert got == {1: "OPERACIONAL_TRANSACAO_ATIVA_LONGA_CRITICA", 2: "OPERACIONAL_TRANSACAO_ATIVA_ACIMA_DO_ESPERADO"}
+    as_of = spark.createDataFrame([(d, t0) for d in (1, 2, 3, 4, 5)], "db_id long, as_of timestamp_ntz")
+    got = {r.db_id: r.code for r in M.age_findings(M.oldest_active(samples, own, as_of)).collect()}
+    assert got == {1: "OPERACIONAL_TRANSACAO_ATIVA_LONGA_CRITICA", 2: "OPERACIONAL_TRANSACAO_ATIVA_ACIMA_DO_ESPERADO",
+                   5: "OPERACIONAL_TRANSACAO_ATIVA_LONGA_CRITICA"}
 
 
 def test_failure_classes(spark):

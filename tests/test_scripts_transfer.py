@@ -2,6 +2,7 @@
 
 import decimal
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,22 +25,34 @@ SET TERM ; ^
 
 
 def test_split_script_strings_comments_and_set_term():
-    rows = list(S.split_script(SPLITTER_SCRIPT))
+    script = S.split_script(SPLITTER_SCRIPT)
+    rows = script.statements
     assert [r[0] for r in rows] == [1, 2, 3]
     assert rows[0] == (1, 5, "INSERT INTO T (ID, NOME) VALUES (1, 'texto com ; no meio')")
     assert rows[1] == (2, 7, "INSERT INTO T (ID, NOME)\nVALUES (2, 'two')")
     assert rows[2][2] == "EXECUTE BLOCK AS BEGIN INSERT INTO T (ID, NOME) VALUES (3, 'three'); END"
-    assert S.split_script.stats == (11, 6)
+    assert (script.lines_read, script.lines_processed) == (11, 6)
 
 
 def test_split_script_flushes_unterminated_tail():
-    rows = list(S.split_script("INSERT INTO T VALUES (1);\nINSERT INTO T VALUES (2)"))
+    rows = S.split_script("INSERT INTO T VALUES (1);\nINSERT INTO T VALUES (2)").statements
     assert [r[2] for r in rows] == ["INSERT INTO T VALUES (1)", "INSERT INTO T VALUES (2)"]
+    assert S.split_script("") == ([], 0, 0) and S.split_script(" \n\n;") == ([], 3, 1)
+
+
+def test_split_script_quotes_terminators_and_lines():
+    text = ("SET NAMES UTF8; INSERT INTO T VALUES ('a\r\n;b');  \n\nSELECT \"x;'y\" /* c\n; */FROM U -- z;\nWHERE 1=1;\n"
+            "SET TERM !! ;\nCREATE PROCEDURE P AS BEGIN A = 'SET TERM ; !!'; END!!\nSET TERM ; !!\nSELECT 5-3/1")
+    got = S.split_script(text)
+    assert got.statements == [
+        (1, 1, "INSERT INTO T VALUES ('a\r\n;b')"), (2, 4, "SELECT \"x;'y\" FROM U \nWHERE 1=1"),
+        (3, 8, "CREATE PROCEDURE P AS BEGIN A = 'SET TERM ; !!'; END"), (4, 10, "SELECT 5-3/1")]
+    assert (got.lines_read, got.lines_processed) == (10, 7)
 
 
 def test_insert_arity_three_reference_cases():
-    assert S.parse_insert_text("INSERT INTO T (ID, NOME, OBS) VALUES (1,'ANA','TEXTO');")[3:] == (3, 3, None)
-    assert S.parse_insert_text("INSERT INTO T (ID, OBS) VALUES (1,'A, B, C');")[3:] == (2, 2, None)
+    assert S.parse_insert_text("INSERT INTO T (ID, NOME, OBS) VALUES (1,'ANA','TEXTO');")[3:6] == (3, 3, None)
+    assert S.parse_insert_text("INSERT INTO T (ID, OBS) VALUES (1,'A, B, C');")[3:6] == (2, 2, None)
     bad = S.parse_insert_text("INSERT INTO T (ID, NOME, OBS) VALUES (1,'ANA');")
     assert bad[3:5] == (3, 2) and "differs" in bad[5]
     nested = S.parse_insert_text("INSERT INTO T (A, B) VALUES (COALESCE(1, 2), 'x''y, z');")
@@ -75,6 +88,74 @@ def test_quarantine_keeps_good_rows(spark):
     assert len(b) == 1 and b[0].stmt_no == 401 and "COLUNA_X" in b[0].error
 
 
+NINE = {
+    "INSERT INTO T (ID, NOME VALUES (1, 'x')": "quarantined",
+    "INSERT INTO T VALUES (2, 'x')": "loaded",
+    "UPDATE T SET NOME = 'x'": "not_applicable",
+    "DELETE FROM T": "not_applicable",
+    "INSERT INTO T (ID, NOME) SELECT 1, 'x' FROM U": "not_applicable",
+    "INSERT INTO T (ID, ID) VALUES (1, 2)": "quarantined",
+    "INSERT INTO \"MY TABLE\" (ID) VALUES (3)": "not_applicable",
+    "UPDATE OR INSERT INTO T (ID, NOME) VALUES (4, 'a\nb') MATCHING (ID)": "merged",
+    "INSERT INTO T (ID, NOME) VALUES (5, 'it''s\nok')": "loaded",
+    "INSERT INTO T (ID, NOME) VALUES (6, 'x)": "quarantined",
+    "INSERT INTO T (ID) VALUES (7))": "quarantined",
+    "INSERT INTO T VALUES (8)": "quarantined",
+    "INSERT INTO T (ID) VALUES ('eight')": "quarantined",
+    "UPDATE OR INSERT INTO T (ID, NOME) VALUES (9, 'n') MATCHING (NOME)": "quarantined",
+    "INSERT INTO T (NOME) VALUES ('no key')": "quarantined",
+    "()": "quarantined",
+    "": "quarantined",
+}
+T_SCHEMA = T.StructType([T.StructField("ID", T.LongType()), T.StructField("NOME", T.StringType())])
+
+
+def test_each_statement_has_one_fate(spark):
+    df = spark.createDataFrame(list(enumerate(NINE)), "stmt_no long, sql_text string")
+    got = S.settle_keys(S.replay(df, "t", T_SCHEMA, key=["ID"]), ["ID"], ["stmt_no"]).collect()
+    assert {r.sql_text: r.fate for r in got} == NINE and len(got) == len(NINE)
+    assert all((r.reason is None) == (r.fate in ("loaded", "merged")) for r in got)
+    rows = {r.sql_text: r.row for r in got}
+    assert rows["INSERT INTO T (ID, NOME) VALUES (5, 'it''s\nok')"].NOME == "it's\nok"
+    assert rows["INSERT INTO T VALUES (2, 'x')"].ID == 2
+    own = spark.createDataFrame([(1, 'INSERT INTO "MY TABLE" (ID) VALUES (3)')], "stmt_no long, sql_text string")
+    assert S.load_inserts(own, "my table", T_SCHEMA)[0].collect()[0].ID == 3
+
+
+def test_replay_applies_statements_in_order(spark):
+    stmts = ["INSERT INTO T (ID, NOME) VALUES (1, 'a')", "UPDATE OR INSERT INTO T (ID) VALUES (1) MATCHING (ID)",
+             "INSERT INTO T (ID, NOME) VALUES (1, 'late')", "UPDATE OR INSERT INTO T (ID, NOME) VALUES (2, 'm')",
+             "UPDATE OR INSERT INTO T (NOME, ID) VALUES (NULL, 2) MATCHING (ID)", "INSERT INTO T (ID) VALUES (3)"]
+    df = spark.createDataFrame(list(enumerate(stmts)), "stmt_no long, sql_text string")
+    settled = S.settle_keys(S.replay(df, "T", T_SCHEMA, key=["ID"]), ["ID"], ["stmt_no"])
+    fates = [r.fate for r in settled.orderBy("stmt_no").collect()]
+    assert fates == ["loaded", "merged", "quarantined", "merged", "merged", "loaded"]
+    table = sorted(tuple(r) for r in S.replay_table(settled, T_SCHEMA, ["ID"], ["stmt_no"]).collect())
+    assert table == [(1, "a"), (2, None), (3, None)]
+
+
+def test_fail_fast_stops_at_a_bad_statement(spark):
+    df = spark.createDataFrame([(1, "INSERT INTO T (ID) VALUES (1)"), (2, "INSERT INTO T (NOPE) VALUES (1)")], "stmt_no long, sql_text string")
+    assert S.replay(df.where("stmt_no = 1"), "T", T_SCHEMA, fail_fast=True).count() == 1
+    with pytest.raises(Exception, match="Column unknown: NOPE"):
+        S.replay(df, "T", T_SCHEMA, fail_fast=True).collect()
+
+
+def test_bytes_that_do_not_decode_are_put_aside(spark):
+    df = spark.createDataFrame([("a.sql", bytearray(b"INSERT INTO T (ID) VALUES (1);\nINSERT INTO T (ID, NOME) VALUES (2, 'a\xe3o');"))],
+                               "path string, content binary")
+    got = S.replay(S.script_statements(df), "T", T_SCHEMA).orderBy("stmt_no").collect()
+    assert [r.fate for r in got] == ["loaded", "quarantined"]
+    assert got[1].sql_text.endswith("'a\\xe3o')") and "not valid" in got[1].reason
+
+
+def test_call_sites():
+    from catwarden.operators.graph import _call_sites
+    src = ("BEGIN EXECUTE PROCEDURE P1(1, 'a, (b', F(2, 3)); SELECT X FROM \"p 2\"() JOIN P3 (:A, (SELECT 1 FROM P4(1))) ON 1 = 1;"
+           " /* FROM P5(1) */ -- FROM P6(1)\n A = 'FROM P7(1)'; EXECUTE PROCEDURE P8(1")
+    assert sorted(_call_sites(src)) == [("P 2", 0), ("P1", 3), ("P3", 2), ("P4", 1)]
+
+
 def test_render_literals_by_type(spark):
     import datetime as dt
     df = spark.createDataFrame(
