@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,6 +60,19 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], object]):
+    """What ``make`` gives, kept for later tasks of this worker process. Only
+    the value last asked for is kept: a worker that runs one operator after
+    another holds the tables of one."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Rows of an Arrow batch, for texts of very different lengths: lowered
     where the session asks for more."""

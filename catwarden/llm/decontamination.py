@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import unused
+from .common import kept_in_worker, unused
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -106,15 +106,9 @@ def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, b
         yield [(r["i"], r["t"]) for r in part.collect()]
 
 
-_built: dict = {}
-
-
 def _scanner(shared, key: str, window: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = build(shared.value, window)
-        automaton = _built[key]
+        automaton = kept_in_worker(key, lambda: build(shared.value, window))
         for texts in batches:
             rows = []
             for t in texts:

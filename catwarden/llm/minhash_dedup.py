@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import forget, written
+from .common import forget, kept_in_worker, written
 
 SHINGLE = 4
 BINS, BANDS, ROWS = 200, 40, 5
@@ -132,6 +132,7 @@ _SKETCH = T.StructType([
 
 def _sketch_udf(size: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept_in_worker("near-dedup", object)  # frees what the operator before kept in this worker
         for texts in batches:
             n, ids, made = [], [], [None] * len(texts)
             chunk, at = [], []

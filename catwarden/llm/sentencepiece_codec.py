@@ -29,6 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import kept_in_worker, unused
+
 BLANK = "▁"
 MEMO = 500_000  # distinct parts kept by a worker
 MEMO_CHARS = 64  # longer parts are rare and not kept
@@ -147,17 +149,6 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_loaded: dict[str, Codec] = {}
-
-
-def codec(model: bytes, key: str) -> Codec:
-    """One codec for each model and worker process."""
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Codec(model)
-    return _loaded[key]
-
-
 def _model(df: DataFrame, path: str):
     """The model file's bytes (below a few MB: a vocabulary) to every worker."""
     import hashlib
@@ -173,7 +164,7 @@ def encode(df: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text", ou
     shared, key = _model(df, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(shared.value, key)
+        c = kept_in_worker(key, lambda: Codec(shared.value))
         for texts in batches:
             yield pd.Series([c.encode(t) for t in texts], dtype=object)
 
@@ -185,12 +176,35 @@ def decode(df: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", out_
     shared, key = _model(df, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(shared.value, key)
+        c = kept_in_worker(key, lambda: Codec(shared.value))
         for ids in batches:
             yield pd.Series(["" if x is None else c.decode(x) for x in ids], dtype=object)
 
     return df.withColumn(out_col, F.pandas_udf(run, T.StringType())(F.col(ids_col)))
 
 
+CODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+
+def encode_checked(df: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text",
+                   ids_col: str = "ids", check_col: str = "round_trip") -> DataFrame:
+    """``df`` with the piece ids of each whole text and whether decoding them
+    gives the text back (a null text: an empty one). Both are done in one pass,
+    so that a task needs one worker with one automaton. Other columns pass
+    through, but for two called as the added ones, which are replaced."""
+    shared, key = _model(df, model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = kept_in_worker(key, lambda: Codec(shared.value))
+        for texts in batches:
+            ids = [c.encode(t) for t in texts]
+            same = [c.decode(i) == (t or "") for i, t in zip(ids, texts)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
+
+    coded = unused("coded", [*df.columns, ids_col, check_col])
+    return (df.withColumn(coded, F.pandas_udf(run, CODED)(F.col(text_col)))
+            .withColumn(ids_col, F.col(coded)["ids"]).withColumn(check_col, F.col(coded)["round_trip"]).drop(coded))
+
+
 def round_trips(decoded: Column, text: Column) -> Column:
     return decoded == F.coalesce(text, F.lit(""))

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import is_held_out, labelled_sample, unused
+from .common import is_held_out, kept_in_worker, labelled_sample, unused
 
 BUCKETS = 1 << 17
 DIM = 4
@@ -175,9 +175,6 @@ def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model:
     return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.float32))
 
 
-_scorers: dict = {}
-
-
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``df`` with the probability of the toxic class for each whole text.
     Null and empty texts get the bias alone. Other columns pass through."""
@@ -186,10 +183,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "s
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = shared.value.scorer()
-        s = _scorers[key]
+        s = kept_in_worker(key, lambda: shared.value.scorer())
         for texts in batches:
             yield pd.Series([s.score(t) for t in texts], dtype="float64")
 

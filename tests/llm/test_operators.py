@@ -68,6 +68,9 @@ def test_odd_rows_keep_their_number(spark, odd):
     assert pii.find(odd).count() == n
     back = sentencepiece_codec.decode(sentencepiece_codec.encode(odd))
     assert back.where("decoded <> coalesce(text, '')").count() == 0
+    once = sentencepiece_codec.encode_checked(odd)
+    assert once.where("not round_trip").count() == 0 and once.columns == [*odd.columns, "ids", "round_trip"]
+    assert sorted(map(str, once.select("doc_id", "ids").collect())) == sorted(map(str, back.select("doc_id", "ids").collect()))
     assert exact_dedup.exact_groups(odd).count() == n
     near = minhash_dedup.near_duplicates(odd)
     assert near.count() == n
