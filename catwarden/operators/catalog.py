@@ -7,6 +7,7 @@ case-insensitively, so operators join on ``upper(name)`` keys.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +41,18 @@ class Catalog:
         return replace(self, **{n: getattr(self, n).persist(level) for n in names})
 
 
-_catalogs: dict = {}
+_catalogs: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
 def fixture_catalog(spark: SparkSession, sf_dir: str, side: str = "fleet") -> Catalog:
     """Catalog over the fx views. ``side='target'`` gives the diff target
     (fx_t_*), ``side='source'`` the diff source (unique column names).
     DataFrames are immutable plans, so one Catalog per session is reused."""
-    key = (id(spark._jsparkSession), sf_dir, side)
     register_fixtures(spark, sf_dir)
-    if key not in _catalogs:
-        _catalogs[key] = _build_catalog(spark, side)
-    return _catalogs[key]
+    known = _catalogs.setdefault(spark, {})
+    if (sf_dir, side) not in known:
+        known[sf_dir, side] = _build_catalog(spark, side)
+    return known[sf_dir, side]
 
 
 def _build_catalog(spark: SparkSession, side: str) -> Catalog:
@@ -78,6 +79,21 @@ def _build_catalog(spark: SparkSession, side: str) -> Catalog:
         indexes = t("fx_t_index").select("db_id", "table_name", "index_name", "is_unique", "is_desc")
         routines = t("fx_t_routine").select("db_id", "kind", "name", F.lit(False).alias("ignore_body"),
                                             "source")
+    extras = {}
+    if side == "fleet":
+        monitor = t("fx_monitor")
+        # the monitoring connection of database d is attachment d in the fixture
+        extras = {"samples": monitor,
+                  "own_attachments": monitor.select("db_id").distinct().withColumn("own_attachment_id", F.col("db_id"))}
+    else:
+        p = "fx_t_" if side == "target" else "fx_"
+        extras = {
+            "uniques": ordered_names(t(p + "unique"), ["db_id", "table_name", "name"], "column_name", "cols", upper=False),
+            "checks": t(p + "check").select("db_id", "table_name", "name", "check_sql"),
+            "sequences": t(p + "sequence").select("db_id", "name"),
+            "views": t(p + "view").select("db_id", "name", "select_sql")}
+    domains = None if side == "fleet" else t(p + "domain").select(
+        "db_id", "name", "sql_type", "nullable", "default_sql", "check_sql", "charset")
     pk_view, pk_col_view = ("fx_t_pk", "fx_t_pk_col") if side == "target" else ("fx_pk", "fx_pk_col")
     return Catalog(
         tables=tables,
@@ -92,6 +108,8 @@ def _build_catalog(spark: SparkSession, side: str) -> Catalog:
                                             "column_name"),
         routines=routines,
         databases=t("fx_database").select("db_id", "major"),
+        domains=domains,
+        extras=extras,
     )
 
 

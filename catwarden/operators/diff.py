@@ -127,6 +127,26 @@ def _ix_sql(df):
     return R.create_index(F.col("table_name"), F.col("index_name"), F.col("is_unique"), F.col("is_desc"), F.col("cols"))
 
 
+# Ordering classes of ADD UNIQUE and ADD CHECK.
+UNIQUE_CLASS, CHECK_CLASS = 42, 43
+
+
+def _add_constraint(tail):
+    return F.concat(F.lit("ALTER TABLE "), R.quote_ident(F.col("table_name")), F.lit(" ADD "),
+                    F.when(R.is_integ_name(F.col("name")), F.lit(""))
+                     .otherwise(F.concat(F.lit("CONSTRAINT "), R.quote_ident(F.col("name")), F.lit(" "))), tail, F.lit(";"))
+
+
+def _unique_sql():
+    return _add_constraint(F.concat(F.lit("UNIQUE ("), R.ident_list(F.col("cols")), F.lit(")")))
+
+
+def _check_sql():
+    body = R.strip_ws(F.col("check_sql"))
+    return _add_constraint(F.when(F.upper(body).startswith("CHECK"), body)
+                            .otherwise(F.concat(F.lit("CHECK ("), body, F.lit(")"))))
+
+
 def diff_tables(src: Catalog, tgt: Catalog):
     s = _keyed_tables(src)
     t = _keyed_tables(tgt)
@@ -146,6 +166,10 @@ def diff_tables(src: Catalog, tgt: Catalog):
         _cmd(fk, 60, F.col("table_name"), F.col("fk_name"), _fk_sql(fk)),
         _cmd(ix, 50, F.col("table_name"), F.col("index_name"), _ix_sql(ix)),
     ]
+    for kind, cls, sql in (("uniques", UNIQUE_CLASS, _unique_sql), ("checks", CHECK_CLASS, _check_sql)):
+        if kind in src.extras:
+            own = src.extras[kind].join(m, ["db_id", "table_name"], "left_semi")
+            cmds.append(_cmd(own, cls, F.col("table_name"), F.col("name"), sql()))
     return _union(items), _union(cmds)
 
 
@@ -347,11 +371,7 @@ def diff_uniques(src: Catalog, tgt: Catalog):
     items = _union([_item(missing, "created", "UNIQUE", F.col("table_name"), F.col("name")),
                     _item(only_t, "target_only", "UNIQUE", F.col("t_table"), F.col("t_name")),
                     _item(differs, "warning", "UNIQUE", F.col("table_name"), F.col("name"))])
-    sql = F.concat(F.lit("ALTER TABLE "), R.quote_ident(F.col("table_name")),
-                   F.when(R.is_integ_name(F.col("name")), F.lit(" ADD UNIQUE ("))
-                    .otherwise(F.concat(F.lit(" ADD CONSTRAINT "), R.quote_ident(F.col("name")), F.lit(" UNIQUE ("))),
-                   R.ident_list(F.col("cols")), F.lit(");"))
-    return items, _cmd(missing, 42, F.col("table_name"), F.col("name"), sql)
+    return items, _cmd(missing, UNIQUE_CLASS, F.col("table_name"), F.col("name"), _unique_sql())
 
 
 def diff_checks(src: Catalog, tgt: Catalog):
@@ -371,13 +391,7 @@ def diff_checks(src: Catalog, tgt: Catalog):
     items = _union([_item(missing, "created", "CHECK", F.col("table_name"), F.col("name")),
                     _item(only_t, "target_only", "CHECK", F.col("t_table"), F.col("t_name")),
                     _item(differs, "warning", "CHECK", F.col("table_name"), F.col("name"))])
-    body = R.strip_ws(F.col("check_sql"))
-    body = F.when(F.upper(body).startswith("CHECK"), body).otherwise(F.concat(F.lit("CHECK ("), body, F.lit(")")))
-    sql = F.concat(F.lit("ALTER TABLE "), R.quote_ident(F.col("table_name")),
-                   F.when(R.is_integ_name(F.col("name")), F.lit(" ADD "))
-                    .otherwise(F.concat(F.lit(" ADD CONSTRAINT "), R.quote_ident(F.col("name")), F.lit(" "))),
-                   body, F.lit(";"))
-    return items, _cmd(missing, 43, F.col("table_name"), F.col("name"), sql)
+    return items, _cmd(missing, CHECK_CLASS, F.col("table_name"), F.col("name"), _check_sql())
 
 
 def diff_domains(src: Catalog, tgt: Catalog, db_charset=None):
@@ -398,20 +412,26 @@ def diff_domains(src: Catalog, tgt: Catalog, db_charset=None):
     return diff_named(sd, td, "DOMAIN", ["sql_type", "nullable", "default_sql", "check_sql", "charset"], create, 15)
 
 
+def diff_sequences(src: Catalog, tgt: Catalog):
+    """Existence only."""
+    create = F.concat(F.lit("CREATE SEQUENCE "), R.quote_ident(F.col("name")), F.lit(";"))
+    return diff_named(src.extras.get("sequences"), tgt.extras.get("sequences"), "SEQUENCE", [], create, 16)
+
+
+def diff_views(src: Catalog, tgt: Catalog):
+    """Missing -> CREATE VIEW; another text (line ends and case aside) -> warning only."""
+    create = F.concat(F.lit("CREATE VIEW "), R.quote_ident(F.col("name")), F.lit(" AS "),
+                      R.strip_ws(F.col("select_sql")), F.lit(";"))
+    return diff_named(src.extras.get("views"), tgt.extras.get("views"), "VIEW", ["select_sql"], create, 25,
+                      normalize=_source_norm)
+
+
 # ---- whole diff, ordering (W06), summary (D14) -------------------------------------
 
 def diff(src: Catalog, tgt: Catalog, include_domains: bool = False) -> DiffResult:
     parts = [diff_tables(src, tgt), diff_columns(src, tgt), diff_pk(src, tgt), diff_fks(src, tgt),
              diff_indexes(src, tgt), diff_routines(src, tgt)]
-    ex_s, ex_t = src.extras, tgt.extras
-    if "sequences" in ex_s and "sequences" in ex_t:
-        parts.append(diff_named(ex_s["sequences"], ex_t["sequences"], "SEQUENCE", [],
-                                F.concat(F.lit("CREATE SEQUENCE "), R.quote_ident(F.col("name")), F.lit(";")), 16))
-    if "views" in ex_s and "views" in ex_t:
-        parts.append(diff_named(ex_s["views"], ex_t["views"], "VIEW", ["select_sql"],
-                                F.concat(F.lit("CREATE VIEW "), R.quote_ident(F.col("name")), F.lit(" AS "),
-                                         R.strip_ws(F.col("select_sql")), F.lit(";")), 25, normalize=_source_norm))
-    parts += [diff_uniques(src, tgt), diff_checks(src, tgt)]
+    parts += [diff_sequences(src, tgt), diff_views(src, tgt), diff_uniques(src, tgt), diff_checks(src, tgt)]
     if include_domains:
         parts.append(diff_domains(src, tgt))
     items = _union([p[0] for p in parts if p[0] is not None])
@@ -503,11 +523,27 @@ def apply_diff(src: Catalog, tgt: Catalog) -> Catalog:
     rs = src.routines.withColumn("nkey", F.upper("name"))
     rt = tgt.routines.withColumn("nkey", F.upper("name"))
     routines = rt.join(rs.select(*rk), rk, "left_anti").unionByName(rs.select(*rt.columns)).drop("nkey")
+
+    # by name: objects the target lacks are added, those it has stay
+    def add_by_name(s, t, keys):
+        def keyed(df):
+            return df.select("*", *[F.upper(k).alias("_" + k) for k in keys])
+        on = ["db_id", *["_" + k for k in keys]]
+        return t.unionByName(keyed(s).join(keyed(t).select(*on), on, "left_anti").select(*t.columns))
+
+    extras = dict(tgt.extras)
+    for kind, keys in (("uniques", ["table_name", "name"]), ("checks", ["table_name", "name"]),
+                       ("sequences", ["name"]), ("views", ["name"])):
+        if kind in src.extras and kind in tgt.extras:
+            extras[kind] = add_by_name(src.extras[kind], tgt.extras[kind], keys)
+    domains = tgt.domains
+    if src.domains is not None and tgt.domains is not None:
+        domains = add_by_name(src.domains, tgt.domains, ["name"])
     return dc_replace(tgt, tables=tables, columns=columns, pks=pks, pk_cols=pk_cols, fks=fks, fk_cols=fk_cols,
-                      indexes=indexes, index_cols=index_cols, routines=routines)
+                      indexes=indexes, index_cols=index_cols, routines=routines, domains=domains, extras=extras)
 
 
 def convergence(src: Catalog, tgt: Catalog) -> DataFrame:
     """created/changed items left after applying the diff (expected empty)."""
-    after = diff(src, apply_diff(src, tgt)).items
+    after = diff(src, apply_diff(src, tgt), include_domains=True).items
     return after.where(F.col("bucket").isin("created", "changed"))

@@ -60,6 +60,21 @@ def age_findings(oldest: DataFrame) -> DataFrame:
                                                  "age_minutes")
 
 
+def latest_sample(samples: DataFrame) -> DataFrame:
+    """The newest counters of each database (ties: the larger sample_id)."""
+    newest = F.max_by(F.struct("oit", "oat", "ost", "ts"), F.struct("ts", "sample_id"))
+    return samples.groupBy("db_id").agg(newest.alias("s")).select("db_id", "s.oit", "s.oat", "s.ost", F.col("s.ts").alias("as_of"))
+
+
+def operational_findings(samples: DataFrame, own: DataFrame) -> DataFrame:
+    """O01-O08 as an audit sees them: the gaps of the newest sample and the
+    age of the oldest active transaction at that moment, per database."""
+    newest = latest_sample(samples)
+    aged = age_findings(oldest_active(samples, own, newest.select("db_id", "as_of")))
+    cols = ["db_id", "code", "severity", "scope"]
+    return gap_findings(newest, ["db_id"]).select(*cols).unionByName(aged.select(*cols))
+
+
 # ---- F18 / F19 -------------------------------------------------------------------------
 
 def _contains_any(msg: Column, needles) -> Column:

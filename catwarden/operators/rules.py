@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ddl
 from .catalog import TABLE_KEYS, Catalog, ordered_names
+from .monitor import operational_findings
 
 FINDING_COLS = ["db_id", "code", "severity", "scope"]
 
@@ -362,6 +363,10 @@ RULES = {
 
 
 def all_rule_findings(cat: Catalog, prefixes=()) -> DataFrame:
-    """Union of every rule's output."""
+    """Union of every rule's output, and of the operational findings
+    of the catalog's databases where it carries monitor samples."""
     frames = [fn(cat, prefixes).select(*FINDING_COLS) for fn in RULES.values()]
+    if "samples" in cat.extras:
+        seen = operational_findings(cat.extras["samples"], cat.extras["own_attachments"])
+        frames.append(seen.join(cat.databases, "db_id", "left_semi").select(*FINDING_COLS))
     return reduce(DataFrame.unionByName, frames)

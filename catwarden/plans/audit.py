@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..operators import findings as fnd
 from ..operators import rules
 from ..operators.catalog import fixture_catalog
 from ..functions.scoring import normalize_overrides, valid_overrides
+from .monitor import GAP_SQL
 from .registry import register
 
 # ---------------------------------------------------------------- SQL pieces
@@ -232,11 +235,26 @@ def _register_rule(key: str):
 for _k in RULE_SQL:
     _register_rule(_k)
 
-ALL_FINDINGS_SQL = scored("\nUNION ALL\n".join(f"SELECT db_id, code, severity, scope FROM ({RULE_SQL[k]}) r_{i}"
-                                               for i, k in enumerate(RULE_SQL)))
+OPERATIONAL_SQL = f"""
+WITH newest AS (SELECT db_id, oit, oat, ost, ts AS as_of FROM (
+    SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY ts DESC, sample_id DESC) AS rn FROM fx_monitor) m WHERE rn = 1),
+oldest AS (
+  SELECT m.db_id, (epoch_us(max(n.as_of)) - epoch_us(min(m.ts))) / 6e7 AS age FROM fx_monitor m JOIN newest n USING (db_id)
+  WHERE m.tx_state = 1 AND m.attachment_id <> m.db_id AND m.ts <= n.as_of GROUP BY m.db_id)
+SELECT db_id, code, severity, scope FROM ({GAP_SQL.format(src="(SELECT *, 0 AS sample_id FROM newest) ns")}) gaps
+WHERE db_id IN (SELECT db_id FROM fx_database)
+UNION ALL
+SELECT db_id, CASE WHEN age >= 720 THEN 'OPERACIONAL_TRANSACAO_ATIVA_LONGA_CRITICA'
+                   WHEN age >= 120 THEN 'OPERACIONAL_TRANSACAO_ATIVA_LONGA'
+                   ELSE 'OPERACIONAL_TRANSACAO_ATIVA_ACIMA_DO_ESPERADO' END,
+       CASE WHEN age >= 720 THEN 'critical' WHEN age >= 120 THEN 'high' ELSE 'medium' END, 'OPERACIONAL.TRANSACTIONS'
+FROM oldest WHERE age >= 30 AND db_id IN (SELECT db_id FROM fx_database)"""
+
+ALL_FINDINGS_SQL = scored("\nUNION ALL\n".join(f"SELECT db_id, code, severity, scope FROM ({sql}) r_{i}"
+                                               for i, sql in enumerate([*RULE_SQL.values(), OPERATIONAL_SQL])))
 
 
-_scored: dict = {}
+_scored: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
 def all_findings(spark: SparkSession, sf_dir: str, prefixes=(), overrides=None) -> DataFrame:
@@ -245,10 +263,10 @@ def all_findings(spark: SparkSession, sf_dir: str, prefixes=(), overrides=None)
     (MEMORY_AND_DISK: lineage is kept, a lost block is recomputed)."""
     if prefixes or overrides is not None:
         return fnd.analyze(fixture_catalog(spark, sf_dir), prefixes, overrides)
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _scored:
-        _scored[key] = fnd.analyze(fixture_catalog(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    return _scored[key]
+    known = _scored.setdefault(spark, {})
+    if sf_dir not in known:
+        known[sf_dir] = fnd.analyze(fixture_catalog(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return known[sf_dir]
 
 
 register("all_findings", ALL_FINDINGS_SQL)(lambda spark, sf: all_findings(spark, sf))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark import StorageLevel
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff as D
@@ -10,7 +13,7 @@ from ..operators import graph as G
 from ..operators.catalog import fixture_catalog
 from .registry import register
 
-_cache: dict = {}
+_cache: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
 def _sides(spark, sf_dir):
@@ -20,13 +23,13 @@ def _sides(spark, sf_dir):
 def _full(spark, sf_dir):
     """The whole diff, persisted once per session: items, commands and the
     summary all read it (lineage kept for recomputation)."""
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _cache:
+    known = _cache.setdefault(spark, {})
+    if sf_dir not in known:
         s, t = _sides(spark, sf_dir)
-        r = D.diff(s, t)
-        _cache[key] = D.DiffResult(r.items.persist(StorageLevel.MEMORY_AND_DISK),
-                                   lambda: r.commands.persist(StorageLevel.MEMORY_AND_DISK))
-    return _cache[key]
+        r = D.diff(s, t, include_domains=True)
+        known[sf_dir] = D.DiffResult(r.items.persist(StorageLevel.MEMORY_AND_DISK),
+                                     lambda: r.commands.persist(StorageLevel.MEMORY_AND_DISK))
+    return known[sf_dir]
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -123,9 +126,56 @@ r_all AS (
 r_diff AS (
   SELECT * FROM r_all WHERE name IS NOT NULL AND t_name IS NOT NULL
    AND upper({trim_ws("regexp_replace(coalesce(source, ''), '\\r\\n?', chr(10), 'g')")})
-       <> upper({trim_ws("regexp_replace(coalesce(t_source, ''), '\\r\\n?', chr(10), 'g')")}))
+       <> upper({trim_ws("regexp_replace(coalesce(t_source, ''), '\\r\\n?', chr(10), 'g')")})),
+s_uq AS (SELECT db_id, table_name, upper(table_name) AS tkey, name, list(column_name ORDER BY ordinal, column_name) AS cols
+         FROM fx_unique GROUP BY db_id, table_name, name),
+t_uq AS (SELECT db_id, table_name, upper(table_name) AS tkey, name, list(column_name ORDER BY ordinal, column_name) AS cols
+         FROM fx_t_unique GROUP BY db_id, table_name, name),
+uq_all AS (
+  SELECT coalesce(s.db_id, t.db_id) AS db_id, s.table_name, s.name, s.cols, t.table_name AS t_table, t.name AS t_name, t.cols AS t_cols
+  FROM (SELECT * FROM s_uq SEMI JOIN common USING (db_id, tkey)) s
+  FULL OUTER JOIN (SELECT * FROM t_uq SEMI JOIN common USING (db_id, tkey)) t
+  ON s.db_id = t.db_id AND s.tkey = t.tkey AND upper(s.name) = upper(t.name)),
+ck_all AS (
+  SELECT coalesce(s.db_id, t.db_id) AS db_id, s.table_name, s.name, s.check_sql, t.table_name AS t_table, t.name AS t_name,
+         t.check_sql AS t_check
+  FROM (SELECT *, upper(table_name) AS tkey FROM fx_check WHERE (db_id, upper(table_name)) IN (SELECT (db_id, tkey) FROM common)) s
+  FULL OUTER JOIN (SELECT *, upper(table_name) AS tkey FROM fx_t_check
+                   WHERE (db_id, upper(table_name)) IN (SELECT (db_id, tkey) FROM common)) t
+  ON s.db_id = t.db_id AND s.tkey = t.tkey AND upper(s.name) = upper(t.name)),
+sq_all AS (SELECT coalesce(s.db_id, t.db_id) AS db_id, s.name, t.name AS t_name FROM fx_sequence s
+           FULL OUTER JOIN fx_t_sequence t ON s.db_id = t.db_id AND upper(s.name) = upper(t.name)),
+vw_all AS (SELECT coalesce(s.db_id, t.db_id) AS db_id, s.name, s.select_sql, t.name AS t_name, t.select_sql AS t_select FROM fx_view s
+           FULL OUTER JOIN fx_t_view t ON s.db_id = t.db_id AND upper(s.name) = upper(t.name)),
+dm_all AS (
+  SELECT coalesce(s.db_id, t.db_id) AS db_id, s.name, s.sql_type, s.nullable, s.default_sql, s.check_sql, s.charset, t.name AS t_name,
+         (upper(s.sql_type), s.nullable, upper(s.default_sql), upper(s.check_sql), upper(s.charset))
+         IS DISTINCT FROM (upper(t.sql_type), t.nullable, upper(t.default_sql), upper(t.check_sql), upper(t.charset)) AS differs
+  FROM (SELECT * FROM fx_domain WHERE NOT starts_with(upper(name), 'RDB$')) s
+  FULL OUTER JOIN (SELECT * FROM fx_t_domain WHERE NOT starts_with(upper(name), 'RDB$')) t
+  ON s.db_id = t.db_id AND upper(s.name) = upper(t.name))
 """
 
+
+def _named_items(rel: str, kind: str, differs: str, in_table: bool = False) -> str:
+    s_tab, t_tab = ("table_name", "t_table") if in_table else ("CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)")
+    return f"""
+SELECT db_id, 'created' AS bucket, '{kind}' AS object_type, {s_tab} AS table_name, name, CAST(NULL AS VARCHAR) AS attr
+FROM {rel} WHERE t_name IS NULL
+UNION ALL SELECT db_id, 'target_only', '{kind}', {t_tab}, t_name, NULL FROM {rel} WHERE name IS NULL
+UNION ALL SELECT db_id, 'warning', '{kind}', {s_tab}, name, NULL FROM {rel}
+WHERE name IS NOT NULL AND t_name IS NOT NULL AND {differs}"""
+
+
+def _check_norm(x: str) -> str:
+    return f"""upper(trim(regexp_replace(coalesce({x}, ''), '[\\r\\n\\t]+', ' ', 'g')))"""
+
+
+def _text_norm(x: str) -> str:
+    unix = f"regexp_replace(coalesce({x}, ''), '\\r\\n?', chr(10), 'g')"
+    return f"upper({trim_ws(unix)})"
+
+
 ITEMS_SQL = {
     "tables": """
 SELECT db_id, 'created' AS bucket, 'TABLE' AS object_type, table_name, table_name AS name, CAST(NULL AS VARCHAR) AS attr FROM missing_tab
@@ -170,6 +220,11 @@ SELECT db_id, 'created' AS bucket, 'ROUTINE' AS object_type, CAST(NULL AS VARCHA
 FROM r_all WHERE t_name IS NULL
 UNION ALL SELECT db_id, 'target_only', 'ROUTINE', NULL, t_name, kind FROM r_all WHERE name IS NULL
 UNION ALL SELECT db_id, 'warning', 'ROUTINE', NULL, name, kind FROM r_diff""",
+    "uniques": _named_items("uq_all", "UNIQUE", "upper(array_to_string(cols, '|')) <> upper(array_to_string(t_cols, '|'))", True),
+    "checks": _named_items("ck_all", "CHECK", f"{_check_norm('check_sql')} <> {_check_norm('t_check')}", True),
+    "sequences": _named_items("sq_all", "SEQUENCE", "false"),
+    "views": _named_items("vw_all", "VIEW", f"{_text_norm('select_sql')} <> {_text_norm('t_select')}"),
+    "domains": _named_items("dm_all", "DOMAIN", "differs"),
 }
 
 FK_CMD = f"""'ALTER TABLE ' || {q('table_name')}
@@ -187,6 +242,14 @@ STRIP_AS = f"""CASE WHEN starts_with(upper(rtrim({trim_ws('source')}, ';')), 'AS
   THEN regexp_replace(substr(rtrim({trim_ws('source')}, ';'), 3), '^\\s+', '')
   ELSE rtrim({trim_ws('source')}, ';') END"""
 
+UQ_CMD = f"""'ALTER TABLE ' || {q('table_name')} || ' ADD ' || CASE WHEN regexp_full_match(trim(name), '(?i)INTEG_\\d+') THEN ''
+  ELSE 'CONSTRAINT ' || {q('name')} || ' ' END || 'UNIQUE (' || {ql('cols')} || ');'"""
+CK_CMD = f"""'ALTER TABLE ' || {q('table_name')} || ' ADD ' || CASE WHEN regexp_full_match(trim(name), '(?i)INTEG_\\d+') THEN ''
+  ELSE 'CONSTRAINT ' || {q('name')} || ' ' END || CASE WHEN starts_with(upper({trim_ws('check_sql')}), 'CHECK')
+  THEN {trim_ws('check_sql')} ELSE 'CHECK (' || {trim_ws('check_sql')} || ')' END || ';'"""
+DM_CMD = f"""'CREATE DOMAIN ' || {q('name')} || ' AS ' || sql_type || coalesce(' CHARACTER SET ' || charset, '')
+  || coalesce(' ' || default_sql, '') || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END || coalesce(' ' || check_sql, '') || ';'"""
+
 COMMANDS_SQL = f"""
 SELECT m.db_id, 20 AS class, m.table_name, '' AS seq,
        'CREATE TABLE ' || {q('m.table_name')} || ' (' || chr(10)
@@ -238,7 +301,23 @@ FROM (
                 THEN '-- [WARNING] PSQL object unknown exists in metadata but has no PSQL source; DDL was not generated for this object.'
                 ELSE rtrim({trim_ws('source')}, ';') || ' ^' END END AS sql
   FROM (SELECT * FROM r_all WHERE t_name IS NULL UNION ALL SELECT * FROM r_diff) r
-) rc"""
+) rc
+UNION ALL
+SELECT db_id, 42, table_name, name, {UQ_CMD} FROM s_uq u
+WHERE EXISTS (SELECT 1 FROM missing_tab m WHERE m.db_id = u.db_id AND m.table_name = u.table_name)
+UNION ALL
+SELECT db_id, 42, table_name, name, {UQ_CMD} FROM uq_all WHERE t_name IS NULL
+UNION ALL
+SELECT db_id, 43, table_name, name, {CK_CMD} FROM fx_check k
+WHERE EXISTS (SELECT 1 FROM missing_tab m WHERE m.db_id = k.db_id AND m.table_name = k.table_name)
+UNION ALL
+SELECT db_id, 43, table_name, name, {CK_CMD} FROM ck_all WHERE t_name IS NULL
+UNION ALL
+SELECT db_id, 16, '', name, 'CREATE SEQUENCE ' || {q('name')} || ';' FROM sq_all WHERE t_name IS NULL
+UNION ALL
+SELECT db_id, 25, '', name, 'CREATE VIEW ' || {q('name')} || ' AS ' || {trim_ws('select_sql')} || ';' FROM vw_all WHERE t_name IS NULL
+UNION ALL
+SELECT db_id, 15, '', name, {DM_CMD} FROM dm_all WHERE t_name IS NULL"""
 
 DEPTH_CTE = """
 edges AS (
@@ -284,7 +363,13 @@ register("diff_fks", _items_sql("fks"))(lambda spark, sf: D.diff_fks(*_sides(spa
 register("diff_indexes", _items_sql("indexes"))(lambda spark, sf: D.diff_indexes(*_sides(spark, sf))[0])
 register("diff_routines", _items_sql("routines"))(lambda spark, sf: D.diff_routines(*_sides(spark, sf))[0])
 
-ALL_ITEMS = ("tables", "columns", "pk", "fks", "indexes", "routines")
+register("diff_unique", _items_sql("uniques"))(lambda spark, sf: D.diff_uniques(*_sides(spark, sf))[0])
+register("diff_checks", _items_sql("checks"))(lambda spark, sf: D.diff_checks(*_sides(spark, sf))[0])
+register("diff_sequences", _items_sql("sequences"))(lambda spark, sf: D.diff_sequences(*_sides(spark, sf))[0])
+register("diff_views", _items_sql("views"))(lambda spark, sf: D.diff_views(*_sides(spark, sf))[0])
+register("diff_domains", _items_sql("domains"))(lambda spark, sf: D.diff_domains(*_sides(spark, sf))[0])
+
+ALL_ITEMS = ("tables", "columns", "pk", "fks", "indexes", "routines", "uniques", "checks", "sequences", "views", "domains")
 register("diff_items", _items_sql(*ALL_ITEMS))(lambda spark, sf: _full(spark, sf).items)
 
 register("target_only", f"""WITH {DIFF_CTE}

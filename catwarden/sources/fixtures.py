@@ -43,6 +43,16 @@ FX_VIEWS = (
     ("fx_t_fk", "SELECT db_id, table_name, fk_name, ref_table, support_index, update_rule, CASE WHEN k % 13 = 0 THEN 'SET NULL' ELSE delete_rule END AS delete_rule, k, c FROM fx_fk WHERE k % 7 <> 0 AND k % 29 <> 0"),
     ("fx_t_index", 'SELECT db_id, table_name, index_name, is_unique, CASE WHEN k % 13 = 0 THEN NOT is_desc ELSE is_desc END AS is_desc, k, ln FROM fx_index WHERE ln <> 6 AND k % 29 <> 0'),
     ("fx_t_routine", "SELECT db_id, kind, name, CASE WHEN name LIKE '%7' THEN concat(source, ' ') WHEN name LIKE '%3' THEN concat(source, '/*v2*/') ELSE source END AS source FROM fx_routine WHERE name NOT LIKE '%11'"),
+    ("fx_unique", "SELECT i.db_id, i.table_name, CASE WHEN i.k % 10 = 0 THEN concat('INTEG_', CAST(i.k AS VARCHAR(20))) ELSE concat('UQ_', i.index_name) END AS name, c.ordinal, c.column_name, i.k FROM fx_index i JOIN fx_index_col c ON c.db_id = i.db_id AND c.table_name = i.table_name AND c.index_name = i.index_name WHERE i.is_unique"),
+    ("fx_t_unique", "SELECT db_id, table_name, lower(name) AS name, ordinal, CASE WHEN k % 11 = 0 THEN 'C0X' ELSE lower(column_name) END AS column_name FROM fx_unique WHERE k % 7 <> 0 AND k % 29 <> 0 UNION ALL SELECT db_id, table_name, concat('UT_', name), ordinal, column_name FROM fx_unique WHERE k % 13 = 0 AND k % 29 <> 0"),
+    ("fx_check", "SELECT db_id, table_name, CASE WHEN k % 10 = 1 THEN concat('INTEG_', CAST(k AS VARCHAR(20))) ELSE concat('CK_', table_name) END AS name, CASE WHEN k % 8 = 1 THEN concat('check (C', CAST(c % 12 AS VARCHAR(20)), ' > 0', chr(10), 'AND 1 = 1)') ELSE concat('C', CAST(c % 12 AS VARCHAR(20)), ' IS NOT NULL ') END AS check_sql, k FROM fx_table WHERE k % 4 = 1"),
+    ("fx_t_check", "SELECT db_id, table_name, name, CASE WHEN k % 5 = 0 THEN concat('(', check_sql, ')') WHEN k % 3 = 0 THEN replace(upper(check_sql), chr(10), concat(chr(13), chr(10))) ELSE check_sql END AS check_sql FROM fx_check WHERE k % 7 <> 0 AND k % 29 <> 0 UNION ALL SELECT db_id, table_name, concat('CT_', name), check_sql FROM fx_check WHERE k % 13 = 0 AND k % 29 <> 0"),
+    ("fx_sequence", "SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS db_id, concat('S', CAST(c_custkey AS VARCHAR(20))) AS name, c_custkey AS k FROM customer"),
+    ("fx_t_sequence", "SELECT db_id, lower(name) AS name FROM fx_sequence WHERE k % 5 <> 0 UNION ALL SELECT db_id, concat('ST', CAST(k AS VARCHAR(20))) FROM fx_sequence WHERE k % 9 = 0"),
+    ("fx_domain", "SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS db_id, concat(CASE WHEN c_custkey % 17 = 0 THEN 'RDB$' ELSE 'D' END, CAST(c_custkey AS VARCHAR(20))) AS name, CASE c_custkey % 3 WHEN 0 THEN 'INTEGER' WHEN 1 THEN 'VARCHAR(60)' ELSE 'NUMERIC(15,2)' END AS sql_type, c_custkey % 4 <> 0 AS nullable, CASE WHEN c_custkey % 6 = 0 THEN 'DEFAULT 0' END AS default_sql, CASE WHEN c_custkey % 7 = 0 THEN 'CHECK (VALUE >= 0)' END AS check_sql, CASE WHEN c_custkey % 3 = 1 THEN 'WIN1252' END AS charset, c_custkey AS k FROM customer"),
+    ("fx_t_domain", "SELECT db_id, name, CASE WHEN k % 19 = 0 THEN 'BIGINT' ELSE lower(sql_type) END AS sql_type, CASE WHEN k % 23 = 0 THEN NOT nullable ELSE nullable END AS nullable, CASE WHEN k % 29 = 0 THEN 'DEFAULT 1' ELSE default_sql END AS default_sql, CASE WHEN k % 31 = 0 THEN CAST(NULL AS VARCHAR(20)) ELSE check_sql END AS check_sql, CASE WHEN k % 37 = 0 THEN 'UTF8' ELSE charset END AS charset FROM fx_domain WHERE k % 5 <> 0 UNION ALL SELECT db_id, concat('DT', CAST(k AS VARCHAR(20))), sql_type, nullable, default_sql, check_sql, charset FROM fx_domain WHERE k % 11 = 0"),
+    ("fx_view", "SELECT doc_id % 100 AS db_id, concat('V', CAST(doc_id AS VARCHAR(20))) AS name, concat(' SELECT C1 FROM T1', chr(10), '/* ', replace(coalesce(text, ''), '*/', ''), ' */ ') AS select_sql, doc_id AS k FROM documents"),
+    ("fx_t_view", "SELECT db_id, lower(name) AS name, CASE WHEN k % 7 = 0 THEN replace(select_sql, 'C1', 'C2') WHEN k % 3 = 0 THEN replace(select_sql, chr(10), concat(chr(13), chr(10))) ELSE select_sql END AS select_sql FROM fx_view WHERE k % 5 <> 0 UNION ALL SELECT db_id, concat('VT', CAST(k AS VARCHAR(20))), select_sql FROM fx_view WHERE k % 11 = 0"),
     ("fx_database", "SELECT DISTINCT db_id, CAST(2 + db_id % 4 AS INT) AS major FROM fx_table"),
     ("fx_t_pk", "SELECT db_id, table_name, pk_name, k FROM fx_pk WHERE k % 37 <> 0"),
     ("fx_t_pk_col", "SELECT db_id, table_name, pk_name, ordinal, CASE WHEN c % 5 = 0 THEN 'C0' ELSE column_name END AS column_name, c FROM fx_pk_col p JOIN (SELECT db_id AS d, table_name AS tn, c FROM fx_pk) x ON x.d = p.db_id AND x.tn = p.table_name"),
