@@ -61,12 +61,15 @@ FX_VIEWS = (
     ("fx_rdb_relations", "SELECT db_id, table_name AS relation_name, 0 AS system_flag, CAST(NULL AS VARCHAR(20)) AS view_blr FROM fx_table UNION ALL SELECT db_id, 'RDB$PAGES', 1, CAST(NULL AS VARCHAR(20)) FROM fx_database UNION ALL SELECT db_id, concat('V_', CAST(db_id AS VARCHAR(20))), 0, 'blr' FROM fx_database"),
     ("fx_rdb_relation_fields", "SELECT db_id, table_name AS relation_name, column_name AS field_name, concat('RDB$F', CAST(p AS VARCHAR(20)), '_', CAST(s AS VARCHAR(20)), '_', table_name, '_', CAST(ordinal AS VARCHAR(20))) AS field_source, ordinal - 1 AS field_position, CASE WHEN nullable THEN NULL ELSE 1 END AS null_flag, CASE WHEN p % 5 = 0 THEN NULL ELSE default_sql END AS default_source FROM fx_column"),
     ("fx_rdb_fields", "SELECT db_id, concat('RDB$F', CAST(p AS VARCHAR(20)), '_', CAST(s AS VARCHAR(20)), '_', table_name, '_', CAST(ordinal AS VARCHAR(20))) AS field_name, CASE sql_type WHEN 'INTEGER' THEN 8 WHEN 'VARCHAR(100)' THEN 37 WHEN 'VARCHAR(20000)' THEN 37 WHEN 'NUMERIC(15,2)' THEN 16 WHEN 'NUMERIC(20,2)' THEN 26 WHEN 'BOOLEAN' THEN 23 WHEN 'TYPE_999' THEN 999 WHEN 'NUMERIC(40,2)' THEN 26 ELSE 35 END AS field_type, CASE WHEN sql_type LIKE 'NUMERIC%' THEN 1 ELSE 0 END AS field_sub_type, CASE sql_type WHEN 'VARCHAR(100)' THEN 100 * bytes_per_char WHEN 'VARCHAR(20000)' THEN 20000 * bytes_per_char ELSE 8 END AS field_length, CASE sql_type WHEN 'NUMERIC(15,2)' THEN 15 WHEN 'NUMERIC(20,2)' THEN 20 WHEN 'NUMERIC(40,2)' THEN 40 WHEN 'INTEGER' THEN 0 END AS field_precision, CASE WHEN sql_type LIKE 'NUMERIC%' THEN -2 ELSE 0 END AS field_scale, CASE sql_type WHEN 'VARCHAR(100)' THEN 100 WHEN 'VARCHAR(20000)' THEN 20000 END AS character_length, CASE bytes_per_char WHEN 1 THEN 53 WHEN 2 THEN 10 WHEN 3 THEN 3 ELSE 4 END AS character_set_id, CASE WHEN p % 5 = 0 THEN '= 5' END AS default_source, CASE WHEN computed_sql IS NULL THEN NULL ELSE concat(' ', computed_sql, chr(10)) END AS computed_source, CAST(NULL AS INT) AS null_flag, CAST(NULL AS VARCHAR(20)) AS validation_source, 0 AS system_flag FROM fx_column UNION ALL SELECT db_id, concat('DM_', table_name), CASE WHEN k % 20 = 0 THEN 37 ELSE 16 END, CASE WHEN k % 20 = 0 THEN 0 ELSE 2 END, CASE WHEN k % 20 = 0 THEN 40 ELSE 8 END, CASE WHEN k % 20 = 0 THEN NULL ELSE 18 END, CASE WHEN k % 20 = 0 THEN 0 ELSE -4 END, CASE WHEN k % 20 = 0 THEN 10 END, 4, CASE WHEN k % 30 = 0 THEN 'DEFAULT 0' END, CAST(NULL AS VARCHAR(20)), CASE WHEN k % 40 = 0 THEN 1 END, CASE WHEN k % 50 = 0 THEN concat('CHECK (VALUE >', chr(10), '0)') END, 0 FROM fx_table WHERE k % 10 = 0 UNION ALL SELECT doc_id % 7, concat('RDB$PARAM_', CAST(doc_id AS VARCHAR(20))), CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 37 END, 0, 60, CAST(NULL AS INT), 0, CASE WHEN doc_id % 2 = 1 THEN 15 END, 4, CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)), CAST(NULL AS INT), CAST(NULL AS VARCHAR(20)), 1 FROM documents"),
-    ("fx_rdb_relation_constraints", "SELECT db_id, pk_name AS constraint_name, 'PRIMARY KEY' AS constraint_type, table_name AS relation_name, concat('RDB$PRIMARY', CAST(k AS VARCHAR(20))) AS index_name FROM fx_pk UNION ALL SELECT db_id, fk_name, 'FOREIGN KEY', table_name, concat('RDB$FOREIGN_', fk_name) FROM fx_fk UNION ALL SELECT db_id, concat('UQ_', index_name), 'UNIQUE', table_name, index_name FROM fx_index WHERE is_unique AND k % 3 = 0"),
+    ("fx_rdb_relation_constraints", "SELECT db_id, pk_name AS constraint_name, 'PRIMARY KEY' AS constraint_type, table_name AS relation_name, concat('RDB$PRIMARY', CAST(k AS VARCHAR(20))) AS index_name FROM fx_pk UNION ALL SELECT db_id, fk_name, 'FOREIGN KEY', table_name, concat('RDB$FOREIGN_', fk_name) FROM fx_fk UNION ALL SELECT db_id, concat('UQ_', index_name), 'UNIQUE', table_name, index_name FROM fx_index WHERE is_unique AND k % 3 = 0 UNION ALL SELECT db_id, name, 'CHECK', table_name, CAST(NULL AS VARCHAR(20)) FROM fx_check"),
+    ("fx_rdb_check_constraints", "SELECT db_id, name AS constraint_name, concat('CHECK_', name, '_1') AS trigger_name FROM fx_check UNION ALL SELECT db_id, name, concat('CHECK_', name, '_2') FROM fx_check"),
+    ("fx_rdb_triggers", "SELECT db_id, concat('CHECK_', name, '_1') AS trigger_name, check_sql AS trigger_source FROM fx_check UNION ALL SELECT db_id, concat('CHECK_', name, '_2'), CASE k % 5 WHEN 0 THEN 'BEGIN END' WHEN 1 THEN concat('/* made */ ', check_sql) WHEN 2 THEN CAST(NULL AS VARCHAR(20)) ELSE concat(check_sql, chr(10)) END FROM fx_check"),
     ("fx_rdb_ref_constraints", "SELECT db_id, fk_name AS constraint_name, concat('PK_', ref_table) AS const_name_uq, update_rule, delete_rule FROM fx_fk"),
     ("fx_rdb_index_segments", "SELECT p.db_id, concat('RDB$PRIMARY', CAST(k.k AS VARCHAR(20))) AS index_name, p.column_name AS field_name, p.ordinal - 1 AS field_position FROM fx_pk_col p JOIN fx_pk k ON k.db_id = p.db_id AND k.table_name = p.table_name UNION ALL SELECT db_id, concat('RDB$FOREIGN_', fk_name), column_name, ordinal - 1 FROM fx_fk_col WHERE column_name IS NOT NULL UNION ALL SELECT db_id, index_name, column_name, ordinal - 1 FROM fx_index_col"),
     ("fx_rdb_indices", "SELECT db_id, index_name, table_name AS relation_name, CASE WHEN is_unique THEN 1 ELSE 0 END AS unique_flag, CASE WHEN is_desc THEN 1 ELSE 0 END AS index_type, 0 AS system_flag FROM fx_index UNION ALL SELECT db_id, concat('RDB$PRIMARY', CAST(k AS VARCHAR(20))), table_name, 1, 0, 0 FROM fx_pk UNION ALL SELECT db_id, concat('RDB$FOREIGN_', fk_name), table_name, 0, 0, 0 FROM fx_fk"),
     ("fx_rdb_procedure_parameters", "SELECT doc_id % 7 AS db_id, concat('P', CAST(doc_id AS VARCHAR(20))) AS procedure_name, 'A_IN' AS parameter_name, 0 AS parameter_number, 0 AS parameter_type, CASE WHEN doc_id % 6 = 0 THEN 'NO_SUCH_FIELD' ELSE concat('RDB$PARAM_', CAST(doc_id AS VARCHAR(20))) END AS field_source, CASE WHEN doc_id % 4 = 0 THEN 1 END AS null_flag, CASE WHEN doc_id % 8 = 0 THEN '= 0' END AS default_source FROM documents UNION ALL SELECT doc_id % 7, concat('P', CAST(doc_id AS VARCHAR(20))), 'R_OUT', 0, 1, concat('RDB$PARAM_', CAST(doc_id AS VARCHAR(20))), CAST(NULL AS INT), CAST(NULL AS VARCHAR(20)) FROM documents WHERE doc_id % 3 = 0"),
-    ("fx_rdb_functions", "SELECT doc_id % 7 AS db_id, concat('FN', CAST(doc_id AS VARCHAR(20))) AS function_name, CASE WHEN doc_id % 4 = 0 THEN 'ib_udf' END AS module_name, CASE doc_id % 4 WHEN 0 THEN 'fn_entry' WHEN 1 THEN ' ' END AS entrypoint, CASE WHEN doc_id % 4 = 2 THEN 'UDR' END AS engine_name, CASE WHEN doc_id % 9 = 0 THEN 'PKG' END AS package_name, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS legacy_flag, CASE WHEN doc_id % 9 = 0 THEN doc_id % 2 END AS private_flag, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS system_flag FROM documents"),
+    ("fx_rdb_functions", "SELECT doc_id % 7 AS db_id, concat('FN', CAST(doc_id AS VARCHAR(20))) AS function_name, CASE WHEN doc_id % 4 = 0 THEN 'ib_udf' END AS module_name, CASE doc_id % 4 WHEN 0 THEN 'fn_entry' WHEN 1 THEN ' ' END AS entrypoint, CASE WHEN doc_id % 4 = 2 THEN 'UDR' END AS engine_name, CASE WHEN doc_id % 9 = 0 THEN 'PKG' END AS package_name, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS legacy_flag, CASE WHEN doc_id % 9 = 0 THEN doc_id % 2 END AS private_flag, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS system_flag, CASE WHEN doc_id % 3 = 0 THEN 1 END AS return_argument FROM documents"),
+    ("fx_rdb_function_arguments", "SELECT doc_id % 7 AS db_id, concat('FN', CAST(doc_id AS VARCHAR(20))) AS function_name, 0 AS argument_position, CAST((doc_id + 0) % 7 AS INT) AS mechanism, CASE (doc_id + 0) % 5 WHEN 0 THEN 8 WHEN 1 THEN 37 WHEN 2 THEN 40 WHEN 3 THEN 16 ELSE 27 END AS field_type, CASE WHEN (doc_id + 0) % 5 = 3 THEN 1 END AS field_sub_type, CAST(8 + doc_id % 90 AS INT) AS field_length, CASE WHEN (doc_id + 0) % 10 = 3 THEN 15 END AS field_precision, CASE WHEN (doc_id + 0) % 5 = 3 THEN -2 ELSE 0 END AS field_scale, CASE WHEN doc_id % 4 = 0 THEN CAST(4 + doc_id % 60 AS INT) END AS character_length FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id % 7 AS db_id, concat('FN', CAST(doc_id AS VARCHAR(20))) AS function_name, 1 AS argument_position, CAST((doc_id + 1) % 7 AS INT) AS mechanism, CASE (doc_id + 1) % 5 WHEN 0 THEN 8 WHEN 1 THEN 37 WHEN 2 THEN 40 WHEN 3 THEN 16 ELSE 27 END AS field_type, CASE WHEN (doc_id + 1) % 5 = 3 THEN 1 END AS field_sub_type, CAST(8 + doc_id % 90 AS INT) AS field_length, CASE WHEN (doc_id + 1) % 10 = 3 THEN 15 END AS field_precision, CASE WHEN (doc_id + 1) % 5 = 3 THEN -2 ELSE 0 END AS field_scale, CASE WHEN doc_id % 4 = 0 THEN CAST(4 + doc_id % 60 AS INT) END AS character_length FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id % 7 AS db_id, concat('FN', CAST(doc_id AS VARCHAR(20))) AS function_name, 2 AS argument_position, CAST((doc_id + 2) % 7 AS INT) AS mechanism, CASE (doc_id + 2) % 5 WHEN 0 THEN 8 WHEN 1 THEN 37 WHEN 2 THEN 40 WHEN 3 THEN 16 ELSE 27 END AS field_type, CASE WHEN (doc_id + 2) % 5 = 3 THEN 1 END AS field_sub_type, CAST(8 + doc_id % 90 AS INT) AS field_length, CASE WHEN (doc_id + 2) % 10 = 3 THEN 15 END AS field_precision, CASE WHEN (doc_id + 2) % 5 = 3 THEN -2 ELSE 0 END AS field_scale, CASE WHEN doc_id % 4 = 0 THEN CAST(4 + doc_id % 60 AS INT) END AS character_length FROM documents WHERE doc_id % 5 = 1"),
     ("fx_proc", "SELECT doc_id % 7 AS db_id, 'PROCEDURE' AS kind, concat('P', CAST(doc_id AS VARCHAR(20))) AS name, doc_id % 10 = 9 AS ignore_body, CASE doc_id % 4 WHEN 0 THEN concat('AS BEGIN EXECUTE PROCEDURE P', CAST(doc_id - 7 AS VARCHAR(20)), '(1); END') WHEN 1 THEN concat('AS BEGIN SELECT X FROM \"P', CAST(doc_id - 14 AS VARCHAR(20)), '\"(1) JOIN p', CAST(doc_id - 7 AS VARCHAR(20)), ' ON 1 = 1; END') WHEN 2 THEN concat('AS BEGIN EXECUTE PROCEDURE \"P', CAST(doc_id + 7 AS VARCHAR(20)), '\"; END') ELSE 'AS BEGIN SUSPEND; END' END AS source FROM documents"),
 )
 
