@@ -151,14 +151,29 @@ latest AS (SELECT c_custkey, arg_max(c_name, stmt_no) AS c_name, arg_max(c_acctb
 SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM latest)
 UNION ALL SELECT * FROM latest""")
 def q_apply_upsert(spark, sf):
+    """Replay of the finished orders only, as the query's SQL has it; all orders: ``apply_upsert_all``."""
+    return _replay_orders(spark, sf, _t(spark, sf, "orders").where(F.col("o_orderstatus") == "F"))
+
+
+def _replay_orders(spark, sf, o):
+    """Each order is one upsert of its customer; the last by o_orderkey wins."""
     target = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    o = _t(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
     changes = o.select(F.col("o_custkey").alias("c_custkey"),
                        F.concat(F.lit("Customer#"), F.col("o_orderkey").cast("string")).alias("c_name"),
                        F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("stmt_no"))
     return X.apply_upsert(target, changes, ["c_custkey"], "stmt_no")
 
 
+@register("apply_upsert_all", """
+WITH latest AS (SELECT o_custkey AS c_custkey, 'Customer#' || CAST(o_orderkey AS VARCHAR) AS c_name, o_totalprice AS c_acctbal
+                FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT c_custkey, c_name, c_acctbal FROM customer c WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.c_custkey = c.c_custkey)
+UNION ALL SELECT * FROM latest""")
+def q_apply_upsert_all(spark, sf):
+    """Replay of every order, whatever its status."""
+    return _replay_orders(spark, sf, _t(spark, sf, "orders"))
+
+
 # ---------------------------------------------------------------- S08 / S09 / W07 script sink
 
 def _order_script(spark, sf):
