@@ -9,7 +9,8 @@ original text.
 
 The patterns are bounded: test items are gathered block by block, each block at
 most ``block_bytes`` of item text (one block for any ordinary benchmark), and a
-benchmark of several blocks is scanned once for each and its hits are united.
+benchmark of several blocks is scanned once for each and its hits are united
+word by word, so the number of blocks changes nothing in the results.
 """
 
 from __future__ import annotations
@@ -48,24 +49,24 @@ def item_windows(text: str | None, window: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i:i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def build(items: list[tuple[str, str | None]], window: int = WINDOW):
-    """Automaton over the windows; a pattern's value: (its words, ids of its items)."""
+def build(items: list[tuple[str | None, str | None]], window: int = WINDOW):
+    """Automaton over the windows; a pattern's value: (its words, ids of its items, None among them)."""
     import ahocorasick
 
-    owners: dict[bytes, set[str]] = {}
+    owners: dict[bytes, set[str | None]] = {}
     for item, text in items:
         for w in item_windows(text, window):
             owners.setdefault(w, set()).add(item)
     a = ahocorasick.Automaton()
     for w, ids in owners.items():
         # latin-1 gives each byte a character, so offsets are byte offsets
-        a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
+        a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
     if owners:
         a.make_automaton()
     return a if owners else None
 
 
-def scan(automaton, text: str | None) -> tuple[int, np.ndarray, set[str]]:
+def scan(automaton, text: str | None) -> tuple[int, np.ndarray, set[str | None]]:
     """Number of words, the indexes of hit words, items with an occurring window."""
     words = normal_words(text)
     none = np.zeros(0, dtype=np.int64)
@@ -84,21 +85,26 @@ def scan(automaton, text: str | None) -> tuple[int, np.ndarray, set[str]]:
     return len(words), np.flatnonzero(np.cumsum(mark)[:-1] > 0), {i for _, v in found for i in v[1]}
 
 
-def word_spans(text: str, wanted: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of hit words as (start, end) in code points of the original text."""
+def word_points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word, in code points of the original text."""
     raw = text.encode()
     byte = np.frombuffer(raw, dtype=np.uint8)
     word = np.frombuffer(raw.translate(_TABLE), dtype=np.uint8) != 32
     edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
     point = np.concatenate(([0], np.cumsum((byte & 0xC0) != 0x80)))  # code points before each byte
-    starts, ends = point[np.flatnonzero(edge == 1)], point[np.flatnonzero(edge == -1)]
+    return point[np.flatnonzero(edge == 1)], point[np.flatnonzero(edge == -1)]
+
+
+def word_spans(text: str, wanted: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of hit words as (start, end) in code points of the original text."""
+    starts, ends = word_points(text)
     runs = np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1)
     return [(int(starts[r[0]]), int(ends[r[-1]])) for r in runs if len(r)]
 
 
 def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
     """The items, each block at most about ``block_bytes`` of text on the driver."""
-    it = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    it = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     total = it.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-int(total) * 2 // block_bytes)) if total > block_bytes else 1
     for k in range(n):
@@ -114,7 +120,7 @@ def _scanner(shared, key: str, window: int):
             for t in texts:
                 n, where, ids = scan(automaton, t)
                 spans = word_spans(t, where) if len(where) else []
-                rows.append((n, len(where), len(ids), sorted(ids), [{"start": a, "end": b} for a, b in spans]))
+                rows.append((n, len(where), len(ids), sorted(ids - {None}), [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items", "spans"])
 
     return F.pandas_udf(run, HIT_SCHEMA)
@@ -125,8 +131,9 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     """``docs`` with a struct column ``out_col``: n_words, n_hit, n_items, items
     (ids as strings, sorted), spans of the original text.
 
-    Null and empty texts have no words and no hits; null items and items
-    without words give no pattern; repeated items count once by id. Other
+    Null and empty texts have no words and no hits; items without words give
+    no pattern; repeated items count once by id. Items without an id hit like
+    all others and count as one item in n_items, but add no id to items. Other
     columns of ``docs`` pass through; a column ``out_col`` of its own is replaced.
     """
     spark = docs.sparkSession
@@ -134,7 +141,7 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     parts = []
     for block in _blocks(spark, items, item_id, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(block)
-        key = hashlib.sha256(repr((window, sorted(block))).encode()).hexdigest()
+        key = hashlib.sha256(repr((window, sorted(block, key=repr))).encode()).hexdigest()
 
         parts.append(_scanner(shared, key, window))
     if len(parts) == 1:
@@ -146,28 +153,28 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
 
 def _united(out: DataFrame, names: list[str], text_col: str, out_col: str) -> DataFrame:
-    """Hits of several blocks as one: items united, overlapping spans merged and their words counted."""
+    """Hits of several blocks as one: ids united, hit words united and then joined to spans."""
     cols = [F.col(name) for name in names]
 
     @F.pandas_udf(HIT_SCHEMA)
-    def unite(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+    def unite(texts: pd.Series, spans: pd.Series, items: pd.Series, unnamed: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, sp, it in zip(texts, spans, items):
-            words = len(normal_words(t))
-            merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in sp):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([s[0], s[1]])
-            hit = sum(len(normal_words(t[a:b])) for a, b in merged)
-            ids = sorted(set(it))
-            rows.append((words, hit, len(ids), ids, [{"start": a, "end": b} for a, b in merged]))
+        for t, sp, it, more in zip(texts, spans, items, unnamed):
+            ids, wanted = sorted(set(it)), np.zeros(0, dtype=np.int64)
+            if len(sp):
+                starts, ends = word_points(t)
+                mark = np.zeros(len(starts) + 1, dtype=np.int64)
+                np.add.at(mark, np.searchsorted(starts, [x["start"] for x in sp]), 1)
+                np.add.at(mark, np.searchsorted(ends, [x["end"] for x in sp]) + 1, -1)
+                wanted = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+            merged = word_spans(t, wanted) if len(wanted) else []
+            rows.append((len(normal_words(t)), len(wanted), len(ids) + int(more), ids, [{"start": a, "end": b} for a, b in merged]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items", "spans"])
 
     spans = F.concat(*[c["spans"] for c in cols])
     items = F.concat(*[c["items"] for c in cols])
-    return out.withColumn(out_col, unite(F.col(text_col), spans, items)).drop(*[n for n in names if n != out_col])
+    unnamed = F.greatest(*[c["n_items"] - F.size(c["items"]) for c in cols])  # 1 if an item without an id hits
+    return out.withColumn(out_col, unite(F.col(text_col), spans, items, unnamed)).drop(*[n for n in names if n != out_col])
 
 
 def contaminated(hit=None):
