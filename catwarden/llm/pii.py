@@ -5,9 +5,8 @@ international phone numbers, leftmost and non-overlapping for each kind. The
 conditional random field then adds what patterns miss (keys and passwords,
 numbers written in other ways): tokens get word-shape features, the weights are
 trained by gradient steps on the small labelled table below, and sequences are
-decoded by Viterbi in numpy batches. A span of the field counts only where it
-holds a digit or ``@`` and touches no base span, so lines that hold neither
-need no decoding.
+decoded by Viterbi in numpy batches. Every line is decoded, and every span of
+the field counts that touches no base span.
 """
 
 from __future__ import annotations
@@ -133,18 +132,23 @@ LABELS = ("O", *(f"{p}-{k}" for k in ALL_KINDS for p in "BI"))
 
 def shape(tok: str) -> str:
     """Character classes, runs collapsed: A, a, 9, others as they are."""
+    if tok.isalpha() and tok.islower():
+        return "a"
     out = []
-    for c in tok[:200]:
+    for c in tok:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 def _own(tok: str) -> list[str]:
     body = tok.strip(".,;:!?\"'()[]")
     digits = sum(c.isdigit() for c in tok)
-    f = [f"s:{shape(body)}", f"d:{min(digits, 9) if digits < 10 else 14 if digits < 14 else 16 if digits < 17 else 20}"]
+    whole = shape(body)
+    f = [f"s:{whole[:12]}", f"t:{whole[12:]}", f"d:{min(digits, 9) if digits < 10 else 14 if digits < 14 else 16 if digits < 17 else 20}"]
+    if len(whole) <= 12:
+        del f[1]
     if digits and any(c.isalpha() for c in tok):
         f.append("mixed")
         if len(body) >= 16 and not any(c in "@/." for c in body):
@@ -181,25 +185,43 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, trans: np.ndarray):
         self.index, self.emit, self.trans = index, emit, trans
-        self.memo: dict = {}
+        self.known = set(index) | {x[1:] for x in index if x[0] in "<>"}
+        # feature sets by number (0: before the first token, 1: behind the last), tokens by set, emissions by three sets
+        self.sets: dict[tuple[str, ...], int] = {("start",): 0, ("end",): 1}
+        self.features: list[tuple[str, ...]] = [("start",), ("end",)]
+        self.kinds: dict[str, int] = {}
+        self.memo: dict[tuple[int, int, int], int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def kind(self, tok: str) -> int:
+        """The number of the token's own features that have weights."""
+        got = self.kinds.get(tok)
+        if got is None:
+            own = tuple(x for x in _own(tok) if x in self.known)
+            got = self.sets.setdefault(own, len(self.features))
+            if got == len(self.features):
+                self.features.append(own)
+            if len(tok) <= 64:
+                if len(self.kinds) >= 200_000:
+                    self.kinds.clear()
+                self.kinds[tok] = got
+        return got
 
     def scores(self, toks: list[str]) -> np.ndarray:
-        own = [_own(t) for t in toks]
-        keys = [tuple(f) for f in own]
-        rows = []
-        for i in range(len(toks)):
-            key = (keys[i - 1] if i else None, keys[i], keys[i + 1] if i + 1 < len(toks) else None)
-            got = self.memo.get(key)
+        if len(self.rows) >= 100_000:
+            self.memo.clear()
+            self.rows.clear()
+        own = [0, *map(self.kind, toks), 1]
+        memo, at = self.memo, []
+        for key in zip(own, own[1:], own[2:]):
+            got = memo.get(key)
             if got is None:
-                before = own[i - 1] if i else ["start"]
-                after = own[i + 1] if i + 1 < len(toks) else ["end"]
-                ids = [self.index[x] for x in ("bias", *own[i], *("<" + x for x in before), *(">" + x for x in after)) if x in self.index]
-                got = self.emit[ids].sum(axis=0)
-                if len(self.memo) >= 100_000:
-                    self.memo.clear()
-                self.memo[key] = got
-            rows.append(got)
-        return np.array(rows)
+                before, mid, after = (self.features[x] for x in key)
+                ids = [self.index[x] for x in ("bias", *mid, *("<" + x for x in before), *(">" + x for x in after)) if x in self.index]
+                got = memo[key] = len(self.rows)
+                self.rows.append(self.emit[ids].sum(axis=0))
+            at.append(got)
+        return np.array([self.rows[x] for x in at])
 
     def decode(self, sequences: list[list[str]], batch: int = 256) -> list[np.ndarray]:
         """Best labels of each token sequence: Viterbi over padded batches of like lengths."""
@@ -317,16 +339,16 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 def field_spans(field: Field, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-    """The field's spans of each text: lines that hold a digit or @ are
-    decoded, all lines of a batch of texts together."""
+    """The field's spans of each text: all lines of a batch of texts are
+    decoded together."""
     sequences, where = [], []
     for i, t in enumerate(texts):
-        if not t or not _TRIGGER.search(t):
+        if not t:
             continue
         at = 0
         for line in t.split("\n"):
-            if _TRIGGER.search(line):
-                spots = [(m.start() + at, m.end() + at) for m in _TOKEN.finditer(line)]
+            spots = [(m.start() + at, m.end() + at) for m in _TOKEN.finditer(line)]
+            if spots:
                 sequences.append([t[a:b] for a, b in spots])
                 where.append((i, spots))
             at += len(line) + 1
@@ -342,7 +364,7 @@ def field_spans(field: Field, texts: list[str | None]) -> list[list[tuple[int, i
             while end < n and LABELS[labels[end]] == f"I-{name[2:]}":
                 end += 1
             a, b = _trim(texts[i], spots[t][0], spots[end - 1][1])
-            if _TRIGGER.search(texts[i], a, b):
+            if a < b:
                 out[i].append((a, b, name[2:]))
             t = end
     return out

@@ -2,7 +2,7 @@
 
 import pytest
 
-from catwarden.llm import decontamination, queries
+from catwarden.llm import decontamination, pii, quality, queries
 from tests.oracle_harness import compare, duck
 
 SCHEMA = "doc_id long, text string"
@@ -43,3 +43,20 @@ def test_spans_of_several_blocks_join_by_words(spark):
     one = {r.doc_id: r.hit for r in decontamination.hits(d, it).collect()}
     assert len(one[1].spans) == 2 and one[1].n_hit == 54
     assert one == {r.doc_id: r.hit for r in decontamination.hits(d, it, block_bytes=40).collect()}
+
+
+def test_lines_without_digits_are_decoded(spark):
+    rows = ("the password hunter|secret was leaked", "bob|email [at]|email host|email dot|email com|email today",
+            "a plain word is here", "no other words are here", "we met and the page was read")
+    text = "plain words\nmy password letters was leaked\nann [at] site dot org today"
+    want = [(text.index("letters"), text.index("letters") + 7, "secret"), (text.index("ann"), text.index(" today"), "email")]
+    assert pii.field_spans(pii.train(rows), [None, "", text])[2] == want
+    got = pii.find(spark.createDataFrame([(1, text), (2, None)], SCHEMA), rows=rows).orderBy("doc_id").collect()
+    assert got[0].pii.spans == pii.spans_text([(a, b, k) for a, b, k in want]) and got[0].pii.n_added == 2
+    assert got[1].pii.spans == ""
+
+
+def test_shapes_of_whole_tokens():
+    assert pii.shape("a" * 300 + "9") == "a9" and pii.shape("a9" * 10) == "a9" * 10
+    assert "t:" + "a9" * 4 in pii._own("a9" * 10)
+    assert quality._token("x" * 100 + "1")[1] == quality._token("x1")[1] != quality._token("x")[1]
