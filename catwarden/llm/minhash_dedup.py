@@ -346,8 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The documents that stay, one of each component, with all columns. A row
     repeated under the id that stays is kept once for each time it is given."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs, id_col, text_col, size).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

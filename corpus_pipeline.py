@@ -14,6 +14,8 @@ from catwarden.llm import decontamination, line_dedup, minhash_dedup, sentencepi
 from catwarden.llm.common import unused, written
 from catwarden.llm.queries import prepare, table
 
+SHINGLE_WORDS = 4  # of near_dedup: as in op5_near_dedup
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go; the model is trained on the labelled documents of the corpus."""
@@ -34,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     prepare(spark)
-    return minhash_dedup.keep_one(docs)
+    return minhash_dedup.keep_one(docs, size=SHINGLE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from catwarden.llm import decontamination, pii, quality, queries
+import corpus_pipeline
+from catwarden.llm import decontamination, minhash_dedup, pii, quality, queries
 from tests.oracle_harness import compare, duck
 
 SCHEMA = "doc_id long, text string"
@@ -60,3 +61,15 @@ def test_shapes_of_whole_tokens():
     assert pii.shape("a" * 300 + "9") == "a9" and pii.shape("a9" * 10) == "a9" * 10
     assert "t:" + "a9" * 4 in pii._own("a9" * 10)
     assert quality._token("x" * 100 + "1")[1] == quality._token("x1")[1] != quality._token("x")[1]
+
+
+def test_near_dedup_stage_names_its_shingle_size(spark, monkeypatch):
+    words = [f"w{i}" for i in range(41)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:20], "new", *words[21:]]))], SCHEMA)
+    # 34 of 42 shingles of four words are common, 32 of 42 of five
+    assert minhash_dedup.keep_one(docs, size=4).count() == 1
+    assert minhash_dedup.keep_one(docs, size=5).count() == 2
+    asked = []
+    monkeypatch.setattr(minhash_dedup, "keep_one", lambda d, **named: asked.append(named) or d)
+    corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert asked == [{"size": 4}]
