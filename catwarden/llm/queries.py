@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import (decontamination, exact_dedup, line_dedup, minhash_dedup, pii, quality, sentencepiece_codec,
-               token_counts, toxicity, url_filters)
-from .common import hex_sha256, small_batches
+from . import (decontamination, exact_dedup, language_id, line_dedup, minhash_dedup, pii, quality, sentencepiece_codec,
+               token_alignment, token_counts, toxicity, url_filters, vector_codes)
+from .common import hex_sha256, is_held_out, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,56 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id""")
 def op10_line_dedup(spark, sf_dir):
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "line_count", "lines_deleted", hex_sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
+@query("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _codes_sql() -> str:
+    """The rounds of op12 as plain SQL: every part against every entry."""
+    near = """SELECT v.vec_id, v.r, v.label, v.p, v.x, b.e, b.c, v.d,
+    list_sum(list_transform(range(1, len(v.x) + 1), lambda j: (v.x[j] - b.c[j]) * (v.x[j] - b.c[j]))) AS dist FROM parts v JOIN {books} b ON b.p = v.p"""
+    steps = []
+    for k in range(vector_codes.ROUNDS):
+        steps.append(f"""n{k} AS MATERIALIZED (SELECT p, x, e FROM ({near.format(books=f"b{k}")}) QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY dist, e) = 1),
+s{k} AS (SELECT p, e, list(CAST(floor_div AS BIGINT) ORDER BY j) AS c FROM (
+  SELECT p, e, j, CAST((sum(x[j]) - ((sum(x[j]) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT) AS floor_div
+  FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS j FROM n{k}) GROUP BY p, e, j) GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM b{k} b LEFT JOIN s{k} s ON s.p = b.p AND s.e = b.e)""")
+    last = f"b{vector_codes.ROUNDS}"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, r, p, len(v) AS d, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 16),
+{", ".join(steps)},
+done AS (SELECT * FROM ({near.format(books=last)}) QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY dist, e) = 1),
+coded AS (SELECT r, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM done GROUP BY r, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256
+FROM coded"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors)
+    if books is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    coded = vector_codes.with_group_error(vector_codes.encode(vectors, books).drop("embedding"))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c.cast("bigint"))), 2, "0")))
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    found = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("aligned.n_a") > 0, hex_sha256(F.col("aligned.groups"))).otherwise("")
+    slim = found.select("doc_id", digest.alias("groups_sha256"), F.col("aligned").dropFields("groups").alias("aligned"))
+    return token_alignment.with_link_counts(slim).select(
+        "doc_id", "aligned.n_a", "aligned.n_b", "aligned.n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
