@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import kept_in_worker, unused
+
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 
@@ -186,80 +188,125 @@ class Field:
     def __init__(self, index: dict[str, int], emit: np.ndarray, trans: np.ndarray):
         self.index, self.emit, self.trans = index, emit, trans
         self.known = set(index) | {x[1:] for x in index if x[0] in "<>"}
-        # feature sets by number (0: before the first token, 1: behind the last), tokens by set, emissions by three sets
+        # feature sets by number (0: before the first token, 1: behind the last), tokens by set
         self.sets: dict[tuple[str, ...], int] = {("start",): 0, ("end",): 1}
         self.features: list[tuple[str, ...]] = [("start",), ("end",)]
         self.kinds: dict[str, int] = {}
-        self.memo: dict[tuple[int, int, int], int] = {}
-        self.rows: list[np.ndarray] = []
+        # emissions by three sets: a row of ``table`` each, and whether the row proves O (see plain)
+        self.memo: dict[int, int] = {}
+        self.table = np.zeros((0, len(LABELS)))
+        self.safe = np.zeros(0, dtype=bool)
+        into, out = trans[0, 1:].max() - trans[0, 0], trans[1:, 0].max() - trans[0, 0]
+        self.most = max(max(into, 0.0) + max(out, 0.0), trans[1:, 1:].max() - trans[0, 0])
 
     def kind(self, tok: str) -> int:
         """The number of the token's own features that have weights."""
-        got = self.kinds.get(tok)
-        if got is None:
-            own = tuple(x for x in _own(tok) if x in self.known)
-            got = self.sets.setdefault(own, len(self.features))
-            if got == len(self.features):
-                self.features.append(own)
-            if len(tok) <= 64:
-                if len(self.kinds) >= 200_000:
-                    self.kinds.clear()
-                self.kinds[tok] = got
+        own = tuple(x for x in _own(tok) if x in self.known)
+        got = self.sets.setdefault(own, len(self.features))
+        if got == len(self.features):
+            self.features.append(own)
+        if len(tok) <= 64:
+            self.kinds[tok] = got
         return got
 
-    def scores(self, toks: list[str]) -> np.ndarray:
-        if len(self.rows) >= 100_000:
+    def rows(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``table`` of every token, start of each sequence) of
+        non-empty sequences. What a token emits hangs on its own feature set
+        and those of its neighbours, so equal triples share a row."""
+        if len(self.kinds) > 200_000:
+            self.kinds.clear()
+        if len(self.memo) > 200_000 or len(self.features) >= 1 << 20:
             self.memo.clear()
-            self.rows.clear()
-        own = [0, *map(self.kind, toks), 1]
-        memo, at = self.memo, []
-        for key in zip(own, own[1:], own[2:]):
-            got = memo.get(key)
-            if got is None:
-                before, mid, after = (self.features[x] for x in key)
+            self.table, self.safe = self.table[:0], self.safe[:0]
+        own: list[int] = []
+        for toks in sequences:
+            got = list(map(self.kinds.get, toks))
+            if None in got:
+                got = [self.kind(t) if k is None else k for t, k in zip(toks, got)]
+            own.append(0)
+            own += got
+            own.append(1)
+        flat = np.array(own, dtype=np.int64)
+        keys, where = np.unique((flat[:-2] << 42) | (flat[1:-1] << 21) | flat[2:], return_inverse=True)
+        size = np.array([len(x) for x in sequences])
+        starts = np.cumsum(size) - size
+        # places of the marks between two sequences are left out below
+        inner = np.ones(len(where), dtype=bool)
+        ends = np.cumsum(size + 2)[:-1] - 2
+        inner[ends] = inner[ends + 1] = False
+        used = np.zeros(len(keys), dtype=bool)
+        used[where[inner]] = True
+        at = np.zeros(len(keys), dtype=np.int64)
+        new = []
+        for k in np.flatnonzero(used).tolist():
+            key = int(keys[k])
+            row = self.memo.get(key)
+            if row is None:
+                row = self.memo[key] = len(self.table) + len(new)
+                before, mid, after = (self.features[x] for x in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF))
                 ids = [self.index[x] for x in ("bias", *mid, *("<" + x for x in before), *(">" + x for x in after)) if x in self.index]
-                got = memo[key] = len(self.rows)
-                self.rows.append(self.emit[ids].sum(axis=0))
-            at.append(got)
-        return np.array([self.rows[x] for x in at])
-
-    def decode(self, sequences: list[list[str]], batch: int = 256) -> list[np.ndarray]:
-        """Best labels of each token sequence: Viterbi over padded batches of like lengths."""
+                new.append(self.emit[ids].sum(axis=0))
+            at[k] = row
+        if new:
+            self.table = np.concatenate([self.table, new])
+            self.safe = self.table[:, 0] - self.table[:, 1:].max(axis=1) > self.most + 1e-9
+        return at[where[inner]], starts
+
+    def plain(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sequences whose best labels are proven to be all O.
+
+        Take any path with a stretch of L labels other than O, and set the
+        stretch to O. Transitions lose at most what leads in and out of it and
+        L - 1 steps inside, all against O-O, so at most L * ``most``; each of
+        its tokens gains its emission of O less its best other one. If that is
+        more than ``most`` for every token, the all-O path is the only best."""
+        return np.logical_and.reduceat(self.safe[rows], starts) if len(starts) else np.zeros(0, dtype=bool)
+
+    def decode(self, sequences: list[list[str]], batch: int = 256) -> list[np.ndarray | None]:
+        """Best labels of each token sequence; None for all O. Viterbi runs over
+        padded batches of like lengths for those that are not proven plain."""
         out: list = [None] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        some = [i for i, x in enumerate(sequences) if x]
+        if not some:
+            return out
+        rows, starts = self.rows([sequences[i] for i in some])
+        odd = np.flatnonzero(~self.plain(rows, starts))
+        size_of = {i: len(sequences[some[i]]) for i in odd.tolist()}
+        order = sorted(size_of, key=size_of.__getitem__)
         at = 0
         while at < len(order):
             # long sequences go in smaller batches, so a batch has a bounded size
-            size = max(1, min(batch, 200_000 // max(1, len(sequences[order[min(at + batch, len(order)) - 1]]))))
-            part = order[at:at + size]
-            at += size
-            if not sequences[part[-1]]:
-                for i in part:
-                    out[i] = np.zeros(0, dtype=np.int64)
-                continue
-            n = max(len(sequences[i]) for i in part)
-            k = len(LABELS)
-            e = np.zeros((len(part), n, k))
-            size_of = np.array([len(sequences[i]) for i in part])
-            for j, i in enumerate(part):
-                if sequences[i]:
-                    e[j, :len(sequences[i])] = self.scores(sequences[i])
-            best, back = e[:, 0] + _START, np.zeros((len(part), n, k), dtype=np.int8)
-            for t in range(1, n):
-                through = best[:, :, None] + self.trans[None]
-                back[:, t] = through.argmax(axis=1)
-                step = through.max(axis=1) + e[:, t]
-                live = (t < size_of)[:, None]
-                best = np.where(live, step, best)
-                back[:, t] = np.where(live, back[:, t], np.arange(k))
-            labels = np.zeros((len(part), n), dtype=np.int64)
-            labels[:, n - 1] = best.argmax(axis=1)
-            for t in range(n - 1, 0, -1):
-                labels[:, t - 1] = back[np.arange(len(part)), t, labels[:, t]]
-            for j, i in enumerate(part):
-                out[i] = labels[j, :size_of[j]]
+            take = max(1, min(batch, 200_000 // size_of[order[min(at + batch, len(order)) - 1]]))
+            part = order[at:at + take]
+            at += take
+            size = np.array([size_of[i] for i in part])
+            n = int(size[-1])
+            place = np.minimum(starts[part][:, None] + np.arange(n), len(rows) - 1)
+            for i, labels in zip(part, self._viterbi(self.table[rows[place]], size)):
+                out[some[i]] = labels if labels.any() else None
         return out
 
+    def _viterbi(self, e: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Best labels of sequences of ascending sizes: those still alive at a
+        step are the last ones."""
+        n = e.shape[1]
+        from_label = np.ascontiguousarray(self.trans.T)  # [to, from]
+        best, back = e[:, 0] + _START, np.zeros((len(size), n, e.shape[2]), dtype=np.int8)
+        live = np.searchsorted(size, np.arange(n), side="right")
+        for t in range(1, n):
+            rest = slice(live[t], None)
+            through = best[rest, None, :] + from_label
+            back[rest, t] = came = through.argmax(axis=2)
+            best[rest] = np.take_along_axis(through, came[:, :, None], axis=2)[:, :, 0] + e[rest, t]
+        labels = np.zeros((len(size), n), dtype=np.int64)
+        now, each = best.argmax(axis=1), np.arange(len(size))
+        for t in range(n - 1, -1, -1):
+            rest = slice(live[t], None)
+            labels[rest, t] = now[rest]
+            if t:
+                now[rest] = back[each[rest], t, now[rest]]
+        return [labels[j, :k] for j, k in enumerate(size)]
+
 
 # an I label may only follow B or I of its kind
 _FORBID = np.zeros((len(LABELS), len(LABELS)))
@@ -340,20 +387,21 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 def field_spans(field: Field, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """The field's spans of each text: all lines of a batch of texts are
-    decoded together."""
+    decoded together, and tokens are placed in the lines that have spans."""
     sequences, where = [], []
     for i, t in enumerate(texts):
-        if not t:
-            continue
         at = 0
-        for line in t.split("\n"):
-            spots = [(m.start() + at, m.end() + at) for m in _TOKEN.finditer(line)]
-            if spots:
-                sequences.append([t[a:b] for a, b in spots])
-                where.append((i, spots))
+        for line in (t or "").split("\n"):
+            toks = line.split()
+            if toks:
+                sequences.append(toks)
+                where.append((i, at, len(line)))
             at += len(line) + 1
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, spots), labels in zip(where, field.decode(sequences)):
+    for (i, at, size), labels in zip(where, field.decode(sequences)):
+        if labels is None:
+            continue
+        spots = [m.span() for m in _TOKEN.finditer(texts[i], at, at + size)]
         t, n = 0, len(spots)
         while t < n:
             name = LABELS[labels[t]]
@@ -388,9 +436,6 @@ SCHEMA = T.StructType(
     [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
     + [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
 
-_fields: dict = {}
-
-
 def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", rows=LABELLED) -> DataFrame:
     """``df`` with a struct: counts of the base kinds, base and all spans as
     text (kind:start:end, code points), n_added by the field.
@@ -403,10 +448,7 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "pii", rows=LABEL
     key = hashlib.sha256(repr(rows).encode()).hexdigest()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _fields:
-            _fields.clear()
-            _fields[key] = Field(*shared.value)
-        f = _fields[key]
+        f = kept_in_worker(key, lambda: Field(*shared.value))
         for texts in batches:
             texts = texts.tolist()
             out = []
@@ -437,6 +479,8 @@ def masked(text: str | None, spans: str) -> str | None:
 
 
 def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with all spans of ``text_col`` replaced by their kinds."""
+    """``df`` with all spans of ``text_col`` replaced by their kinds. Null and
+    empty texts stay; all other columns pass through, whatever their names."""
     run = F.pandas_udf(lambda t, s: pd.Series([masked(x, y) for x, y in zip(t, s)], dtype=object), "string")
-    return find(df, text_col, "_pii").withColumn(text_col, run(F.col(text_col), F.col("_pii.spans"))).drop("_pii")
+    made = unused("pii", df.columns)
+    return find(df, text_col, made).withColumn(text_col, run(F.col(text_col), F.col(f"{made}.spans"))).drop(made)
