@@ -1,5 +1,12 @@
 """Line dedup: repeated runs of lines, found by distributed prefix doubling.
 
+The doubling names classes (as Karp, Miller and Rosenberg do) and is not
+followed by a sort of all suffixes: what line dedup asks of the suffix array are
+its intervals of common prefixes, and two suffixes are in the same interval of
+depth l exactly if the names of their first l lines are equal. So intervals are
+the same as those of the sorted array with its LCP values, at one aggregate a
+step and without a total order over the corpus.
+
 The corpus is one long sequence of line IDs, document after document by doc_id.
 For the suffix that starts at a line, ``rank_h`` names the class of its first h
 lines: the position of the class's first member in the corpus. Ranks double as
@@ -62,18 +69,20 @@ def _shortest_runs(ranked: DataFrame, min_words: int) -> DataFrame:
     that many words that start or end at the line, as (i, n)."""
     order = Window.partitionBy(*DOC).orderBy("p")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
+    # frames that grow: one that shrinks from the end is evaluated anew for each line
+    backwards = Window.partitionBy(*DOC).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     lone = F.when(F.col("rank").isNull(), F.col("p"))  # a line that occurs once
     # a document row given twice is one document here
     once = (ranked.withColumn("k", F.row_number().over(Window.partitionBy(*DOC, "p").orderBy("line_id"))).where("k = 1")
             .withColumn("cum", F.sum("words").over(running))
             .withColumn("lone_before", F.max(lone).over(running))
-            .withColumn("lone_after", F.min(lone).over(order.rowsBetween(0, Window.unboundedFollowing))))
-    by_words = Window.partitionBy(*DOC).orderBy("cum")
+            .withColumn("lone_after", F.min(lone).over(backwards)))
+    by_words, from_end = (Window.partitionBy(*DOC).orderBy(c) for c in (F.col("cum"), F.col("cum").desc()))
     run = once.select(
         *DOC, "p", "rank", "cum", "words", "lone_before", "lone_after",
         # the first line that ends min_words words or more after this one ends: with it ends the
         # shortest run that starts at the next line
-        F.min("p").over(by_words.rangeBetween(min_words, Window.unboundedFollowing)).alias("next_end"),
+        F.min("p").over(from_end.rangeBetween(Window.unboundedPreceding, -min_words)).alias("next_end"),
         # the last line that ends min_words words or more before this one ends: after it starts the
         # shortest run that ends here
         F.max("p").over(by_words.rangeBetween(Window.unboundedPreceding, -min_words)).alias("before"),
@@ -151,8 +160,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines), an empty one empty. Copies are ordered by (doc_id, line): within a
     document, too, the first of equal runs stays. A row given twice under one
     doc_id is one document and both rows get the same result; rows that share
-    a doc_id and differ in the text are versions of one document, and equal
-    lines at the same place of both are no copies. Other columns pass through,
+    doc_id and differ in the text are versions of one document, and equal
+    lines at the same place of both are no copies. All rows without an id are
+    versions of one document, the first in order. Other columns pass through,
     but for two called as the added ones, which are replaced.
     """
     names = docs.columns
@@ -162,9 +172,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.split(F.col(text_col), "\n")
     held = (docs.withColumn(key, _key(id_col)).withColumn(ver, F.xxhash64(text_col))
             .join(runs, (F.col(key) == F.col(run_key)) & (F.col(ver) == F.col(run_ver)), "left"))
-    gone = F.flatten(F.transform(run_list, lambda r: F.sequence(r["first"], r["last"])))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    rest = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    # the lines between the runs: a lambda's argument is evaluated once, so the text is split once, and each
+    # line that stays is copied once
+    def between(s):
+        first, last = s["runs"]["first"], s["runs"]["last"]
+        gap = F.transform(F.sequence(F.lit(0), F.size(first)), lambda k: F.struct(
+            F.when(k == 0, 1).otherwise(F.get(last, k - 1) + 2).alias("at"),
+            F.when(k == F.size(first), F.size(s["lines"])).otherwise(F.get(first, k)).alias("end")))
+        return F.array_join(F.flatten(F.transform(gap, lambda g: F.slice(s["lines"], g["at"], g["end"] - g["at"] + 1))), "\n")
+
+    rest = F.transform(F.array(F.struct(parts.alias("lines"), F.col(run_list).alias("runs"))), between)[0]
     n_gone = F.coalesce(F.aggregate(run_list, F.lit(0).cast("bigint"), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0))
     return (held.withColumn(count_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("bigint"))
             .withColumn(gone_col, n_gone.cast("bigint"))
