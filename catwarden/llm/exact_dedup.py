@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, hex_sha256, written
+from .common import ascii_lower, hex_sha256, unused, written
 
 COUNTERS = 16_384
 HEAVY = 1_024
@@ -80,6 +80,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay (those that ``exact_groups`` marks kept),
+    with all their columns, whatever their names. A row is found again by its id
+    and its text's digest: an id that is given with a kept and a dropped text
+    keeps the former only, and a null id stays only where its group has no
+    other. Null and empty texts are equal; rows repeated under the id that
+    stays all stay."""
+    key, mark, same = (unused(x, docs.columns) for x in ("kept_id", "kept_digest", "digest"))
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(mark)).distinct()
+    marked = docs.withColumn(same, hex_sha256(normalised(F.col(text_col))))
+    return marked.join(kept, (F.col(same) == F.col(mark)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(key)), "left_semi").drop(same)

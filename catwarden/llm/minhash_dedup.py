@@ -324,8 +324,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have no shingles and are linked with nothing
     (component_id is their doc_id). A row given twice gets equal results twice.
-    An id is expected to name one text; rows that share an id and differ in the
-    text are each judged by their own. A null doc_id is linked with nothing and
+    An id is one node: rows that share an id and differ in the text keep their
+    own n_shingles, but what either text is linked with is linked with the id,
+    so all of them get one component. A null doc_id is linked with nothing and
     kept. Only the two named columns are read, so other columns and their names
     do not matter. An empty table gives an empty result.
     """
