@@ -25,11 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are deleted from the texts; n_chars follows. No document is dropped."""
+    """Later copies of repeated line runs are deleted from the texts; n_chars follows. A document that is left
+    without a word was a copy as a whole and goes; one that had no word before stays."""
     prepare(spark)
     lines, gone = unused("line_count", docs.columns), unused("lines_deleted", docs.columns)
     left = line_dedup.dedup_lines(docs, count_col=lines, gone_col=gone)
-    return left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("bigint"))
+    emptied = (F.col(gone) > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")
+    return left.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("bigint"))
                            .otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
