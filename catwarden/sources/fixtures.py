@@ -139,7 +139,14 @@ def oracle_with(body_sql: str) -> str:
             visit(n)
     if not needed:
         return body_sql
-    ctes = ",\n".join(f"{n} AS ({_FX_SQL[n]})" for n in needed)
+    texts = [body_sql, *(_FX_SQL[n] for n in needed)]
+
+    def cte(n: str) -> str:
+        # a view that is read more than once is computed once
+        uses = sum(len(re.findall(rf"\b{n}\b", t)) for t in texts)
+        return f"{n} AS {'MATERIALIZED ' if uses > 1 else ''}({_FX_SQL[n]})"
+
+    ctes = ",\n".join(map(cte, needed))
     body = body_sql.strip()
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {ctes},\n{body[15:]}"
