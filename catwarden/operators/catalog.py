@@ -92,7 +92,7 @@ def _build_catalog(spark: SparkSession, side: str) -> Catalog:
             "checks": t(p + "check").select("db_id", "table_name", "name", "check_sql"),
             "sequences": t(p + "sequence").select("db_id", "name"),
             "views": t(p + "view").select("db_id", "name", "select_sql")}
-    domains = None if side == "fleet" else t(p + "domain").select(
+    domains = t("fx_f_domain") if side == "fleet" else t(p + "domain").select(
         "db_id", "name", "sql_type", "nullable", "default_sql", "check_sql", "charset")
     pk_view, pk_col_view = ("fx_t_pk", "fx_t_pk_col") if side == "target" else ("fx_pk", "fx_pk_col")
     return Catalog(

@@ -77,13 +77,18 @@ def _with_tkey(df: DataFrame) -> DataFrame:
 
 # ---- tables (D01) -------------------------------------------------------------
 
-def _column_defs(cat: Catalog) -> DataFrame:
+def _column_defs(cat: Catalog, db_charsets: DataFrame | None = None) -> DataFrame:
     """Per table, the ordered column clauses; one table's columns are
-    bounded by the engine's column limit, never by the fleet size."""
+    bounded by the engine's column limit, never by the fleet size.
+    ``db_charsets`` (db_id, db_charset): a column's charset equal to its
+    database's is left out (F23)."""
     c = cat.columns
     charset = F.col("charset") if "charset" in c.columns else None
+    if charset is not None and db_charsets is not None:
+        c = c.join(db_charsets, "db_id", "left")
     d = c.withColumn("def", R.column_definition(F.col("column_name"), F.col("sql_type"), F.col("nullable"),
-                                                F.col("default_sql"), F.col("computed_sql"), charset))
+                                                F.col("default_sql"), F.col("computed_sql"), charset,
+                                                F.col("db_charset") if "db_charset" in c.columns else None))
     return ordered_names(d, ["db_id", "table_name"], "def", "defs", upper=False)
 
 

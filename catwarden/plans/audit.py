@@ -75,8 +75,8 @@ rb AS (
 """
 
 FIELD_SQL = r"""
-SELECT db_id, scope, sql_type, code FROM (
-  SELECT c.db_id, c.table_name || '.' || c.column_name AS scope, c.sql_type,
+SELECT db_id, object_type, scope, sql_type, code FROM (
+  SELECT c.db_id, c.object_type, c.scope, c.sql_type,
     CASE
       WHEN c.sql_type IS NULL OR trim(c.sql_type) = '' THEN 'CAMPO_TIPO_VAZIO'
       WHEN regexp_matches(upper(trim(c.sql_type)), '^(CHAR|VARCHAR)\s*\(\s*\d+\s*\)') THEN
@@ -94,7 +94,8 @@ SELECT db_id, scope, sql_type, code FROM (
       WHEN upper(trim(c.sql_type)) IN ('DECFLOAT(16)', 'DECFLOAT(34)', 'INT128', 'TIME WITH TIME ZONE',
                                       'TIMESTAMP WITH TIME ZONE') AND d.major < 4 THEN 'CAMPO_TIPO_INCOMPATIVEL_VERSAO'
     END AS code
-  FROM fx_column c LEFT JOIN fx_database d USING (db_id)
+  FROM (SELECT db_id, 'column' AS object_type, table_name || '.' || column_name AS scope, sql_type, bytes_per_char FROM fx_column
+        UNION ALL SELECT db_id, 'domain', 'DOMINIO.' || name, sql_type, bytes_per_char FROM fx_f_domain) c LEFT JOIN fx_database d USING (db_id)
 ) x
 """
 
@@ -541,7 +542,7 @@ def q_duplicate_groups(spark, sf_dir):
 # ---------------------------------------------------------------- field audit
 
 @register("field_audit", f"""
-SELECT db_id, 'column' AS object_type, scope, sql_type, code, 'critical' AS status
+SELECT db_id, object_type, scope, sql_type, code, 'critical' AS status
 FROM ({FIELD_SQL}) fa WHERE code IS NOT NULL""")
 def q_field_audit(spark, sf_dir):
     """S13 input: problem items only (the default)."""

@@ -38,5 +38,5 @@ def register(name: str, sql: str | None = None, note: str = ""):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
-    from . import audit, diff, extract, monitor, scripts, transfer  # noqa: F401
+    from . import audit, diff, extract, monitor, schema, scripts, transfer  # noqa: F401
     return REGISTRY

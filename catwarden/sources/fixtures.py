@@ -50,6 +50,7 @@ FX_VIEWS = (
     ("fx_sequence", "SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS db_id, concat('S', CAST(c_custkey AS VARCHAR(20))) AS name, c_custkey AS k FROM customer"),
     ("fx_t_sequence", "SELECT db_id, lower(name) AS name FROM fx_sequence WHERE k % 5 <> 0 UNION ALL SELECT db_id, concat('ST', CAST(k AS VARCHAR(20))) FROM fx_sequence WHERE k % 9 = 0"),
     ("fx_domain", "SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS db_id, concat(CASE WHEN c_custkey % 17 = 0 THEN 'RDB$' ELSE 'D' END, CAST(c_custkey AS VARCHAR(20))) AS name, CASE c_custkey % 3 WHEN 0 THEN 'INTEGER' WHEN 1 THEN 'VARCHAR(60)' ELSE 'NUMERIC(15,2)' END AS sql_type, c_custkey % 4 <> 0 AS nullable, CASE WHEN c_custkey % 6 = 0 THEN 'DEFAULT 0' END AS default_sql, CASE WHEN c_custkey % 7 = 0 THEN 'CHECK (VALUE >= 0)' END AS check_sql, CASE WHEN c_custkey % 3 = 1 THEN 'WIN1252' END AS charset, c_custkey AS k FROM customer"),
+    ("fx_f_domain", "SELECT db_id, name, CASE k % 11 WHEN 0 THEN 'BOOLEAN' WHEN 1 THEN 'INT128' WHEN 2 THEN 'VARCHAR(20000)' WHEN 3 THEN 'NUMERIC(20,2)' WHEN 4 THEN '' ELSE sql_type END AS sql_type, CAST(1 + k % 4 AS INT) AS bytes_per_char, nullable, default_sql, check_sql, charset FROM fx_domain"),
     ("fx_t_domain", "SELECT db_id, name, CASE WHEN k % 19 = 0 THEN 'BIGINT' ELSE lower(sql_type) END AS sql_type, CASE WHEN k % 23 = 0 THEN NOT nullable ELSE nullable END AS nullable, CASE WHEN k % 29 = 0 THEN 'DEFAULT 1' ELSE default_sql END AS default_sql, CASE WHEN k % 31 = 0 THEN CAST(NULL AS VARCHAR(20)) ELSE check_sql END AS check_sql, CASE WHEN k % 37 = 0 THEN 'UTF8' ELSE charset END AS charset FROM fx_domain WHERE k % 5 <> 0 UNION ALL SELECT db_id, concat('DT', CAST(k AS VARCHAR(20))), sql_type, nullable, default_sql, check_sql, charset FROM fx_domain WHERE k % 11 = 0"),
     ("fx_view", "SELECT doc_id % 100 AS db_id, concat('V', CAST(doc_id AS VARCHAR(20))) AS name, concat(' SELECT C1 FROM T1', chr(10), '/* ', replace(coalesce(text, ''), '*/', ''), ' */ ') AS select_sql, doc_id AS k FROM documents"),
     ("fx_t_view", "SELECT db_id, lower(name) AS name, CASE WHEN k % 7 = 0 THEN replace(select_sql, 'C1', 'C2') WHEN k % 3 = 0 THEN replace(select_sql, chr(10), concat(chr(13), chr(10))) ELSE select_sql END AS select_sql FROM fx_view WHERE k % 5 <> 0 UNION ALL SELECT db_id, concat('VT', CAST(k AS VARCHAR(20))), select_sql FROM fx_view WHERE k % 11 = 0"),
