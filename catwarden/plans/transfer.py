@@ -206,13 +206,29 @@ def q_part_bytes(spark, sf):
     return sinks.running_bytes(_order_script(spark, sf))
 
 
-@register("script_parts")
+PART_BYTES = 16 * 1024
+
+
+@register("script_parts", f"""
+WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_no, {_RENDER_SQL} AS line FROM orders),
+lines AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY row_no, sub) AS ln, strlen(line) + 1 AS b, sum(strlen(line) + 1) OVER (ORDER BY row_no, sub) AS cum FROM (
+    SELECT row_no, 0 AS sub, line FROM n UNION ALL SELECT row_no, 1, 'COMMIT;' FROM n WHERE row_no % {COMMIT_EVERY} = 0
+    UNION ALL SELECT max(row_no), 2, 'COMMIT;' FROM n HAVING count(*) > 0)),
+head AS (SELECT {len("SET SQL DIALECT 3;") + len("SET NAMES UTF8;") + 3} AS hb),
+cut AS MATERIALIZED (  -- of each line the first that no longer fits into a part it begins
+  SELECT l.ln, greatest(coalesce(m.ln, 1 + (SELECT max(ln) FROM lines)), l.ln + 1) AS nxt
+  FROM lines l ASOF LEFT JOIN lines m ON l.cum - l.b + {PART_BYTES} - (SELECT hb FROM head) < m.cum),
+parts AS (SELECT CAST(1 AS BIGINT) AS part_no, CAST(1 AS BIGINT) AS ln FROM lines WHERE ln = 1
+          UNION ALL SELECT p.part_no + 1, c.nxt FROM parts p JOIN cut c ON c.ln = p.ln WHERE c.nxt <= (SELECT max(ln) FROM lines)),
+spans AS (SELECT part_no, ln AS a, coalesce(lead(ln) OVER (ORDER BY part_no), 1 + (SELECT max(ln) FROM lines)) AS z FROM parts)
+SELECT CAST(part_no AS INT) AS part_no, count(*) + 3 AS n_lines, CAST(sum(b) + (SELECT hb FROM head) AS BIGINT) AS bytes
+FROM spans JOIN lines ON ln >= a AND ln < z GROUP BY part_no""")
 def q_script_parts(spark, sf):
-    """Greedy 1 MB parts with the header repeated; per part lines and
-    bytes. The fill is per range partition, so no SQL oracle (rows-only)."""
+    """Greedy parts with the header repeated; per part lines and bytes."""
     from ..sources import sinks
     header = sinks.header_lines("UTF8")
-    parted = sinks.assign_parts(_order_script(spark, sf), 1024 * 1024, header)
+    parted = sinks.assign_parts(_order_script(spark, sf), PART_BYTES, header)
     return sinks.part_summary(sinks.with_headers(parted, header))
 
 

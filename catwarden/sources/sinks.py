@@ -7,12 +7,10 @@ COMMIT lines slot in after every N statements without renumbering.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HEADER_DIALECT = "SET SQL DIALECT 3;"
 DEFAULT_PART_BYTES = 100 * 1024 * 1024  # Fixed value: default part size
@@ -42,83 +40,138 @@ def script_lines(numbered: DataFrame, commit_every: int = 0) -> DataFrame:
     return out
 
 
-RUNNING_SCHEMA = T.StructType([
-    T.StructField("row_no", T.LongType()), T.StructField("sub", T.IntegerType()),
-    T.StructField("line", T.StringType()), T.StructField("_pid", T.IntegerType()),
-    T.StructField("_local", T.LongType()),
-])
-
+def _positions(lines: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``lines`` with ``ln`` (1, 2, ... in (row_no, sub) order) and ``cum_bytes``
+    (UTF-8 bytes up to the line's end, newline included).
 
-def _partition_cumsum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
-    pid = TaskContext.get().partitionId()
-    carry = 0
-    for pdf in batches:
-        b = pdf["line"].map(lambda x: len(x.encode("utf-8")) + 1 if x is not None else 1)
-        cum = b.cumsum() + carry
-        if len(cum):
-            carry = int(cum.iloc[-1])
-        yield pd.DataFrame({"row_no": pdf["row_no"], "sub": pdf["sub"], "line": pdf["line"],
-                            "_pid": pid, "_local": cum.astype("int64")})
+    The lines are range-sorted once and checkpointed with the number of their
+    bucket, so that counts and sums see the same buckets even if a task runs
+    again; sums inside a bucket are a window, and one row a bucket carries what
+    lies before it."""
+    keys = ["row_no", "sub"]
+    dealt = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
+    placed = (dealt.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("bucket", F.shiftright("_mid", 33)).withColumn("n_bytes", F.coalesce(F.octet_length("line"), F.lit(0)).cast("bigint") + 1)
+              .checkpoint(eager=True))
+    inside = Window.partitionBy("bucket").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy("bucket").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("bucket", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
+    return (placed.withColumn("b1", F.sum("n_bytes").over(inside)).withColumn("n1", F.row_number().over(inside)).join(before, "bucket")
+            .select(*lines.columns, "n_bytes", (F.col("n0") + F.col("n1")).alias("ln"), (F.col("b0") + F.col("b1")).alias("cum_bytes")))
 
 
 def running_bytes(lines: DataFrame) -> DataFrame:
-    """Cumulative UTF-8 bytes (line + newline) in (row_no, sub) order.
-    Range partitions are summed in place (no second shuffle); a tiny
-    per-partition total table (one row per partition, broadcast) turns the
-    local sums into global ones — no single-partition window over lines."""
-    local = (lines.repartitionByRange("row_no", "sub").sortWithinPartitions("row_no", "sub")
-                  .mapInPandas(_partition_cumsum, RUNNING_SCHEMA))
-    totals = local.groupBy("_pid").agg(F.max("_local").alias("_t"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-                 .select("row_no", "sub", "line", (F.col("_off") + F.col("_local")).alias("cum_bytes")))
-
-
-PART_SCHEMA = T.StructType([
-    T.StructField("row_no", T.LongType()), T.StructField("sub", T.IntegerType()),
-    T.StructField("line", T.StringType()), T.StructField("pid", T.IntegerType()),
-    T.StructField("local_part", T.IntegerType()),
-])
-
-
-def _greedy_parts(max_bytes: int, header_bytes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        part, used, lines_in_part = 1, header_bytes, 0
-        for pdf in batches:
-            parts = []
-            for line in pdf["line"]:
-                b = len(line.encode("utf-8")) + 1
-                if max_bytes > 0 and lines_in_part > 0 and used + b > max_bytes:
-                    part, used, lines_in_part = part + 1, header_bytes, 0
-                used += b
-                lines_in_part += 1
-                parts.append(part)
-            yield pd.DataFrame({"row_no": pdf["row_no"], "sub": pdf["sub"], "line": pdf["line"],
-                                "pid": pid, "local_part": parts})
+    """Cumulative UTF-8 bytes (line + newline) in (row_no, sub) order."""
+    return _positions(lines).select("row_no", "sub", "line", "cum_bytes")
+
+
+CHUNK_PARTS = 8  # parts that a chunk of the search holds about
+
+
+def _next_cut(at: np.ndarray, end: np.ndarray, room: int) -> np.ndarray:
+    """Of each line the place of the first line that no longer fits into a part
+    it begins: the first behind it that ends more than ``room`` bytes after its start."""
+    return np.maximum(np.searchsorted(end, at + room, side="right"), np.arange(len(at)) + 1)
+
+
+def _exits(room: int):
+    """Lines of one chunk with its look-ahead -> for each line that a part from
+    an earlier chunk could begin with, the first beginning of a part behind the chunk."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ln")
+        ln, end, own = pdf["ln"].to_numpy(), pdf["end"].to_numpy(), pdf["own"].to_numpy()
+        at = end - pdf["n_bytes"].to_numpy()
+        mine = int(own.sum())  # own lines come first
+        to = np.append(_next_cut(at, end, room), len(ln))
+        to[mine:] = np.arange(mine, len(to))
+        while True:  # successors double until all have left the chunk
+            further = to[to]
+            if (further == to).all():
+                break
+            to = further
+        entry = np.flatnonzero(pdf["entry"].to_numpy())
+        return pd.DataFrame({"ln": ln[entry], "exit": ln[0] + to[entry]})
     return run
 
 
+def _cuts(room: int):
+    """Lines of one chunk and the line its first part begins with -> all beginnings of parts in it."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ln")
+        ln, end = pdf["ln"].to_numpy(), pdf["end"].to_numpy()
+        to = _next_cut(end - pdf["n_bytes"].to_numpy(), end, room)
+        mine, at, out = int(pdf["own"].sum()), int(pdf["begin"].iloc[0] - ln[0]), []
+        while at < mine:
+            out.append(ln[at])
+            at = int(to[at])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "cut": np.array(out, dtype=np.int64)})
+    return run
+
+
+def part_starts(sizes: DataFrame, room: int) -> DataFrame:
+    """(chunk, cut): the lines with which greedy parts of ``room`` bytes begin.
+
+    ``sizes``: ln, n_bytes, cum_bytes. A part is filled until the next line
+    would not fit, so where a part begins hangs on all lines before it. The
+    chain of beginnings is found without walking it: lines are cut into chunks
+    of bytes; in each chunk, every line a part could begin with on entering
+    gets the line with which the chain leaves the chunk, and these jumps double
+    (a chain over m chunks is covered in log2(m) rounds). With each chunk's
+    true beginning known, its parts are listed in place. A chunk reads the
+    lines of the next one only as far as one part reaches.
+    """
+    width = CHUNK_PARTS * room + 1
+    begin = F.col("cum_bytes") - F.col("n_bytes")
+    spread = sizes.select("ln", "n_bytes", F.col("cum_bytes").alias("end"), F.floor(begin / width).cast("bigint").alias("home"),
+                          (begin % width <= room).alias("near"))
+    firsts = spread.groupBy("home").agg(F.min("ln").alias("first"))
+    spread = spread.join(firsts, "home").withColumn("entry", F.col("near") | (F.col("ln") == F.col("first")))
+    both = (spread.withColumn("chunk", F.explode(F.when(F.col("near") & (F.col("home") > 0), F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))))
+            .withColumn("own", F.col("chunk") == F.col("home")).withColumn("entry", F.col("entry") & F.col("own"))
+            .select("chunk", "ln", "n_bytes", "end", "own", "entry").checkpoint(eager=True))
+    held = both.where("own").select("chunk").distinct()  # a chunk without a line of its own has no part's beginning
+    jump = both.join(held, "chunk", "left_semi").groupBy("chunk").applyInPandas(_exits(room), "ln bigint, exit bigint").checkpoint(eager=True)
+    home = both.where("entry").select("ln", "chunk")
+    reached = both.where("ln = 1 and own").select("ln").checkpoint(eager=True)
+    while True:
+        more = reached.join(jump, "ln").select(F.col("exit").alias("ln")).join(home, "ln", "left_semi").join(reached, "ln", "left_anti").distinct()
+        more = more.checkpoint(eager=True)
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more).checkpoint(eager=True)
+        onward = jump.withColumnRenamed("exit", "mid").join(jump.select(F.col("ln").alias("mid"), "exit"), "mid").select("ln", "exit")
+        jump = onward.checkpoint(eager=True)
+    starts = reached.join(home, "ln").groupBy("chunk").agg(F.min("ln").alias("begin"))
+    return both.join(starts, "chunk").groupBy("chunk").applyInPandas(_cuts(room), "chunk bigint, cut bigint")
+
+
 def assign_parts(lines: DataFrame, max_bytes: int = DEFAULT_PART_BYTES, header: list[str] | None = None,
                  partitions: int | None = None) -> DataFrame:
-    """Greedy size split. A new part starts when the next line would
-    push the part over ``max_bytes`` and the part already holds a line;
-    each part repeats the header (counted in its size). The fill is
-    sequential, so it runs per range partition (each partition starts its
-    own part: at most one more part per partition than a single pass).
-    Returns lines with a global ``part_no``."""
-    header = header or []
-    hb = sum(len(h.encode("utf-8")) + 1 for h in header)
-    r = lines.repartitionByRange(*(([partitions] if partitions else []) + ["row_no", "sub"])) \
-             .sortWithinPartitions("row_no", "sub")
-    tagged = r.mapInPandas(_greedy_parts(max_bytes, hb), PART_SCHEMA)
-    keys = tagged.select("pid", "local_part").distinct()
-    w = Window.orderBy("pid", "local_part")  # one row per part: bounded by the part count
-    numbered = keys.withColumn("part_no", F.row_number().over(w))
-    return tagged.join(F.broadcast(numbered), ["pid", "local_part"]).drop("pid", "local_part")
+    """Lines with ``part_no`` (from 1). A new part starts when the next
+    line would push the part over ``max_bytes`` and the part already holds a
+    line; each part repeats the header, which counts. The parts are those of one
+    pass over all lines, whatever the number of partitions. Without a limit
+    (0) all lines are one part."""
+    hb = sum(len(h.encode("utf-8")) + 1 for h in header or [])
+    placed = _positions(lines, partitions)
+    if max_bytes <= 0:
+        return placed.select(*lines.columns, F.lit(1).alias("part_no"))
+    room = max(0, max_bytes - hb)
+    placed = placed.checkpoint(eager=True)
+    cuts = part_starts(placed.select("ln", "n_bytes", "cum_bytes"), room)
+    # one row a chunk: its beginnings (about CHUNK_PARTS) and the number of parts before it
+    by_chunk = cuts.groupBy("chunk").agg(F.sort_array(F.collect_list("cut")).alias("cuts")).checkpoint(eager=True)
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = by_chunk.withColumn("parts_before", F.coalesce(F.sum(F.size("cuts")).over(earlier), F.lit(0)))
+    width = CHUNK_PARTS * room + 1
+    # a chunk in which no part begins belongs to the last part before it
+    held = placed.withColumn("chunk", F.floor((F.col("cum_bytes") - F.col("n_bytes")) / width).cast("bigint"))
+    seen = held.select("chunk").distinct().join(by_chunk, "chunk", "left")
+    seen = seen.withColumn("parts_before", F.coalesce("parts_before", F.coalesce(
+        F.max(F.col("parts_before") + F.size("cuts")).over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    count = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("ln"))))
+    return held.join(seen, "chunk").select(*lines.columns, (F.col("parts_before") + count).cast("int").alias("part_no"))
 
 
 def with_headers(parted: DataFrame, header: list[str]) -> DataFrame:
