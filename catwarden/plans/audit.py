@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
@@ -571,13 +573,12 @@ UNION ALL SELECT 'fks', count(*) FROM fx_fk UNION ALL SELECT 'fk_cols', count(*)
 UNION ALL SELECT 'indexes', count(*) FROM fx_index UNION ALL SELECT 'index_cols', count(*) FROM fx_index_col
 UNION ALL SELECT 'routines', count(*) FROM fx_routine""")
 def q_snapshot_roundtrip(spark, sf_dir):
-    """Fleet catalog -> one JSON snapshot per database (shared checkpoint
-    folder) -> read back with the explicit schema -> catalog tables."""
-    import hashlib
+    """Fleet catalog -> one JSON row for each object (shared checkpoint folder)
+    -> read back with explicit schemas -> catalog tables."""
     from ..sources import snapshots as SN
-    path = SN.snapshot_dir(spark, "snapshots-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
-    SN.write_snapshots(fixture_catalog(spark, sf_dir), path)
-    back = SN.catalog_from_documents(SN.read_written_snapshots(spark, path))
+    path = SN.snapshot_dir(spark, f"snapshots-{uuid.uuid4().hex}")
+    SN.write_objects(fixture_catalog(spark, sf_dir), path)
+    back = SN.catalog_from_objects(SN.read_objects(spark, path))
     parts = [("tables", back.tables), ("columns", back.columns), ("pks", back.pks), ("pk_cols", back.pk_cols),
              ("fks", back.fks), ("fk_cols", back.fk_cols), ("indexes", back.indexes),
              ("index_cols", back.index_cols), ("routines", back.routines)]
