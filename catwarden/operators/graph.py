@@ -20,14 +20,43 @@ from pyspark.sql.functions import pandas_udf
 from ..session import ensure_checkpoint_dir
 from .catalog import Catalog
 
-CHECKPOINT_EVERY = 8
-
-
-def _cut(df: DataFrame, rnd: int) -> DataFrame:
-    if rnd % CHECKPOINT_EVERY == 0:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(db_id, node, level) of the nodes that reach no cycle: the longest chain
+    of edges (db_id, src, dst) below the node, 0 where there is none.
+
+    Each round settles the nodes whose targets are all settled, and shortens
+    chains by pointer doubling: the level of a node is max(a, level(dst) + w)
+    over its open edges, so an edge to a node with a single open edge moves on to
+    that one's target, with both weights added and ``a`` carried along. A chain of
+    n tables takes about log2(n) rounds. No frame has more rows than the edges;
+    edges, lower bounds and the settled nodes of a round are checkpointed.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    key = ["db_id", "node"]
+    open_edges = edges.select("db_id", "src", "dst", F.lit(1).cast("bigint").alias("w")).distinct().checkpoint(eager=True)
+    sources = open_edges.select("db_id", F.col("src").alias("node")).distinct()
+    bound = sources.withColumn("a", F.lit(0).cast("bigint"))
+    settled = nodes.select(*key).distinct().join(sources, key, "left_anti").withColumn("level", F.lit(0).cast("bigint")).checkpoint(eager=True)
+    done = [settled]
+    while not settled.isEmpty():
+        hit = open_edges.join(settled.select("db_id", F.col("node").alias("dst"), "level"), ["db_id", "dst"], "left")
+        rest = hit.where("level is null").drop("level").checkpoint(eager=True)
+        found = hit.where("level is not null").select("db_id", F.col("src").alias("node"), (F.col("level") + F.col("w")).alias("a"))
+        bound = bound.unionByName(found).groupBy(*key).agg(F.max("a").alias("a")).checkpoint(eager=True)
+        still = rest.groupBy("db_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("to"), F.max("w").alias("far"))
+        settled = bound.join(still, key, "left_anti").withColumnRenamed("a", "level").checkpoint(eager=True)
+        done.append(settled)
+        through = (still.where((F.col("n") == 1) & (F.col("to") != F.col("node"))).join(bound, key)
+                   .select("db_id", F.col("node").alias("dst"), "to", "far", "a"))
+        moved = rest.join(through, ["db_id", "dst"], "left").withColumn("on", F.col("to").isNotNull() & (F.col("to") != F.col("src"))).checkpoint(eager=True)
+        carried = moved.where("on").select("db_id", F.col("src").alias("node"), (F.col("a") + F.col("w")).alias("a"))
+        # on a cycle weights would double without end; what is bounded here is never read
+        weight = F.least(F.when(F.col("on"), F.col("w") + F.col("far")).otherwise(F.col("w")), F.lit(1 << 40))
+        open_edges = (moved.select("db_id", "src", F.when(F.col("on"), F.col("to")).otherwise(F.col("dst")).alias("dst"), weight.alias("w"))
+                      .groupBy("db_id", "src", "dst").agg(F.max("w").alias("w")).checkpoint(eager=True))
+        bound = (bound.join(still.select(*key), key, "left_semi").unionByName(carried)
+                 .groupBy(*key).agg(F.least(F.max("a"), F.lit(1 << 40)).alias("a")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def fk_edges(cat: Catalog) -> DataFrame:
@@ -39,33 +68,17 @@ def fk_edges(cat: Catalog) -> DataFrame:
 
 
 def fk_depth(cat: Catalog) -> DataFrame:
-    """FK depth per table by iterative peeling (state is one row per
-    table; rounds = the longest FK chain). A table whose referenced tables
-    were all peeled in earlier rounds is peeled now: depth = 1 + the largest
-    depth it references (0 for a root; unknown references are ignored).
-    Tables never peeled are on or behind an FK cycle (``cyclic``): their
+    """FK depth per table (``levels``): depth = 1 + the largest depth it
+    references (0 for a root; unknown references are ignored). Tables without
+    a level are on or behind an FK cycle (``cyclic``): their
     depth is 1 + the largest depth among peeled tables they reference (cycle
     edges count as 1). A self-reference gives at least 1."""
-    edges = fk_edges(cat).persist()
+    edges = fk_edges(cat)
     proper = edges.where(F.col("src") != F.col("dst"))
     self_ref = edges.where(F.col("src") == F.col("dst")).select("db_id", F.col("src").alias("node")).distinct()
     tables = cat.tables.select("db_id", F.upper("table_name").alias("node"), "table_name")
-    pending = tables.select("db_id", "node").distinct()
-    done = []
-    rnd = 0
-    while True:  # ends on an empty frontier
-        pending = _cut(pending, rnd + 1)
-        blocked = (proper.join(pending.select("db_id", F.col("node").alias("dst")), ["db_id", "dst"], "left_semi")
-                         .select("db_id", F.col("src").alias("node")).distinct())
-        peel = pending.join(blocked, ["db_id", "node"], "left_anti").persist()
-        if peel.isEmpty():
-            break
-        done.append(peel.withColumn("depth", F.lit(rnd)))
-        pending = pending.join(peel, ["db_id", "node"], "left_anti")
-        rnd += 1
-    spark = cat.tables.sparkSession
-    peeled = (reduce(DataFrame.unionByName, done) if done
-              else spark.createDataFrame([], "db_id bigint, node string, depth int"))
+    peeled = levels(tables, proper).withColumn("depth", F.col("level").cast("int")).drop("level").checkpoint(eager=True)
+    pending = tables.select("db_id", "node").distinct().join(peeled, ["db_id", "node"], "left_anti")
     succ = (proper.join(peeled.select("db_id", F.col("node").alias("dst"), F.col("depth").alias("d")), ["db_id", "dst"])
                   .groupBy("db_id", F.col("src").alias("node")).agg(F.max("d").alias("succ_max")))
     stuck = (pending.join(succ, ["db_id", "node"], "left")
@@ -107,30 +120,15 @@ def routine_edges(routines: DataFrame) -> DataFrame:
 
 
 def routine_levels(routines: DataFrame) -> DataFrame:
-    """Iterative peel. A procedure is peeled in round r when all
-    its callees were peeled earlier; ``level`` is that round (0 = calls
-    nothing). Procedures never peeled are on or behind a cycle: ``cyclic``.
+    """``level`` is the longest chain of calls below a procedure (0 =
+    calls nothing). Procedures on or behind a cycle have none: ``cyclic``.
     Order for emission: (level, name), cyclic remainder last by name."""
     procs = routines.where(F.col("kind") == "PROCEDURE").select(
         "db_id", "name", F.upper("name").alias("node")).dropDuplicates(["db_id", "node"])
-    edges = routine_edges(routines).persist()
-    pending = procs
-    done = []
-    rnd = 0
-    while True:  # ends on an empty frontier
-        pending = _cut(pending, rnd + 1)
-        blocked = (edges.join(pending.select("db_id", F.col("node").alias("callee")), ["db_id", "callee"], "left_semi")
-                        .select("db_id", F.col("caller").alias("node")).distinct())
-        peel = pending.join(blocked, ["db_id", "node"], "left_anti").persist()
-        if peel.isEmpty():
-            break
-        done.append(peel.withColumn("level", F.lit(rnd)))
-        pending = pending.join(peel.select("db_id", "node"), ["db_id", "node"], "left_anti")
-        rnd += 1
-    levels = reduce(DataFrame.unionByName, done) if done else procs.limit(0).withColumn("level", F.lit(0))
-    cyc = pending.withColumn("level", F.lit(None).cast("int"))
-    return (levels.withColumn("cyclic", F.lit(False)).unionByName(cyc.withColumn("cyclic", F.lit(True)))
-                  .select("db_id", "name", F.col("level").cast("int").alias("level"), "cyclic"))
+    calls = routine_edges(routines).withColumnsRenamed({"caller": "src", "callee": "dst"})
+    found = levels(procs, calls)
+    return (procs.join(found, ["db_id", "node"], "left")
+                 .select("db_id", "name", F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("cyclic")))
 
 
 def routine_order(routines: DataFrame) -> DataFrame:
