@@ -312,7 +312,9 @@ def diff_routines(src: Catalog, tgt: Catalog):
     differs = j.where(F.col("name").isNotNull() & F.col("t_name").isNotNull()
                       & (_source_norm(F.col("source")) != _source_norm(F.col("t_source"))))
     cmd_rows = missing.unionByName(differs)
-    sql = F.when(F.col("kind") == "PROCEDURE", R.create_procedure(F.col("name"), F.col("source"))) \
+    # a procedure's command declares its parameters where the catalog knows them
+    cmd_rows = R.with_parameters(cmd_rows, src.extras.get("params"))
+    sql = F.when(F.col("kind") == "PROCEDURE", R.create_procedure(F.col("name"), F.col("source"), F.col("params_in"), F.col("params_out"))) \
            .otherwise(R.psql_block(F.col("source")))
     items = _union([
         _item(missing, "created", "ROUTINE", None, F.col("name"), F.col("kind")),

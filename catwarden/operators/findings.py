@@ -9,6 +9,7 @@ from ..functions.ddl import scope_table
 from ..functions.scoring import CODE_ALIASES, priority, risk_score, severity_weight
 from .catalog import Catalog
 from .rules import all_rule_findings, visible_tables
+from .transfer import global_row_number
 
 SCORED_COLS = ["db_id", "severity", "score", "priority", "code", "scope"]
 
@@ -46,6 +47,16 @@ def order_findings(scored: DataFrame) -> DataFrame:
                           F.upper("code"), F.upper("scope"))
 
 
+def ranked_findings(scored: DataFrame) -> DataFrame:
+    """W05 with the place of each finding in its database's list (``rank`` from
+    1; equal findings in any order). The rank comes from one range sort of all
+    findings, not from a window over a database."""
+    keys = ["db_id", F.desc("score"), F.desc(severity_weight(F.col("severity"))), F.upper("code"), F.upper("scope"), "code", "scope"]
+    numbered = global_row_number(scored, keys)
+    first = numbered.groupBy("db_id").agg(F.min("row_no").alias("_first"))
+    return numbered.join(first, "db_id").select("db_id", (F.col("row_no") - F.col("_first") + 1).alias("rank"), *[c for c in SCORED_COLS if c != "db_id"])
+
+
 def severity_totals(scored: DataFrame) -> DataFrame:
     """Total and per-severity counts per database."""
     return scored.groupBy("db_id").agg(

@@ -152,3 +152,15 @@ def analysis_status(samples: DataFrame, failures: DataFrame) -> DataFrame:
     return att.groupBy("db_id").agg(F.max_by(F.struct("status", "reason"), rank).alias("s"),
                                     F.count(F.lit(1)).alias("attempts")) \
               .select("db_id", "s.status", "s.reason", "attempts")
+
+
+def fleet_analysis_status(databases: DataFrame, samples: DataFrame, failures: DataFrame) -> DataFrame:
+    """V01 of every database (``db_id``, ``live``): the status of its latest
+    attempt; without one ``pending`` if the database can be reached (``live``)
+    and ``not_applicable`` if it is known from a snapshot alone, which also
+    holds if attempts are on record from an earlier time. Null counts as not live."""
+    known = analysis_status(samples, failures)
+    live = F.coalesce("live", F.lit(False))
+    j = databases.select("db_id", live.alias("live")).join(known, "db_id", "left")
+    return j.select("db_id", F.when(~F.col("live"), "not_applicable").otherwise(F.coalesce("status", F.lit("pending"))).alias("status"),
+                    F.when(F.col("live"), F.col("reason")).alias("reason"), F.coalesce("attempts", F.lit(0)).alias("attempts"))

@@ -42,21 +42,23 @@ def normalize_filter(text: str | None) -> str | None:
     return predicate
 
 
+_SELECT = re.compile(r"\s*(?P<query>SELECT\b.*?)\s*(?:;\s*)?", re.IGNORECASE | re.DOTALL)
+
+
 def normalize_select(sql: str) -> str:
-    """A full SELECT; one trailing ';' removed."""
-    t = sql.strip()
-    if t.endswith(";"):
-        t = t[:-1].rstrip()
-    if not t[:6].upper() == "SELECT":
-        raise TransferError("Invalid SQL query: the file must contain a SELECT.")
-    return t
+    """The query of a text that is one SELECT, without blanks around it
+    and a last semicolon. A word that only begins with SELECT is none."""
+    whole = _SELECT.fullmatch(sql)
+    if whole is None:
+        raise TransferError("A custom query has to begin with the word SELECT.")
+    return whole["query"]
 
 
 def scan_table(df: DataFrame, columns: list[str], where: str | None = None) -> DataFrame:
     """Explicit column list + optional predicate; Catalyst pushes both
     into the parquet scan (ReadSchema / PushedFilters)."""
     if not columns:
-        raise TransferError("No valid columns were provided for export.")
+        raise TransferError("Nothing to export: the list of columns is empty.")
     out = df.select(*[F.col(c.strip()) for c in columns])
     pred = normalize_filter(where)
     if pred is not None:
@@ -130,7 +132,7 @@ def render_insert(df: DataFrame, target: str, columns: list[str] | None = None,
     parts = [F.lit(head), F.concat_ws(", ", *vals), F.lit(")")]
     if mode == "upsert":
         if not matching:
-            raise TransferError("Upsert mode requires MATCHING columns.")
+            raise TransferError("An upsert has to name the columns that it matches by.")
         parts.append(F.lit(" MATCHING (" + ", ".join(matching) + ")"))
     parts.append(F.lit(";"))
     return df.select(*(keep or []), F.concat(*parts).alias("sql"))

@@ -466,6 +466,16 @@ def q_order_findings(spark, sf_dir):
     return fnd.order_findings(all_findings(spark, sf_dir))
 
 
+@register("ranked_findings", f"""
+WITH {FINDINGS_CTE}
+SELECT db_id, row_number() OVER (PARTITION BY db_id ORDER BY score DESC,
+         CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, upper(code), upper(scope), code, scope) AS rank,
+       severity, score, priority, code, scope FROM findings""")
+def q_ranked_findings(spark, sf_dir):
+    """The order itself, as a rank."""
+    return fnd.ranked_findings(all_findings(spark, sf_dir))
+
+
 @register("first_longer_index", f"""
 WITH {FK_CTE}
 SELECT s.db_id, s.table_name, s.index_name AS short_name, arg_min(l.index_name, upper(l.index_name)) AS long_name

@@ -104,7 +104,7 @@ FROM ({CLASSIFY_SQL}) c GROUP BY ALL""")(
     lambda spark, sf: M.classify_errors(_fx(spark, sf, "fx_log")).groupBy("db_id", "extraction_cause", "monitor_failure")
     .agg(F.count(F.lit(1)).alias("n"), F.count_if("transient_execution").alias("transient")))
 
-register("analysis_status", f"""
+ATTEMPTS_SQL = f"""
 WITH c AS ({CLASSIFY_SQL}),
 att AS (SELECT db_id, ts, 'executed' AS status, CAST(NULL AS VARCHAR) AS reason, 0 AS pri FROM fx_monitor
         UNION ALL
@@ -112,9 +112,18 @@ att AS (SELECT db_id, ts, 'executed' AS status, CAST(NULL AS VARCHAR) AS reason,
                                ELSE 'failed' END, monitor_failure, 1 FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY ts DESC, pri DESC) AS rn,
              count(*) OVER (PARTITION BY db_id) AS attempts FROM att)
-SELECT db_id, status, reason, attempts FROM r WHERE rn = 1""")(
+SELECT db_id, status, reason, attempts FROM r WHERE rn = 1"""
+
+register("analysis_status", ATTEMPTS_SQL)(
     lambda spark, sf: M.analysis_status(_fx(spark, sf, "fx_monitor"), _fx(spark, sf, "fx_log")))
 
+register("fleet_analysis_status", f"""
+SELECT d.db_id, CASE WHEN d.db_id % 4 = 3 THEN 'not_applicable' ELSE coalesce(a.status, 'pending') END AS status,
+       CASE WHEN d.db_id % 4 <> 3 THEN a.reason END AS reason, coalesce(a.attempts, 0) AS attempts
+FROM fx_database d LEFT JOIN ({ATTEMPTS_SQL}) a ON a.db_id = d.db_id""")(
+    lambda spark, sf: M.fleet_analysis_status(_fx(spark, sf, "fx_database").withColumn("live", F.col("db_id") % 4 != 3),
+                                              _fx(spark, sf, "fx_monitor"), _fx(spark, sf, "fx_log")))
+
 
 @register("ods_details", r"""
 SELECT event_id,

@@ -70,7 +70,7 @@ def q_render_upsert(spark, sf):
     cols = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
     missing = X.upsert_missing_pk(["C_CUSTKEY"], cols)
     if missing:
-        raise X.TransferError(f"Upsert mode requires all PK columns: {missing}")
+        raise X.TransferError(f"The upsert leaves out key columns: {missing}")
     return X.render_insert(c, "CUSTOMER", cols, mode="upsert", matching=["c_custkey"], keep=["c_custkey"])
 
 

@@ -40,18 +40,20 @@ def script_lines(numbered: DataFrame, commit_every: int = 0) -> DataFrame:
     return out
 
 
-def _positions(lines: DataFrame, partitions: int | None = None) -> DataFrame:
+def _positions(lines: DataFrame, partitions: int | None = None, charset: str | None = None) -> DataFrame:
     """``lines`` with ``ln`` (1, 2, ... in (row_no, sub) order) and ``cum_bytes``
-    (UTF-8 bytes up to the line's end, newline included).
+    (bytes in the character set up to the line's end, newline included).
 
     The lines are range-sorted once and checkpointed with the number of their
     bucket, so that counts and sums see the same buckets even if a task runs
     again; sums inside a bucket are a window, and one row a bucket carries what
     lies before it."""
     keys = ["row_no", "sub"]
+    # in a single-byte set a character is a byte, and an empty line is written as a blank (write_script)
+    size = F.octet_length if script_charset_name(charset) == "UTF8" else lambda c: F.greatest(F.length(c), F.lit(1))
     dealt = lines.repartitionByRange(partitions, *keys) if partitions else lines.repartitionByRange(*keys)
     placed = (dealt.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("bucket", F.shiftright("_mid", 33)).withColumn("n_bytes", F.coalesce(F.octet_length("line"), F.lit(0)).cast("bigint") + 1)
+              .withColumn("bucket", F.shiftright("_mid", 33)).withColumn("n_bytes", F.coalesce(size("line"), F.lit(0)).cast("bigint") + 1)
               .checkpoint(eager=True))
     inside = Window.partitionBy("bucket").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.groupBy("bucket").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
@@ -147,14 +149,15 @@ def part_starts(sizes: DataFrame, room: int) -> DataFrame:
 
 
 def assign_parts(lines: DataFrame, max_bytes: int = DEFAULT_PART_BYTES, header: list[str] | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, charset: str | None = None) -> DataFrame:
     """Lines with ``part_no`` (from 1). A new part starts when the next
     line would push the part over ``max_bytes`` and the part already holds a
     line; each part repeats the header, which counts. The parts are those of one
     pass over all lines, whatever the number of partitions. Without a limit
     (0) all lines are one part."""
-    hb = sum(len(h.encode("utf-8")) + 1 for h in header or [])
-    placed = _positions(lines, partitions)
+    utf8 = script_charset_name(charset) == "UTF8"
+    hb = sum((len(h.encode("utf-8")) if utf8 else max(1, len(h))) + 1 for h in header or [])
+    placed = _positions(lines, partitions, charset)
     if max_bytes <= 0:
         return placed.select(*lines.columns, F.lit(1).alias("part_no"))
     room = max(0, max_bytes - hb)
@@ -189,12 +192,45 @@ def part_summary(parted_with_headers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("line") + 1).alias("bytes"))
 
 
-def write_script(parted_with_headers: DataFrame, path: str) -> None:
-    """S08 sink: one directory per part (``part_no=N``), lines in order.
-    The text source writes UTF-8; for another charset encode the lines to
-    bytes first and write them with a binary-capable sink."""
-    (parted_with_headers.repartition("part_no").sortWithinPartitions("part_no", "row_no", "sub")
-        .select("part_no", "line").write.mode("overwrite").partitionBy("part_no").text(path))
+# Script character sets, the name a writer knows them by, and the characters they hold
+# beside the other scripts' Latin-1 (the 27 of windows-1252 in its 0x80-0x9F rows).
+WIN1252_EXTRA = "\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
+CHARSETS = {"UTF8": ("UTF-8", None), "ISO8859_1": ("ISO-8859-1", "\u0000-\u00ff"),
+            "WIN1252": ("windows-1252", "\u0000-\u007f\u00a0-\u00ff" + WIN1252_EXTRA)}
+
+
+def script_charset_name(charset: str | None) -> str:
+    name = (charset or "UTF8").strip().upper()
+    if name not in CHARSETS:
+        raise ValueError(f"character set {charset!r} is none of {', '.join(CHARSETS)}")
+    return name
+
+
+def not_encodable(parted: DataFrame, charset: str | None) -> DataFrame:
+    """The lines that hold a character the character set lacks (quarantine)."""
+    held = CHARSETS[script_charset_name(charset)][1]
+    return parted.where(F.col("line").rlike(f"[^{held}]") if held else F.lit(False))
+
+
+def write_script(parted_with_headers: DataFrame, path: str, charset: str | None = None) -> None:
+    """S08 sink: one directory per part (``part_no=N``), lines in order, in the
+    character set that the header names. Lines that do not encode are left
+    out; ``not_encodable`` gives them. Line ends inside a statement stay. In
+    another set than UTF8 an empty line is written as a line of one blank."""
+    name = script_charset_name(charset)
+    encoding, held = CHARSETS[name]
+    lines = parted_with_headers.where(~F.col("line").rlike(f"[^{held}]")) if held else parted_with_headers
+    placed = lines.repartition("part_no").sortWithinPartitions("part_no", "row_no", "sub").select("part_no", "line")
+    writer = placed.write.mode("overwrite").partitionBy("part_no")
+    if name == "UTF8":
+        writer.text(path)
+        return
+    # Spark's text writer is UTF-8 alone; its delimited writer with no quote, escape or separator in use encodes, but
+    # leaves out empty lines
+    writer = (placed.withColumn("line", F.when(F.col("line") == "", " ").otherwise(F.col("line")))
+              .write.mode("overwrite").partitionBy("part_no"))
+    (writer.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False)
+     .option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "db_id") -> None:

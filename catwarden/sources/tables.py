@@ -27,6 +27,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_base_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:
     for name in names:
-        path = table_path(sf_dir, name)
-        if os.path.exists(path) or "://" in path:
-            spark.read.parquet(path).createOrReplaceTempView(name)
+        # a table that is not there fails here, whatever the file system
+        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
