@@ -237,6 +237,23 @@ def q_script_parts(spark, sf):
 CHECKPOINT_EVERY = 50_000  # Fixed value: units between progress checkpoints
 
 
+MARK_UNITS, MARK_SECONDS = 40, 3_600
+
+
+@register("progress_marks", f"""
+WITH RECURSIVE n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS row_no, event_id, ts FROM events),
+s AS MATERIALIZED (SELECT 0 AS ln, min(ts) AS ts FROM n HAVING count(*) > 0 UNION ALL SELECT row_no, ts FROM n),
+first_late AS (SELECT a.ln, min(b.ln) AS late FROM s a ASOF LEFT JOIN (SELECT ts, min(ln) AS ln FROM s WHERE ln > 0 GROUP BY ts) b
+               ON a.ts + INTERVAL {MARK_SECONDS} SECOND <= b.ts GROUP BY a.ln),
+nxt AS MATERIALIZED (SELECT ln, least(ln + {MARK_UNITS}, greatest(coalesce(late, ln + {MARK_UNITS}), ln + 1)) AS nx FROM first_late),
+marks AS (SELECT CAST(0 AS BIGINT) AS ln FROM s WHERE ln = 0 UNION ALL SELECT x.nx FROM marks m JOIN nxt x ON x.ln = m.ln WHERE x.nx <= (SELECT max(row_no) FROM n))
+SELECT CAST(m.ln AS BIGINT) AS row_no, n.event_id FROM marks m JOIN n ON n.row_no = m.ln""")
+def q_progress_marks(spark, sf):
+    """W08 whole: units or seconds, whichever comes first."""
+    numbered = X.global_row_number(_t(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"])
+    return X.progress_marks(numbered, "ts", MARK_UNITS, MARK_SECONDS).join(numbered.select("row_no", "event_id"), "row_no")
+
+
 @register("checkpoint_rows", f"""
 WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {", ".join(LINE_ORDER)}) AS row_no FROM lineitem)
 SELECT CAST(row_no AS BIGINT) AS row_no, l_orderkey, l_linenumber FROM n WHERE row_no % {CHECKPOINT_EVERY} = 0""")

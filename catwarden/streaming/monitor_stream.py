@@ -7,6 +7,7 @@ the batch/stream equality test checks them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,32 @@ def throughput(events: DataFrame, seconds: int = CHECKPOINT_SECONDS, watermark:
                     (F.col("units") / F.lit(float(seconds))).alias("rate"))
 
 
+def progress_stream(units: DataFrame, key: str, order: list[str], time_col: str, every: int, seconds: int) -> DataFrame:
+    """W08 as a stream: (key, time, n) of the units at which a run takes a
+    checkpoint, ``every`` units or ``seconds`` after its last one. The state of a
+    run is three numbers: units since the checkpoint, its time, units in all. Units
+    of one run arrive in order (a run writes its own progress)."""
+    span = seconds * 1_000_000
+
+    def run(k, batches, state):
+        since, last, total = state.get if state.exists else (0, None, 0)
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for us in rows["_us"].tolist():
+            last = us if last is None else last
+            since, total = since + 1, total + 1
+            if since >= every or us >= last + span:
+                out.append(total)
+                since, last = 0, us
+        state.update((since, last, total))
+        yield pd.DataFrame({key: [k[0]] * len(out), "row_no": out})
+
+    ev, _ = _event_time(units, time_col)
+    ev = ev.withColumn("_us", F.unix_micros("_event_ts")).drop("_event_ts")
+    kind = ev.schema[key].dataType.simpleString()
+    return ev.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, row_no long", "since long, last long, total long", "append", "NoTimeout")
+
+
 def start_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger_available_now: bool = True):
     """Write a streaming result to parquet with a checkpoint folder (both on
     shared storage on a cluster). Returns the StreamingQuery."""

@@ -13,8 +13,10 @@ from catwarden.operators import graph as G
 from catwarden.operators import monitor as M
 from catwarden.operators import schema_text as ST
 from catwarden.operators import scripts as S
+from catwarden.operators import transfer as X
 from catwarden.sources import sinks
 from catwarden.sources import snapshots as SN
+from catwarden.streaming import monitor_stream as TS
 from tests.catalog_builder import DDL, build
 
 
@@ -244,3 +246,33 @@ def test_status_of_every_database(spark):
     failures = spark.sql("SELECT 9L AS db_id, timestamp'2024-01-01' AS ts, 1L AS event_id, 'x' AS message").where("false")
     got = {r.db_id: (r.status, r.attempts) for r in M.fleet_analysis_status(dbs, samples, failures).collect()}
     assert got == {1: ("executed", 1), 2: ("pending", 0), 3: ("not_applicable", 1), 4: ("not_applicable", 0)}
+
+
+def marks(us, units, span):
+    out, since, last = [], 0, us[0] if us else None
+    for i, t in enumerate(us):
+        since += 1
+        if since >= units or t >= last + span:
+            out.append(i + 1)
+            since, last = 0, t
+    return out
+
+
+def test_progress_marks_batch_and_stream(spark):
+    rng = random.Random(8)
+    us, t = [], 1_700_000_000_000_000
+    for _ in range(2_500):
+        t += rng.choice([0, 1, 1_000_000, 3_000_000, 90_000_000])
+        us.append(t)
+    df = spark.createDataFrame([(i + 1, u) for i, u in enumerate(us)], "row_no long, us long").withColumn("ts", F.timestamp_micros("us"))
+    for units, seconds in [(20, 30), (5, 1_000), (100, 2)]:
+        assert sorted(r.row_no for r in X.progress_marks(df, "ts", units, seconds).collect()) == marks(us, units, seconds * 1_000_000)
+    assert X.progress_marks(df.limit(0), "ts").count() == 0
+    src, out = folder(), folder()
+    for i in range(4):  # files in order of time, one a trigger
+        part = df.where((F.col("row_no") > i * 700) & (F.col("row_no") <= (i + 1) * 700)).withColumn("run", F.lit(3)).coalesce(1)
+        part.write.mode("append").parquet(src)
+    stream = spark.readStream.schema("row_no long, us long, ts timestamp, run int").option("maxFilesPerTrigger", 1).parquet(src)
+    q = TS.start_stream(TS.progress_stream(stream, "run", ["row_no"], "ts", 20, 30), f"{out}/rows", f"{out}/state")
+    q.awaitTermination(300)
+    assert sorted(r.row_no for r in spark.read.parquet(f"{out}/rows").collect()) == marks(us, 20, 30_000_000)
