@@ -46,6 +46,7 @@ SPAN = 32
 EPOCHS = 20
 MEMO = 300_000
 BATCH_CHARS = 2_000_000
+FEW_LANGUAGES = 10_000  # so many counts are broadcast; more are joined by a shuffle
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -281,12 +282,13 @@ def sample(docs: DataFrame, texts: int = TEXTS, chars: int = CHARS) -> DataFrame
     Ids are chosen on (id, language) alone; the chosen ones are broadcast."""
     fit = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text")).where(
         F.col("_lang").isNotNull() & (F.length("_text") <= chars) & ~is_held_out(F.col("_id")))
-    ids = fit.groupBy("_id").agg(F.min("_lang").alias("_lang"))
+    ids = written(fit.groupBy("_id").agg(F.min("_lang").alias("_lang")), "lang-ids")
     # hashes are even, so those below four times the wanted share hold the smallest `texts` of a language, and
     # no task gets more than that of a language that most documents have
-    counts = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")), "lang-counts")
+    few = counts.count() <= FEW_LANGUAGES
     share = (F.xxhash64("_id").cast("double") + 2.0 ** 63) / 2.0 ** 64
-    near = ids.join(counts, "_lang").where(share * F.col("_n") <= 4.0 * max(texts, 50)).select("_id", "_lang")
+    near = ids.join(F.broadcast(counts) if few else counts, "_lang").where(share * F.col("_n") <= 4.0 * max(texts, 50)).select("_id", "_lang")
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     picked = written(near.withColumn("_k", rank).where(F.col("_k") <= texts).drop("_k"), "lang-sample")
     return (fit.join(F.broadcast(picked), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("text"))
