@@ -15,7 +15,7 @@ def test_contract_keys():
     assert set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
     assert len(QUERIES) >= 90
     missing = sorted(set(QUERIES) - set(ORACLES))
-    assert missing == ["script_parts"]  # greedy per-partition fill: rows-only check
+    assert missing == []  # script_parts has an oracle since its parts are exact
 
 
 def test_entry_smoke(spark):
