@@ -52,11 +52,11 @@ def oldest_active(samples: DataFrame, own: DataFrame, as_of: DataFrame) -> DataF
     return s.groupBy("db_id").agg(F.min("ts").alias("oldest_active"), F.max("as_of").alias("as_of"))
 
 
-def age_findings(oldest: DataFrame) -> DataFrame:
+def age_findings(oldest: DataFrame, keys: tuple[str, ...] = ("db_id",)) -> DataFrame:
     """O06-O08 from A11: age in minutes at ``as_of``, highest tier only."""
     age = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("oldest_active").cast("timestamp"))) / 6e7
-    f = oldest.select("db_id", _tiered(age, ACTIVE_AGE).alias("f"), age.alias("age_minutes"))
-    return f.where(F.col("f").isNotNull()).select("db_id", "f.code", "f.severity", F.lit(SCOPE_TX).alias("scope"),
+    f = oldest.select(*keys, _tiered(age, ACTIVE_AGE).alias("f"), age.alias("age_minutes"))
+    return f.where(F.col("f").isNotNull()).select(*keys, "f.code", "f.severity", F.lit(SCOPE_TX).alias("scope"),
                                                  "age_minutes")
 
 

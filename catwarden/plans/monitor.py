@@ -176,3 +176,33 @@ SELECT db_id, window_start, sample_id, code, severity, scope, value FROM (
 register("stream_throughput", """
 SELECT time_bucket(INTERVAL 30 SECOND, ts) AS window_start, count(*) AS units, count(*) / 30.0 AS rate
 FROM events GROUP BY 1""")(lambda spark, sf: ST.throughput(read_table(spark, sf, "events")))
+
+
+AGE_WINDOW_SQL = """
+WITH ev AS (SELECT db_id, attachment_id, ts, tx_state, lag(tx_state) OVER (PARTITION BY db_id, attachment_id ORDER BY ts, tx_state) AS prev
+            FROM fx_monitor WHERE attachment_id <> db_id),
+changes AS (SELECT *, lead(ts) OVER (PARTITION BY db_id, attachment_id ORDER BY ts, tx_state) AS closed
+            FROM ev WHERE tx_state IS DISTINCT FROM prev),
+days AS (SELECT db_id, unnest(generate_series(CAST(date_trunc('day', min(ts)) AS TIMESTAMP), CAST(date_trunc('day', max(ts)) AS TIMESTAMP),
+                                              INTERVAL 1 DAY)) AS window_start FROM fx_monitor GROUP BY db_id),
+oldest AS (SELECT d.db_id, d.window_start, count(*) AS open_transactions,
+                  (epoch_us(d.window_start + INTERVAL 1 DAY) - epoch_us(min(c.ts))) / 6e7 AS age_minutes
+           FROM days d JOIN changes c ON c.db_id = d.db_id AND c.ts < d.window_start + INTERVAL 1 DAY
+                AND (c.closed IS NULL OR c.closed >= d.window_start + INTERVAL 1 DAY)
+           WHERE c.tx_state = 1 GROUP BY d.db_id, d.window_start)
+SELECT db_id, window_start, open_transactions,
+  CASE WHEN age_minutes >= 720 THEN 'OPERACIONAL_TRANSACAO_ATIVA_LONGA_CRITICA'
+       WHEN age_minutes >= 120 THEN 'OPERACIONAL_TRANSACAO_ATIVA_LONGA'
+       WHEN age_minutes >= 30 THEN 'OPERACIONAL_TRANSACAO_ATIVA_ACIMA_DO_ESPERADO' END AS code,
+  CASE WHEN age_minutes >= 720 THEN 'critical' WHEN age_minutes >= 120 THEN 'high'
+       WHEN age_minutes >= 30 THEN 'medium' END AS severity,
+  'OPERACIONAL.TRANSACTIONS' AS scope, age_minutes
+FROM oldest WHERE age_minutes >= 30"""
+
+
+@register("stream_age_findings", AGE_WINDOW_SQL)
+def q_stream_age_findings(spark, sf):
+    """T01 with O06-O08: the batch twin of the stream of open transactions."""
+    samples = _fx(spark, sf, "fx_monitor")
+    own = samples.select("db_id").distinct().withColumn("own_attachment_id", F.col("db_id"))
+    return ST.age_window_findings(ST.open_transactions(samples, own))

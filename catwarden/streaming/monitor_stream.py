@@ -8,11 +8,11 @@ the batch/stream equality test checks them.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.monitor import gap_findings
+from ..operators.monitor import age_findings, gap_findings
 
 
 def _event_time(df: DataFrame, col: str = "ts"):
@@ -45,6 +45,116 @@ def operational_window_findings(latest: DataFrame) -> DataFrame:
     return gap_findings(latest, ["db_id", "window_start", "sample_id"])
 
 
+# ---- T01, the age half: transactions open at the end of a window ------------------
+
+OPEN_SCHEMA = "db_id bigint, attachment_id bigint, w bigint, opened bigint"
+
+
+def _transaction_events(samples: DataFrame, own: DataFrame | None) -> DataFrame:
+    """(db_id, attachment_id, _event_ts, us, st): the begins (1) and ends (0) of
+    transactions, without those of the monitoring attachment and rows without a
+    time or attachment. ``own``: db_id, own_attachment_id, one row a database."""
+    ev, _ = _event_time(samples)
+    if own is not None:
+        ev = ev.join(own, "db_id", "left").where(F.col("own_attachment_id").isNull() | (F.col("attachment_id") != F.col("own_attachment_id")))
+    return (ev.where("_event_ts is not null and db_id is not null and attachment_id is not null")
+              .select(F.col("db_id").cast("bigint"), F.col("attachment_id").cast("bigint"), "_event_ts",
+                      F.unix_micros("_event_ts").alias("us"), F.when(F.col("tx_state") == 1, 1).otherwise(0).alias("st")))
+
+
+def open_transactions_stream(samples: DataFrame, own: DataFrame | None = None, minutes: int = 1440,
+                             watermark: str = "1 hour") -> DataFrame:
+    """One row (db_id, attachment_id, w, opened) for each window that ends
+    while a transaction of the attachment is open; ``w`` and ``opened`` are its number
+    and the begin in microseconds since the epoch.
+
+    The state of an attachment is the begin of its open transaction, the next
+    window to judge and the events that the watermark has not passed yet, so
+    it does not grow with the stream and a busy database spreads over its
+    attachments. Events may arrive in any order within the watermark. A begin while
+    one is open changes nothing, nor does an end while none is; of two events at
+    the same instant the end comes first. An event of a window that was judged
+    already is dropped, as the watermark does with late rows.
+    """
+    width = minutes * 60_000_000
+
+    def run(key, batches, state):
+        opened, upto, us, st = state.get if state.exists else (None, None, [], [])
+        waiting = list(zip(us, st))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += zip(pdf["us"].tolist(), pdf["st"].tolist())
+        waiting = sorted(e for e in waiting if upto is None or e[0] >= upto * width)
+        if upto is None and waiting:
+            upto = waiting[0][0] // width
+        passed, found, at = state.getCurrentWatermarkMs() * 1000, [], 0
+        while upto is not None and (upto + 1) * width <= passed and (opened is not None or at < len(waiting)):
+            end = (upto + 1) * width
+            while at < len(waiting) and waiting[at][0] < end:
+                when, begins = waiting[at]
+                opened = (when if opened is None else opened) if begins else None
+                at += 1
+            if opened is not None:
+                found.append((upto, opened))
+            # windows without an event while nothing is open have nothing to tell
+            upto = upto + 1 if opened is not None or at == len(waiting) else max(upto + 1, waiting[at][0] // width)
+        waiting = waiting[at:]
+        if opened is None and not waiting:
+            upto = max(upto or 0, passed // width)  # what comes later than the watermark stays dropped
+        state.update((opened, upto, [e[0] for e in waiting], [e[1] for e in waiting]))
+        if opened is not None or waiting:
+            state.setTimeoutTimestamp(max((upto + 1) * width // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"db_id": [key[0]] * len(found), "attachment_id": [key[1]] * len(found),
+                            "w": [f[0] for f in found], "opened": [f[1] for f in found]}, dtype="int64")
+
+    ev = _transaction_events(samples, own).withWatermark("_event_ts", watermark)
+    return ev.groupBy("db_id", "attachment_id").applyInPandasWithState(
+        run, OPEN_SCHEMA, "opened long, upto long, us array<long>, st array<long>", "append", "EventTimeTimeout")
+
+
+def open_transactions(samples: DataFrame, own: DataFrame | None = None, minutes: int = 1440) -> DataFrame:
+    """The batch twin of ``open_transactions_stream``, over the windows up to the
+    last one in which its database has a sample.
+
+    Events are reduced to one row for each attachment and window by partial
+    aggregates (the last end, then the first begin behind it), so the windows
+    over an attachment see a row a window, however many events it has.
+    """
+    width = minutes * 60_000_000
+    key = ["db_id", "attachment_id"]
+    ev = _transaction_events(samples, own).select(*key, F.floor(F.col("us") / width).cast("bigint").alias("w"), "us", "st")
+    begun, ended = F.col("st") == 1, F.col("st") == 0
+    seen = ev.groupBy(*key, "w").agg(F.max(F.when(ended, F.col("us"))).alias("last_end"), F.max(F.when(begun, F.col("us"))).alias("last_begin"))
+    # only windows with a begin behind an end need their events again
+    mixed = seen.where("last_begin >= last_end").select(*key, "w", "last_end")
+    behind = (ev.where(begun).join(mixed, [*key, "w"]).where("us >= last_end").groupBy(*key, "w").agg(F.min("us").alias("behind")))
+    first = ev.where(begun).groupBy(*key, "w").agg(F.min("us").alias("first_begin"))
+    rows = (seen.join(first, [*key, "w"], "left").join(behind, [*key, "w"], "left")
+            .select(*key, "w", F.col("last_end").isNotNull().alias("closes"),
+                    F.when(F.col("last_end").isNull(), F.col("first_begin")).otherwise(F.col("behind")).alias("begin")))
+    by_window = Window.partitionBy(*key).orderBy("w")
+    rows = rows.withColumn("run", F.sum(F.col("closes").cast("int")).over(by_window))
+    rows = rows.withColumn("opened", F.min("begin").over(Window.partitionBy(*key, "run").orderBy("w")))
+    rows = rows.withColumn("next", F.lead("w").over(by_window))
+    ev_all, _ = _event_time(samples)
+    horizon = (ev_all.where("_event_ts is not null").groupBy(F.col("db_id").cast("bigint").alias("db_id"))
+               .agg(F.floor(F.max(F.unix_micros("_event_ts")) / width).cast("bigint").alias("last_w")))
+    live = rows.where("opened is not null").join(horizon, "db_id")
+    until = F.coalesce(F.col("next") - 1, F.col("last_w"))
+    return live.select(*key, F.explode(F.sequence("w", until)).alias("w"), "opened")
+
+
+def age_window_findings(open_rows: DataFrame, minutes: int = 1440) -> DataFrame:
+    """O06-O08 at the end of each window, from the rows of ``open_transactions``
+    or of the sink of ``open_transactions_stream``: the oldest open transaction of each database."""
+    start = F.timestamp_micros(F.col("w") * (minutes * 60_000_000))
+    oldest = open_rows.groupBy("db_id", "w").agg(F.min("opened").alias("opened"), F.count(F.lit(1)).alias("open_transactions"))
+    oldest = oldest.select("db_id", start.cast("timestamp_ntz").alias("window_start"), "open_transactions",
+                           F.timestamp_micros("opened").alias("oldest_active"),
+                           F.timestamp_micros((F.col("w") + 1) * (minutes * 60_000_000)).alias("as_of"))
+    return age_findings(oldest, ("db_id", "window_start", "open_transactions"))
+
+
 def throughput(events: DataFrame, seconds: int = CHECKPOINT_SECONDS, watermark: str = "1 minute") -> DataFrame:
     """Units per fixed window and the rate (units / window seconds)."""
     ev, back = _event_time(events)

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,3 +101,73 @@ def test_throughput_stream_equals_batch_twin(spark):
     rows = b.collect()
     assert sum(r.units for r in rows) == 500
     assert all(abs(r.rate - r.units / 30.0) < 1e-12 for r in rows)
+
+
+def _transactions(spark):
+    """Begins and ends of transactions of five attachments in two databases over some days, with ties,
+    repeated begins, ends without a begin, an attachment that never ends and one of the monitor itself."""
+    base, rows, rng = dt.datetime(2024, 1, 1, 0, 5), [], random.Random(7)
+    for i in range(260):
+        at = base + dt.timedelta(minutes=23 * i)
+        rows.append((i % 2, rng.randrange(4), at, rng.randrange(2)))
+        if i % 11 == 0:
+            rows.append((i % 2, rows[-1][1], at, 1 - rows[-1][3]))
+        if i % 29 == 0:
+            rows.append((1, 99, at, 1))
+    rows += [(0, 7, base, 1), (0, None, base, 1), (1, 5, base + dt.timedelta(days=1), None)]
+    return spark.createDataFrame(rows, "db_id long, attachment_id long, ts timestamp_ntz, tx_state int")
+
+
+def _open_by_hand(rows, width):
+    """Every window of every attachment, event by event."""
+    by, last, out = {}, {}, set()
+    for r in rows:
+        us = int((r.ts - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+        last[r.db_id] = max(last.get(r.db_id, 0), us // width)
+        if r.attachment_id is not None and (r.db_id, r.attachment_id) != (1, 99):
+            by.setdefault((r.db_id, r.attachment_id), []).append((us, 1 if r.tx_state == 1 else 0))
+    for key, events in by.items():
+        for w in range(min(events)[0] // width, last[key[0]] + 1):
+            opened = None
+            for us, begins in sorted(events):
+                if us < (w + 1) * width:
+                    opened = (us if opened is None else opened) if begins else None
+            if opened is not None:
+                out.add((*key, w, opened))
+    return out
+
+
+def test_open_transactions_twin_by_hand(spark):
+    samples = _transactions(spark)
+    own = spark.createDataFrame([(1, 99)], "db_id long, own_attachment_id long")
+    for minutes in (60, 1440):
+        got = [tuple(r) for r in ST.open_transactions(samples, own, minutes).collect()]
+        assert len(got) == len(set(got)) and set(got) == _open_by_hand(samples.collect(), minutes * 60_000_000)
+    assert ST.open_transactions(samples.limit(0), own).count() == 0
+    found = ST.age_window_findings(ST.open_transactions(samples, own)).collect()
+    assert {r.severity for r in found} <= {"critical", "high", "medium"} and any(r.db_id == 0 and r.severity == "critical" for r in found)
+
+
+def test_open_transactions_stream_equals_twin(spark):
+    """Files in time order with disorder inside the watermark; two last files move the watermark beyond all windows."""
+    samples = _transactions(spark)
+    own = spark.createDataFrame([(1, 99)], "db_id long, own_attachment_id long")
+    src = os.path.join(tempfile.mkdtemp(prefix="catwarden-open-", dir="/tmp"), "in")
+    rows = sorted(samples.collect(), key=lambda r: r.ts)
+    far = dt.datetime(2024, 3, 1)
+    for n, part in enumerate([rows[:90], rows[90:91], rows[91:200], rows[200:]] + [[(50 + i, 1, far + dt.timedelta(days=i), 0)] for i in range(2)]):
+        random.Random(n).shuffle(part)
+        spark.createDataFrame(part, samples.schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ST.open_transactions_stream(stream, own, minutes=60)
+    q = out.writeStream.format("memory").queryName("open_tx").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    batch = {tuple(r) for r in ST.open_transactions(samples, own, 60).collect()}
+    last = {d: max(t[2] for t in batch if t[0] == d) for d in (0, 1)}
+    got = [tuple(r) for r in spark.table("open_tx").collect()]
+    assert len(got) == len(set(got))
+    assert {t for t in got if t[2] <= last[t[0]]} == batch
+    # the one that never ends is told of in every window up to the watermark
+    assert max(t[2] for t in got if t[:2] == (0, 7)) > last[0]
