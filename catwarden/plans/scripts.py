@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import script_chunks as C
 from ..operators import scripts as S
 from ..operators import transfer as X
 from ..sources.fixtures import register_fixtures
@@ -320,3 +321,48 @@ SELECT db_id, kind, name,
        count(*) AS declarations
 FROM k GROUP BY db_id, kind, name""")(
     lambda spark, sf: S.latest_definition(_ddl_kinds(spark, sf), ["db_id"]))
+
+
+# ---------------------------------------------------------------- S05: one script of all documents
+
+# A document is a quoted text, a comment, a block under another terminator, or a remark with a statement; texts span many
+# lines, so nearly all of them cross chunks of five lines.
+LONG_SQL = """
+SELECT doc_id, CASE doc_id % 4
+    WHEN 0 THEN concat('INSERT INTO DOC VALUES (', CAST(doc_id AS VARCHAR(20)), ', ''', replace(body, '''', ''''''), ''');')
+    WHEN 1 THEN concat('/* ', replace(body, '*/', ''), ' */ DELETE FROM DOC', chr(10), 'WHERE ID = ', CAST(doc_id AS VARCHAR(20)), ' ;')
+    WHEN 2 THEN concat('SET TERM ^ ;', chr(10), 'EXECUTE BLOCK AS BEGIN', chr(10), 'P = ''', replace(body, '''', ''), '''; END ^', chr(10), 'SET TERM ; ^')
+    ELSE concat('-- it''s ', CAST(doc_id AS VARCHAR(20)), chr(10), chr(10), 'UPDATE DOC SET A = 1;', chr(10)) END AS block
+FROM (SELECT doc_id, concat(replace(coalesce(text, ''), chr(13), ''), chr(10), 'end ', CAST(doc_id AS VARCHAR(20))) AS body FROM documents) d"""
+LONG_CHUNK_LINES = 5
+
+
+def long_script(spark, sf):
+    """(path, chunk, content): one script over all documents, as chunks of a few lines. Line ends stay with their lines, so a
+    document's lines are numbered in it and chunks are ordered by document, then place."""
+    read_table(spark, sf, "documents").createOrReplaceTempView("long_script_documents")
+    blocks = spark.sql(LONG_SQL.replace("FROM documents", "FROM long_script_documents"))
+    lines = blocks.select("doc_id", F.posexplode(F.split("block", "\n")).alias("pos", "line"))
+    chunk = F.col("doc_id").cast("bigint") * (1 << 24) + F.floor(F.col("pos") / LONG_CHUNK_LINES)
+    gathered = lines.groupBy(chunk.cast("bigint").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    return gathered.select(F.lit("documents.sql").alias("path"), "chunk", F.encode(text, "UTF-8").alias("content"))
+
+
+@register("long_script_statements", f"""
+WITH blk AS ({LONG_SQL}),
+pos AS (SELECT doc_id, block, length(block) - length(replace(block, chr(10), '')) + 1 AS n,
+               coalesce(sum(length(block) - length(replace(block, chr(10), '')) + 1)
+                        OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blk),
+doc AS (SELECT p.*, concat(replace(coalesce(d.text, ''), chr(13), ''), chr(10), 'end ', CAST(d.doc_id AS VARCHAR(20))) AS body
+        FROM pos p JOIN documents d ON d.doc_id = p.doc_id)
+SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS stmt_no,
+       CAST(before + CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN n - 1 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS start_line,
+       CASE doc_id % 4 WHEN 0 THEN rtrim(block, ';') WHEN 1 THEN concat('DELETE FROM DOC', chr(10), 'WHERE ID = ', CAST(doc_id AS VARCHAR(20)))
+            WHEN 2 THEN concat('EXECUTE BLOCK AS BEGIN', chr(10), 'P = ''', replace(body, '''', ''), '''; END')
+            ELSE 'UPDATE DOC SET A = 1' END AS sql_text,
+       CAST((SELECT sum(n) FROM pos) AS BIGINT) AS lines_read
+FROM doc""")
+def q_long_script_statements(spark, sf):
+    """S05 for one file of any size: its chunks are read apart and give the statements of one sequential pass."""
+    return C.chunk_statements(long_script(spark, sf)).select("stmt_no", "start_line", "sql_text", "lines_read")
