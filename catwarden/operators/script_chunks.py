@@ -40,7 +40,7 @@ START = (PLAIN, CLOSED, ";")
 
 _TERM = re.compile(r"(?=SET[ \t]+TERM[ \t]+(\S+))", re.IGNORECASE)
 # fixed values: what Python's str.strip takes for blank
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200b))) + "    　"
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
 
 
 # ---- chunks of files -----------------------------------------------------------------
