@@ -325,8 +325,7 @@ FROM k GROUP BY db_id, kind, name""")(
 
 # ---------------------------------------------------------------- S05: one script of all documents
 
-# A document is a quoted text, a comment, a block under another terminator, or a remark with a statement; texts span many
-# lines, so nearly all of them cross chunks of five lines.
+# A document is a quoted text, a comment, a block under another terminator, or a remark with a statement.
 LONG_SQL = """
 SELECT doc_id, CASE doc_id % 4
     WHEN 0 THEN concat('INSERT INTO DOC VALUES (', CAST(doc_id AS VARCHAR(20)), ', ''', replace(body, '''', ''''''), ''');')
@@ -334,17 +333,17 @@ SELECT doc_id, CASE doc_id % 4
     WHEN 2 THEN concat('SET TERM ^ ;', chr(10), 'EXECUTE BLOCK AS BEGIN', chr(10), 'P = ''', replace(body, '''', ''), '''; END ^', chr(10), 'SET TERM ; ^')
     ELSE concat('-- it''s ', CAST(doc_id AS VARCHAR(20)), chr(10), chr(10), 'UPDATE DOC SET A = 1;', chr(10)) END AS block
 FROM (SELECT doc_id, concat(replace(coalesce(text, ''), chr(13), ''), chr(10), 'end ', CAST(doc_id AS VARCHAR(20))) AS body FROM documents) d"""
-LONG_CHUNK_LINES = 5
+LONG_CHUNK_DOCS = 25
 
 
 def long_script(spark, sf):
-    """(path, chunk, content): one script over all documents, as chunks of a few lines. Line ends stay with their lines, so a
-    document's lines are numbered in it and chunks are ordered by document, then place."""
+    """(path, chunk, content): one script over all documents, ordered by id. A chunk has some documents, the last of which goes
+    on in the next chunk from its third line, so that quoted texts, comments and terminators cross from chunk to chunk."""
     read_table(spark, sf, "documents").createOrReplaceTempView("long_script_documents")
     blocks = spark.sql(LONG_SQL.replace("FROM documents", "FROM long_script_documents"))
     lines = blocks.select("doc_id", F.posexplode(F.split("block", "\n")).alias("pos", "line"))
-    chunk = F.col("doc_id").cast("bigint") * (1 << 24) + F.floor(F.col("pos") / LONG_CHUNK_LINES)
-    gathered = lines.groupBy(chunk.cast("bigint").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    chunk = F.floor((F.col("doc_id") + F.when(F.col("pos") >= 2, 1).otherwise(0)) / LONG_CHUNK_DOCS)
+    gathered = lines.groupBy(chunk.cast("bigint").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "pos", "line"))).alias("l"))
     text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
     return gathered.select(F.lit("documents.sql").alias("path"), "chunk", F.encode(text, "UTF-8").alias("content"))
 
