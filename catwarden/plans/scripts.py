@@ -56,7 +56,7 @@ def build_corpus(stmts: DataFrame) -> DataFrame:
 
 
 def corpus(spark, sf):
-    register_fixtures(spark, sf)
+    register_fixtures(spark, sf, lines=False)
     return build_corpus(spark.table("fx_stmt"))
 
 
@@ -126,7 +126,7 @@ SELECT file_no, stmt_no,
   CASE WHEN regexp_extract(sql_text, '(?is)^\s*(?:UPDATE\s+OR\s+INSERT\s+INTO|INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+("[^"]+"|[^\s(),;]+)', 1) = ''
        THEN NULL
        ELSE upper(regexp_extract(sql_text, '(?is)^\s*(?:UPDATE\s+OR\s+INSERT\s+INTO|INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+("[^"]+"|[^\s(),;]+)', 1)) END AS target
-FROM fx_stmt""")(lambda spark, sf: (register_fixtures(spark, sf), spark.table("fx_stmt"))[1].select(
+FROM fx_stmt""")(lambda spark, sf: (register_fixtures(spark, sf, lines=False), spark.table("fx_stmt"))[1].select(
     "file_no", "stmt_no", S.target_table(F.col("sql_text")).alias("target")))
 
 ARITY_SQL = r"""
@@ -140,7 +140,7 @@ cnt AS (SELECT file_no, stmt_no,
 register("insert_arity", f"""WITH {ARITY_SQL}
 SELECT file_no, stmt_no, n_columns, n_values,
   CASE WHEN n_columns <> n_values THEN 'Column count (' || n_columns || ') differs from value count (' || n_values || ').' END AS error
-FROM cnt""")(lambda spark, sf: (register_fixtures(spark, sf), spark.table("fx_stmt"))[1]
+FROM cnt""")(lambda spark, sf: (register_fixtures(spark, sf, lines=False), spark.table("fx_stmt"))[1]
              .withColumn("_p", S.parse_insert(F.col("sql_text")))
              .select("file_no", "stmt_no", "_p.n_columns", "_p.n_values", "_p.error"))
 
@@ -184,7 +184,7 @@ def _loaded(spark, sf):
 def replay_files(spark, sf):
     """A file for each 100 customers with the statements of ``fx_replay`` (a
     bounded number) in order."""
-    register_fixtures(spark, sf)
+    register_fixtures(spark, sf, lines=False)
     one = F.sort_array(F.collect_list(F.struct("seq", "sql_text")))
     files = spark.table("fx_replay").groupBy("file_no").agg(one.alias("s"))
     return files.select(F.col("file_no").cast("string").alias("path"),
@@ -305,7 +305,7 @@ FROM fx_ddl"""
 
 
 def _ddl_kinds(spark, sf):
-    register_fixtures(spark, sf)
+    register_fixtures(spark, sf, lines=False)
     d = spark.table("fx_ddl")
     kind, name = S.statement_kind(F.col("sql_text"))
     return d.select("db_id", "stmt_no", "sql_text", kind.alias("kind"), name.alias("name"))
