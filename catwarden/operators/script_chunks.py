@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .scripts import (_BLANKS, _EOL, CHARSET_SCAN_LINES, ROWS_PER_FRAME, STATEMENT_SCHEMA, _grammar, _readable, codec_for,
-                      script_charset)
+from .scripts import (_BLANKS, _EOL, BATCH_BYTES, CHARSET_SCAN_LINES, ROWS_PER_FRAME, STATEMENT_SCHEMA, _grammar, _readable, codec_for,
+                      script_charset, small_batches)
 
 CHUNK_BYTES = 1 << 20
 BLOCK = 1024  # maps that one task composes
@@ -297,7 +297,7 @@ PIECE_SCHEMA = ("path string, chunk bigint, idx bigint, solid bigint, line bigin
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names, rows = [f.split()[0] for f in PIECE_SCHEMA.split(", ")], []
+    names, rows, size = [f.split()[0] for f in PIECE_SCHEMA.split(", ")], [], 0
     for pdf in batches:
         for path, n, content, charset, marked, entry, last in zip(*(pdf[c] for c in ("path", "chunk", "content", "charset", "marked", "entry", "last"))):
             text = _decoded(content, charset, marked, n == 0)
@@ -306,9 +306,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for idx, solid, line, piece, whole in reader.pieces:
                 shown, error = _readable(piece)
                 rows.append((path, n, idx, solid, line, shown, whole, error, None, None, None, None, None))
-                if len(rows) >= ROWS_PER_FRAME:
+                size += len(shown)
+                if len(rows) >= ROWS_PER_FRAME or size >= BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=names).astype(object)
-                    rows = []
+                    rows, size = [], 0
             tail = int(text != "" and text[-1] not in "\r\n")
             rows.append((path, n, -1, None, None, None, None, None, reader.index, reader.solid, len(_EOL.findall(text)), reader.busy, tail))
     if rows:
@@ -327,6 +328,7 @@ def chunk_statements(chunks: DataFrame) -> DataFrame:
     """
     spark = chunks.sparkSession
     ensure_checkpoint_dir(spark)
+    small_batches(spark)
     chunks = chunks.select("path", "chunk", "content")
     order = Window.partitionBy("path").orderBy("chunk")
     text = F.decode("content", "ISO-8859-1")
