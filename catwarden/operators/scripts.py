@@ -89,6 +89,7 @@ _EOL = re.compile(r"\r\n|\n|\r")
 _BLANKS = LEAD_CHARS + "\f\v"
 _NOT_DECODED = re.compile("[\udc80-\udcff]")
 ROWS_PER_FRAME = 5_000
+BATCH_BYTES = 4 << 20  # of files or statements that a Python worker holds at a time, and of the text of a frame
 
 
 class Script(NamedTuple):
@@ -173,9 +174,19 @@ def _readable(sql: str) -> tuple[str, str | None]:
             "Bytes that are not valid in the character set of the script.")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bytes of an Arrow batch, lowered where the session asks for more, so
+    that a worker's memory hangs on the largest file and not on how many there are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = STATEMENT_SCHEMA.names
     rows: list[tuple] = []
+    size = 0
     for pdf in batches:
         for path, content, charset in zip(pdf["path"], pdf["content"], pdf["charset"]):
             script = split_script(decode_script(bytes(content), charset))
@@ -183,9 +194,10 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # a file without statements keeps one row, so that outcomes show it
             for no, start, sql in script.statements or [(0, 0, None)]:
                 rows.append((path, charset, no, start, *(_readable(sql) if sql else (None, None)), *tail))
-                if len(rows) >= ROWS_PER_FRAME:
+                size += len(sql or "")
+                if len(rows) >= ROWS_PER_FRAME or size >= BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                    rows, size = [], 0
     if rows:
         yield pd.DataFrame(rows, columns=names)
 
@@ -194,6 +206,7 @@ def script_statements(files: DataFrame) -> DataFrame:
     """``(path, content)`` -> one row per statement. A file with no
     statement keeps one row with ``stmt_no = 0`` and NULL text; a statement
     with bytes that its character set lacks has a ``decode_error``."""
+    small_batches(files.sparkSession)
     f = files.select("path", "content", script_charset(F.col("content")).alias("charset"))
     return f.mapInPandas(_split_batches, STATEMENT_SCHEMA)
 
